@@ -85,6 +85,8 @@ def with_ctes(body: str, *, policy: str = "exact", skewed: bool = False,
             f"valid AS (SELECT * FROM clean WHERE amount > 0)")
     if extra:
         ctes += ",\n" + extra
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body}) q"
     return ctes + "\n" + body
 
 

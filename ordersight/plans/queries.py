@@ -207,3 +207,179 @@ def q_p10_of_groups(spark, sf):
 def q_mean_of_groups(spark, sf):
     """Unweighted mean of state revenue."""
     return K.mean_of_groups(K.revenue_by_state(valid(spark, sf)), "revenue", "mean_state_revenue")
+
+
+# =============================================================================
+# Audits (A15-A21, U2) and the SQL pack
+# =============================================================================
+
+from ordersight.operators import audit as A  # noqa: E402
+from ordersight.plans import sqlpack  # noqa: E402
+
+SQLT_CTE = """sqlt AS (SELECT order_id, order_date, status, fulfillment, sales_channel, category,
+  quantity, amount, upper(trim(ship_state)) AS ship_state, upper(trim(ship_city)) AS ship_city,
+  CASE WHEN upper(trim(status)) IN ('SHIPPED', 'SHIPPED - DELIVERED TO BUYER') THEN 1 ELSE 0 END
+    AS is_fulfilled,
+  CASE WHEN amount IS NULL OR amount <= 0 THEN 0 ELSE 1 END AS amount_valid,
+  CASE WHEN upper(trim(is_b2b_raw)) IN ('TRUE', '1', 'YES', 'B2B') THEN 'B2B' ELSE 'B2C' END
+    AS b2b_flag
+FROM sales)"""
+
+
+def sql_table(spark, sf):
+    """The fact table after the SQL cleaning script's UPDATEs."""
+    return C.sql_flags(sales(spark, sf))
+
+
+def _sq(body):
+    return O.with_ctes(body, extra=SQLT_CTE)
+
+
+@register("audit_total_rows", _sq("SELECT COUNT(*) AS total_rows FROM sales"))
+def q_audit_total_rows(spark, sf):
+    return A.audit_total_rows(sales(spark, sf))
+
+
+@register("audit_date_range", _sq(
+    "SELECT MIN(order_date) AS start_date, MAX(order_date) AS end_date FROM sales"))
+def q_audit_date_range(spark, sf):
+    return A.audit_date_range(sales(spark, sf))
+
+
+@register("audit_null_amounts", _sq(
+    "SELECT COUNT(*) FILTER (WHERE amount IS NULL) AS null_amount_rows, "
+    "COUNT(*) FILTER (WHERE amount IS NULL OR amount <= 0) AS invalid_amount_rows FROM sales"))
+def q_audit_null_amounts(spark, sf):
+    """Null (first script) and null-or-non-positive (second) amounts."""
+    return A.audit_null_amounts(sales(spark, sf))
+
+
+@register("audit_status_counts", _sq(
+    "SELECT status, COUNT(*) AS cnt FROM sales GROUP BY status ORDER BY cnt DESC"))
+def q_audit_status_counts(spark, sf):
+    return A.audit_status_counts(sales(spark, sf))
+
+
+@register("audit_state_case", _sq(
+    "SELECT ship_state, COUNT(*) AS cnt FROM sales GROUP BY ship_state "
+    "HAVING COUNT(DISTINCT upper(ship_state)) >= 1 ORDER BY upper(ship_state)"))
+def q_audit_state_case(spark, sf):
+    return A.audit_state_case(sales(spark, sf))
+
+
+@register("audit_state_norm", _sq(
+    "SELECT upper(trim(ship_state)) AS normalised_state, COUNT(*) AS cnt FROM sales "
+    "GROUP BY upper(trim(ship_state)) ORDER BY normalised_state"))
+def q_audit_state_norm(spark, sf):
+    return A.audit_state_norm(sales(spark, sf))
+
+
+@register("distinct_status", _sq("SELECT DISTINCT status FROM sales"))
+def q_distinct_status(spark, sf):
+    return A.distinct_status(sales(spark, sf))
+
+
+def _final_sql(v1: bool):
+    e = "" if v1 else " ELSE 0"
+    return _sq(f"""SELECT COUNT(*) AS total_rows, COUNT(DISTINCT ship_state) AS distinct_states,
+  CAST(SUM(CASE WHEN amount_valid = 0 THEN 1{e} END) AS BIGINT) AS invalid_amount_rows,
+  CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled_orders,
+  {O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS overall_fulfillment_rate_pct,
+  COUNT(DISTINCT category) AS distinct_categories,
+  CAST(SUM(CASE WHEN b2b_flag = 'B2B' THEN 1{e} END) AS BIGINT) AS b2b_orders,
+  CAST(SUM(CASE WHEN b2b_flag = 'B2C' THEN 1{e} END) AS BIGINT) AS b2c_orders
+FROM sqlt""")
+
+
+@register("audit_final", _final_sql(False))
+def q_audit_final(spark, sf):
+    """A21, second script: counts with ELSE 0."""
+    return A.audit_final(sql_table(spark, sf), "v2")
+
+
+@register("audit_final_v1", _final_sql(True))
+def q_audit_final_v1(spark, sf):
+    """A21, first script: CASE without ELSE (NULL when no row matches)."""
+    return A.audit_final(sql_table(spark, sf), "v1")
+
+
+_MONEY = M("SUM(amount)")
+_RAVG = O.round_avg_money("amount")
+_SHIP = "SUM(CASE WHEN status = 'Shipped' THEN 1 ELSE 0 END)"
+_TOT_ALL = "(SELECT SUM(amount) FROM sqlt)"
+_TOT_VALID = "(SELECT SUM(amount) FROM sqlt WHERE amount_valid = 1)"
+
+SQLPACK_ORACLE = {
+    "overall_revenue_aov_v1": f"SELECT {_MONEY} AS total_revenue, {_RAVG} AS avg_order_value FROM sqlt",
+    "overall_revenue_aov": f"SELECT {_MONEY} AS total_revenue, COUNT(*) AS total_orders, "
+                           f"{_RAVG} AS avg_order_value FROM sqlt WHERE amount_valid = 1",
+    "sql_revenue_by_state_v1": f"SELECT ship_state, {_MONEY} AS total_revenue, COUNT(*) AS total_orders "
+                               f"FROM sqlt GROUP BY ship_state",
+    "sql_revenue_by_state": f"SELECT ship_state, {_MONEY} AS total_revenue, COUNT(*) AS total_orders "
+                            f"FROM sqlt WHERE amount_valid = 1 GROUP BY ship_state",
+    "sql_revenue_share_v1": f"SELECT ship_state, {_MONEY} AS total_revenue, "
+                            f"{O.round_share_pct('SUM(amount)', _TOT_ALL)} AS revenue_share_pct "
+                            f"FROM sqlt GROUP BY ship_state",
+    "sql_revenue_share": f"SELECT ship_state, {_MONEY} AS total_revenue, "
+                         f"{O.round_share_pct('SUM(amount)', _TOT_VALID)} AS revenue_share_pct "
+                         f"FROM sqlt WHERE amount_valid = 1 GROUP BY ship_state",
+    "sql_category_aov": f"SELECT category, {_MONEY} AS total_revenue, COUNT(*) AS total_orders, "
+                        f"{_RAVG} AS avg_order_value FROM sqlt WHERE amount_valid = 1 GROUP BY category",
+    "sql_fulfill_by_state_v1": f"SELECT ship_state, COUNT(*) AS total_orders, {_SHIP} AS shipped_orders, "
+                               f"{O.round_rate_pct(_SHIP, 'COUNT(*)')} AS fulfillment_rate "
+                               f"FROM sqlt GROUP BY ship_state",
+    "sql_fulfill_by_state": f"SELECT ship_state, COUNT(*) AS total_orders, SUM(is_fulfilled) AS fulfilled_orders, "
+                            f"{O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate_pct "
+                            f"FROM sqlt GROUP BY ship_state",
+    "sql_fulfill_overall": f"SELECT {O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} "
+                           f"AS overall_fulfillment_rate_pct FROM sqlt",
+    "sql_fulfill_by_category": f"SELECT category, COUNT(*) AS total_orders, SUM(is_fulfilled) AS fulfilled_orders, "
+                               f"{O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate_pct "
+                               f"FROM sqlt GROUP BY category",
+    "sql_fulfill_by_method": f"SELECT fulfillment, COUNT(*) AS total_orders, {_MONEY} AS total_revenue, "
+                             f"{O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate_pct "
+                             f"FROM sqlt WHERE amount_valid = 1 GROUP BY fulfillment",
+    "market_model_v1": f"""WITH sm AS (SELECT ship_state, {_MONEY} AS total_revenue,
+    {O.round_share_pct('SUM(amount)', _TOT_ALL)} AS revenue_share_pct,
+    {O.round_rate_pct(_SHIP, 'COUNT(*)')} AS fulfillment_rate
+  FROM sqlt GROUP BY ship_state)
+SELECT ship_state, total_revenue, revenue_share_pct, fulfillment_rate,
+  RANK() OVER (ORDER BY total_revenue DESC) AS revenue_rank,
+  RANK() OVER (ORDER BY fulfillment_rate DESC) AS fulfillment_rank,
+  RANK() OVER (ORDER BY total_revenue DESC) + RANK() OVER (ORDER BY fulfillment_rate DESC) AS composite_score
+FROM sm""",
+    "market_model_v2": f"""WITH sm AS (SELECT ship_state, {_MONEY} AS total_revenue,
+    {O.round_share_pct('SUM(amount)', _TOT_VALID)} AS revenue_share_pct,
+    {O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate,
+    {_RAVG} AS avg_order_value, COUNT(*) AS total_orders
+  FROM sqlt WHERE amount_valid = 1 GROUP BY ship_state),
+r AS (SELECT *, RANK() OVER (ORDER BY total_revenue DESC) AS revenue_rank,
+  RANK() OVER (ORDER BY fulfillment_rate DESC) AS fulfillment_rank,
+  RANK() OVER (ORDER BY avg_order_value DESC) AS aov_rank FROM sm)
+SELECT *, revenue_rank + fulfillment_rank + aov_rank AS composite_score FROM r""",
+}
+
+_SQLPACK_DOCS = {
+    "overall_revenue_aov_v1": "A22 first script: SUM and ROUND(AVG, 2) over all rows.",
+    "overall_revenue_aov": "A22 second script: + COUNT(*), valid amounts only.",
+    "sql_revenue_by_state_v1": "A23 first script: SUM, COUNT(*) by state, all rows.",
+    "sql_revenue_by_state": "A23 second script: valid amounts only.",
+    "sql_revenue_share_v1": "A24 first script: share via uncorrelated scalar subquery.",
+    "sql_revenue_share": "A24 second script: DECIMAL cast, valid only.",
+    "sql_category_aov": "A25: SUM, COUNT(*), ROUND(AVG, 2) by category.",
+    "sql_fulfill_by_state_v1": "A26 first script: 'Shipped' only.",
+    "sql_fulfill_by_state": "A26 second script: is_fulfilled, exact decimal division.",
+    "sql_fulfill_overall": "A27: one overall rate.",
+    "sql_fulfill_by_category": "A28: rate by category.",
+    "sql_fulfill_by_method": "A29: count, revenue, rate by method, valid only.",
+    "market_model_v1": "W5/W1: state metrics, two RANK()s, composite.",
+    "market_model_v2": "W6/W1: rounded metrics, three RANK()s, composite.",
+}
+
+for _name, _oracle in SQLPACK_ORACLE.items():
+    def _mk_sqlpack(name):
+        def q(spark, sf):
+            return sqlpack.run(spark, name, sql_table(spark, sf))
+        q.__doc__ = _SQLPACK_DOCS[name]
+        return q
+    register(_name, _sq(_oracle))(_mk_sqlpack(_name))
