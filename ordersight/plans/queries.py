@@ -383,3 +383,155 @@ for _name, _oracle in SQLPACK_ORACLE.items():
         q.__doc__ = _SQLPACK_DOCS[name]
         return q
     register(_name, _sq(_oracle))(_mk_sqlpack(_name))
+
+
+# =============================================================================
+# Market model: ranks, expansion, targets, quadrants, top-k (W1-W2, W7-W9,
+# T1-T3, T8, R2, R3)
+# =============================================================================
+
+from ordersight.operators import market as MK  # noqa: E402
+
+
+def state_base_sql(with_aov=False):
+    aov = f",\n  {R('SUM(amount)', 'COUNT(amount)')} AS avg_order_value" if with_aov else ""
+    return f"""SELECT ship_state, COUNT(DISTINCT order_id) AS total_orders,
+  CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled, {M('SUM(amount)')} AS revenue,
+  {P('SUM(is_fulfilled)', 'COUNT(DISTINCT order_id)')} AS fulfillment_rate,
+  {P('SUM(amount)', 'SUM(SUM(amount)) OVER ()')} AS revenue_share_pct{aov}
+FROM valid GROUP BY ship_state"""
+
+
+def avg_rank_sql(x):
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE "
+            f"CAST(RANK() OVER (ORDER BY {x} DESC NULLS LAST) AS DOUBLE) + "
+            f"(CAST(COUNT(*) OVER (PARTITION BY {x}) AS DOUBLE) - 1.0) / 2.0 END")
+
+
+def min_rank_sql(x):
+    return f"RANK() OVER (ORDER BY {x} DESC NULLS LAST)"
+
+
+def model_sql(pillars=2, method="average"):
+    rk = avg_rank_sql if method == "average" else min_rank_sql
+    if pillars == 3:
+        return f"""SELECT *, revenue_rank + fulfillment_rank + aov_rank AS composite_score FROM (
+  SELECT *, {rk('revenue')} AS revenue_rank, {rk('fulfillment_rate')} AS fulfillment_rank,
+         {rk('avg_order_value')} AS aov_rank FROM ({state_base_sql(True)}) b) r"""
+    return f"""SELECT *, revenue_rank + fulfillment_rank AS composite_score FROM (
+  SELECT *, {rk('revenue')} AS revenue_rank, {rk('fulfillment_rate')} AS fulfillment_rank
+  FROM ({state_base_sql(False)}) b) r"""
+
+
+@register("expansion_model_v1", O.with_ctes(model_sql(2)))
+def q_expansion_model_v1(spark, sf):
+    """Two pillars (revenue, rate), average ranks, composite ascending."""
+    return MK.expansion_model(valid(spark, sf), 2, "average")
+
+
+@register("expansion_model_v3", O.with_ctes(model_sql(3)))
+def q_expansion_model_v3(spark, sf):
+    """Three pillars (+ mean amount), average ranks."""
+    return MK.expansion_model(valid(spark, sf), 3, "average")
+
+
+@register("rank_average", O.with_ctes(
+    f"SELECT ship_state, {avg_rank_sql('revenue')} AS revenue_rank, "
+    f"{avg_rank_sql('fulfillment_rate')} AS fulfillment_rank FROM ({state_base_sql()}) b"))
+def q_rank_average(spark, sf):
+    """Pandas-style average ranks (ties share the mean position)."""
+    return MK.rank_states(valid(spark, sf), "average")
+
+
+@register("rank_min", O.with_ctes(
+    f"SELECT ship_state, {min_rank_sql('revenue')} AS revenue_rank, "
+    f"{min_rank_sql('fulfillment_rate')} AS fulfillment_rank FROM ({state_base_sql()}) b"))
+def q_rank_min(spark, sf):
+    """SQL RANK() (ties share the minimum rank)."""
+    return MK.rank_states(valid(spark, sf), "min")
+
+
+def targets_sql(pillars=2):
+    return O.with_ctes(
+        "SELECT * FROM m WHERE revenue < (SELECT quantile_cont(CAST(revenue AS DOUBLE), 0.5) FROM m) "
+        "AND fulfillment_rate > (SELECT AVG(fulfillment_rate) FROM m) "
+        "ORDER BY fulfillment_rate DESC, ship_state LIMIT 10",
+        extra=f"m AS ({model_sql(pillars)})")
+
+
+@register("expansion_targets", targets_sql(2))
+def q_expansion_targets(spark, sf):
+    """Revenue < median and rate > mean rate; rate desc; first 10."""
+    return MK.expansion_targets(valid(spark, sf), 2)
+
+
+@register("expansion_targets_v3", targets_sql(3))
+def q_expansion_targets_v3(spark, sf):
+    """T3 over the three-pillar model."""
+    return MK.expansion_targets(valid(spark, sf), 3)
+
+
+TOP_SQL = f"SELECT * FROM ({REV_BY_STATE_SQL}) s ORDER BY revenue DESC, ship_state LIMIT {{k}}"
+
+
+@register("top_states_k", O.with_ctes(TOP_SQL.format(k=5)))
+def q_top_states_k(spark, sf):
+    """The first 5 states by revenue."""
+    return MK.top_states(valid(spark, sf), 5)
+
+
+@register("last_12_months", O.with_ctes(
+    f"SELECT * FROM ({MONTHLY_SQL}) t ORDER BY year_month DESC LIMIT 12"))
+def q_last_12_months(spark, sf):
+    """The last 12 months of the trend."""
+    return MK.last_months(valid(spark, sf), 12)
+
+
+@register("last_month", O.with_ctes(
+    f"SELECT *, ROW_NUMBER() OVER (ORDER BY year_month DESC) AS month_pos FROM "
+    f"(SELECT * FROM ({MONTHLY_SQL}) t ORDER BY year_month DESC LIMIT 2) l"))
+def q_last_month(spark, sf):
+    """Last month and the month before."""
+    return MK.last_month(valid(spark, sf))
+
+
+@register("name_list_k", O.with_ctes(
+    f"SELECT string_agg(ship_state, ', ' ORDER BY revenue DESC, ship_state) AS names "
+    f"FROM ({TOP_SQL.format(k=3)}) t"))
+def q_name_list_k(spark, sf):
+    """Names of the top 3 states joined by ', '."""
+    return MK.name_list(K.revenue_by_state(valid(spark, sf)), "ship_state",
+                        [F.desc("revenue"), F.asc("ship_state")], 3)
+
+
+def quadrant_sql(k):
+    return O.with_ctes(
+        f"""SELECT t.*, CASE
+  WHEN t.revenue > a.avg_rev AND t.fulfillment_rate >= r.rate THEN 'Star market'
+  WHEN t.revenue > a.avg_rev AND t.fulfillment_rate < r.rate THEN 'Revenue leakage'
+  WHEN t.revenue <= a.avg_rev AND t.fulfillment_rate >= r.rate THEN 'Expansion target'
+  ELSE 'Low priority' END AS quadrant
+FROM top t, (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS avg_rev FROM top) a,
+     (SELECT {P('SUM(is_fulfilled)', 'COUNT(*)')} AS rate FROM valid) r""",
+        extra=f"top AS ({TOP_SQL.format(k=k)})")
+
+
+@register("market_quadrant", quadrant_sql(25))
+def q_market_quadrant(spark, sf):
+    """R2: top 25 states classified against the overall rate and their mean revenue."""
+    return MK.market_quadrant(valid(spark, sf), 25)
+
+
+@register("market_quadrant_report", quadrant_sql(20))
+def q_market_quadrant_report(spark, sf):
+    """R2, report variant: top 20 states."""
+    return MK.market_quadrant(valid(spark, sf), 20)
+
+
+@register("state_bars", O.with_ctes(
+    f"SELECT ship_state, revenue, fulfillment_rate, "
+    f"CAST(ROW_NUMBER() OVER (ORDER BY revenue DESC, ship_state) <= 3 AS INT) AS is_top "
+    f"FROM ({TOP_SQL.format(k=12)}) t"))
+def q_state_bars(spark, sf):
+    """Top 12 states with rate, first three flagged."""
+    return MK.state_bars(valid(spark, sf), 12, 3)
