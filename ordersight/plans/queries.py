@@ -535,3 +535,284 @@ def q_market_quadrant_report(spark, sf):
 def q_state_bars(spark, sf):
     """Top 12 states with rate, first three flagged."""
     return MK.state_bars(valid(spark, sf), 12, 3)
+
+
+# =============================================================================
+# Insight rules (I1-I9, A36) and checks
+# =============================================================================
+
+from ordersight.functions.render import sql_fixed as F0_, sql_grouped0 as G0  # noqa: E402
+from ordersight.operators import checks as CK  # noqa: E402
+from ordersight.operators import insights as IN  # noqa: E402
+
+_T = {k: v.replace("'", "''") for k, v in IN.DEFAULT_TEXT.items()}
+
+
+def F0(x):
+    return F0_(x, 0)
+
+
+def F1(x):
+    return F0_(x, 1)
+
+
+KPI_CTES = f"""st AS ({REV_BY_STATE_SQL}),
+sc AS ({SCALAR_SQL}),
+tr AS ({MONTHLY_SQL}),
+ct AS ({REV_BY_CAT_SQL}),
+fm AS ({BY_METHOD_SQL}),
+mdl AS ({model_sql(2)}),
+tg AS (SELECT * FROM mdl WHERE revenue < (SELECT quantile_cont(CAST(revenue AS DOUBLE), 0.5) FROM mdl)
+       AND fulfillment_rate > (SELECT AVG(fulfillment_rate) FROM mdl)
+       ORDER BY fulfillment_rate DESC, ship_state LIMIT 10),
+pf AS (SELECT * FROM st WHERE fulfillment_rate >= 95
+       AND revenue <= (SELECT quantile_cont(CAST(revenue AS DOUBLE), 0.1) FROM st))"""
+
+INS_COLS = "rule_id, rule_pos, impact, category, entity, metric, title, detail, action, metric_value"
+
+INS_SQL = {
+    "ins_concentration": f"""SELECT 'ins_concentration' AS rule_id, 1 AS rule_pos, 'High' AS impact,
+  'Revenue' AS category, names AS entity, p AS metric,
+  'Revenue dangerously concentrated: ' || names AS title,
+  'These 3 states account for ' || {F0('p')} || '%{_T['concentration_detail']}' AS detail,
+  '{_T['concentration_action']}' AS action, {F0('p')} || '% in top 3 states' AS metric_value
+FROM (SELECT {P('SUM(revenue)', '(SELECT SUM(revenue) FROM st)')} AS p,
+             string_agg(ship_state, ', ' ORDER BY revenue DESC, ship_state) AS names
+      FROM (SELECT * FROM st ORDER BY revenue DESC, ship_state LIMIT 3) t) x
+WHERE p > 50""",
+    "ins_mom_trend": f"""SELECT 'ins_mom_trend' AS rule_id, 2 AS rule_pos,
+  CASE WHEN mom < -10 THEN 'High' WHEN mom < -5 THEN 'Medium' ELSE 'Low' END AS impact,
+  CASE WHEN mom < -5 THEN 'Alert' ELSE 'Growth' END AS category, year_month AS entity, mom AS metric,
+  CASE WHEN mom < -10 THEN 'Revenue dropped ' || {F1('abs(mom)')} || '% last month'
+       WHEN mom < -5 THEN 'Moderate revenue dip of ' || {F1('abs(mom)')} || '% last month'
+       ELSE 'Strong revenue growth of +' || {F1('mom')} || '% last month' END AS title,
+  CASE WHEN mom < -10 THEN 'Month ' || year_month || ': Revenue fell to ₹' || {G0('revenue')} || '. Needs immediate investigation.'
+       WHEN mom < -5 THEN 'Month ' || year_month || ': ₹' || {G0('revenue')} || '. Watch next cycle closely.'
+       ELSE 'Month ' || year_month || ': Revenue reached ₹' || {G0('revenue')} || '.' END AS detail,
+  CASE WHEN mom < -10 THEN '{_T['mom_drop_action']}' WHEN mom < -5 THEN '{_T['mom_dip_action']}'
+       ELSE '{_T['mom_growth_action']}' END AS action,
+  CASE WHEN mom < -5 THEN {F1('mom')} || '% MoM' ELSE '+' || {F1('mom')} || '% MoM' END AS metric_value
+FROM (SELECT year_month, revenue, revenue_mom_pct AS mom, COUNT(*) OVER () AS n
+      FROM tr WHERE revenue_mom_pct IS NOT NULL ORDER BY year_month DESC LIMIT 1) l
+WHERE n >= 2 AND (mom < -10 OR mom < -5 OR mom > 15)""",
+    "ins_leakage": f"""SELECT 'ins_leakage' AS rule_id, 3 AS rule_pos, 'High' AS impact,
+  'Fulfillment' AS category, ship_state AS entity, fulfillment_rate AS metric,
+  ship_state || ': High revenue, poor fulfillment' AS title,
+  '₹' || {G0('revenue')} || ' revenue but only ' || {F1('fulfillment_rate')} || '% fulfillment rate (avg: '
+    || {F1('r')} || '%).' AS detail,
+  'Switch ' || ship_state || '{_T['leakage_action']}' AS action,
+  {F1('fulfillment_rate')} || '% fulfillment' AS metric_value
+FROM st, (SELECT fulfillment_rate AS r FROM sc) s,
+     (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS m FROM st) a
+WHERE revenue > m AND fulfillment_rate < r""",
+    "ins_expansion": f"""SELECT 'ins_expansion' AS rule_id, 4 AS rule_pos, 'Medium' AS impact,
+  'Expansion' AS category, top_state AS entity, CAST(n AS DOUBLE) AS metric,
+  CAST(n AS VARCHAR) || ' states show strong logistics but low penetration' AS title,
+  'Top target: ' || top_state || ' — ' || {F1('top_rate')} || '% fulfillment on only ₹' || {G0('top_rev')}
+    || ' revenue.' AS detail,
+  'Prioritise ad spend and seller promotions in: ' || names || '{_T['expansion_action']}' AS action,
+  CAST(n AS VARCHAR) || ' expansion markets' AS metric_value
+FROM (SELECT COUNT(*) AS n FROM tg) c,
+     (SELECT ship_state AS top_state, fulfillment_rate AS top_rate, revenue AS top_rev FROM tg
+      ORDER BY fulfillment_rate DESC, ship_state LIMIT 1) t,
+     (SELECT string_agg(ship_state, ', ' ORDER BY fulfillment_rate DESC, ship_state) AS names
+      FROM (SELECT * FROM tg ORDER BY fulfillment_rate DESC, ship_state LIMIT 5) q) nm
+WHERE n > 0""",
+    "ins_weak_category": f"""SELECT 'ins_weak_category' AS rule_id, 5 AS rule_pos, 'Medium' AS impact,
+  'Revenue' AS category, category AS entity, avg_order_value AS metric,
+  category || ': low AOV and poor fulfillment' AS title,
+  'Avg order ₹' || {G0('avg_order_value')} || ' (avg ₹' || {G0('a')} || ') and ' || {F1('fulfillment_rate')}
+    || '% fulfillment (avg ' || {F1('r')} || '%).' AS detail,
+  'Consider bundling ' || category || '{_T['weak_category_action']}' AS action,
+  'AOV ₹' || {G0('avg_order_value')} AS metric_value
+FROM ct, (SELECT AVG(avg_order_value) AS a, AVG(fulfillment_rate) AS r FROM ct) m
+WHERE avg_order_value < a AND fulfillment_rate < r""",
+    "ins_b2b": f"""SELECT 'ins_b2b' AS rule_id, 6 AS rule_pos,
+  CASE WHEN s > 5 AND s < 30 THEN 'Medium' ELSE 'Low' END AS impact,
+  CASE WHEN s > 5 AND s < 30 THEN 'Growth' ELSE 'Revenue' END AS category,
+  CAST(NULL AS VARCHAR) AS entity, s AS metric,
+  CASE WHEN s > 5 AND s < 30 THEN 'B2B orders are ' || {F1('s')} || '% of revenue — growth lever'
+       ELSE 'B2B is ' || {F1('s')} || '% of revenue — protect this channel' END AS title,
+  CASE WHEN s > 5 AND s < 30 THEN '{_T['b2b_growth_detail']}' ELSE '{_T['b2b_protect_detail']}' END AS detail,
+  CASE WHEN s > 5 AND s < 30 THEN '{_T['b2b_growth_action']}' ELSE '{_T['b2b_protect_action']}' END AS action,
+  {F1('s')} || '% B2B share' AS metric_value
+FROM (SELECT b2b_revenue_share AS s FROM sc) x WHERE (s > 5 AND s < 30) OR s >= 30""",
+    "ins_method_gap": f"""SELECT 'ins_method_gap' AS rule_id, 7 AS rule_pos, 'High' AS impact,
+  'Fulfillment' AS category, CAST(NULL AS VARCHAR) AS entity, gap AS metric,
+  'Amazon-fulfilled orders are ' || {F1('gap')} || '% better at fulfillment' AS title,
+  'Amazon: ' || {F1('amz')} || '% vs Merchant: ' || {F1('mer')} || '%{_T['method_gap_detail']}' AS detail,
+  '{_T['method_gap_action']}' AS action, {F1('gap')} || '% fulfillment gap' AS metric_value
+FROM (SELECT amz, mer, amz - mer AS gap FROM (
+  SELECT COUNT(*) AS n,
+    first(fulfillment_rate ORDER BY revenue DESC, fulfillment) FILTER (WHERE upper(fulfillment) = 'AMAZON') AS amz,
+    first(fulfillment_rate ORDER BY revenue DESC, fulfillment) FILTER (WHERE upper(fulfillment) = 'MERCHANT') AS mer,
+    COUNT(*) FILTER (WHERE upper(fulfillment) = 'AMAZON') AS n_amz,
+    COUNT(*) FILTER (WHERE upper(fulfillment) = 'MERCHANT') AS n_mer
+  FROM fm) y WHERE n >= 2 AND n_amz > 0 AND n_mer > 0) z
+WHERE gap > 5""",
+    "ins_riskfree": f"""SELECT 'ins_riskfree' AS rule_id, 8 AS rule_pos, 'Low' AS impact,
+  'Expansion' AS category, names AS entity, CAST(n AS DOUBLE) AS metric,
+  names || ': near-perfect fulfillment, almost no revenue' AS title,
+  CAST(n AS VARCHAR) || '{_T['riskfree_detail']}' AS detail,
+  'Run low-budget test campaigns in ' || names || '{_T['riskfree_action']}' AS action,
+  CAST(n AS VARCHAR) || ' risk-free markets' AS metric_value
+FROM (SELECT COUNT(*) AS n FROM pf) c,
+     (SELECT string_agg(ship_state, ', ' ORDER BY revenue DESC, ship_state) AS names
+      FROM (SELECT * FROM pf ORDER BY revenue DESC, ship_state LIMIT 4) q) nm
+WHERE n > 0""",
+}
+
+GEN_INS_SQL = " UNION ALL ".join(f"SELECT {INS_COLS} FROM ({s})" for s in INS_SQL.values())
+
+
+def _ins(body, skewed=False):
+    return O.with_ctes(body, skewed=skewed, extra=KPI_CTES)
+
+
+def _insight_rule(name, df):
+    states = K.revenue_by_state(df)
+    if name == "ins_concentration":
+        return IN.ins_concentration(states)
+    if name == "ins_mom_trend":
+        return IN.ins_mom_trend(K.monthly_trend(df))
+    if name == "ins_leakage":
+        return IN.ins_leakage(states, K.scalar_kpis(df).select("fulfillment_rate").scalar())
+    if name == "ins_expansion":
+        return IN.ins_expansion(MK.expansion_targets(df))
+    if name == "ins_weak_category":
+        return IN.ins_weak_category(K.revenue_by_category(df))
+    if name == "ins_b2b":
+        return IN.ins_b2b(K.scalar_kpis(df))
+    if name == "ins_method_gap":
+        return IN.ins_method_gap(K.by_fulfillment_method(df))
+    if name == "ins_riskfree":
+        return IN.ins_riskfree(states)
+    raise KeyError(name)
+
+
+for _name, _body in INS_SQL.items():
+    def _mk_rule(name):
+        def q(spark, sf):
+            return _insight_rule(name, valid(spark, sf))
+        q.__doc__ = f"Insight rule {name} over the KPI tables of valid lines."
+        return q
+    register(_name, _ins(_body))(_mk_rule(_name))
+
+
+@register("ins_concentration_skewed", _ins(INS_SQL["ins_concentration"], skewed=True))
+def q_ins_concentration_skewed(spark, sf):
+    """I1 on the five-zone view, where the top three hold most revenue."""
+    return _insight_rule("ins_concentration", valid(spark, sf, skewed=True))
+
+
+@register("generate_insights", _ins(GEN_INS_SQL))
+def q_generate_insights(spark, sf):
+    """All eight rules, ordered by impact."""
+    return IN.generate_insights(valid(spark, sf))
+
+
+@register("generate_insights_skewed", _ins(GEN_INS_SQL, skewed=True))
+def q_generate_insights_skewed(spark, sf):
+    """I9 on the five-zone view."""
+    return IN.generate_insights(valid(spark, sf, skewed=True))
+
+
+@register("insight_counts", _ins(
+    "SELECT COUNT(*) AS insight_count, COUNT(*) FILTER (WHERE impact = 'High') AS high_count, "
+    f"COUNT(*) - COUNT(*) FILTER (WHERE impact = 'Low') AS actions_prioritized FROM ({GEN_INS_SQL}) g"))
+def q_insight_counts(spark, sf):
+    """Insight total, High count, total minus Low."""
+    return IN.insight_counts(IN.generate_insights(valid(spark, sf)))
+
+
+CHK_COLS = "check_pos, type, severity, message, entity, value, drop_percent, states"
+_NULLS = "CAST(NULL AS DOUBLE) AS drop_percent, CAST(NULL AS VARCHAR[]) AS states"
+
+CHK_SQL = {
+    "chk_category": f"""SELECT 1 AS check_pos, 'underperforming_category' AS type, 'high' AS severity,
+  'Category ''' || category || ''' earns ₹' || {F0('revenue')} || ' vs avg ₹' || {F0('av')} AS message,
+  category AS entity, CAST(revenue AS DOUBLE) AS value, {_NULLS}
+FROM ct, (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS av FROM ct) a WHERE revenue < av * 0.5""",
+    "chk_weak_market": f"""SELECT 2 AS check_pos, 'weak_market' AS type, 'medium' AS severity,
+  '''' || ship_state || ''' is a weak market — only ₹' || {F0('revenue')} || ' revenue' AS message,
+  ship_state AS entity, CAST(revenue AS DOUBLE) AS value, {_NULLS}
+FROM st, (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS av FROM st) a WHERE revenue < av * 0.3""",
+    "chk_mom_drop": f"""SELECT 3 AS check_pos, 'mom_revenue_drop' AS type, 'critical' AS severity,
+  'Revenue dropped ' || {F1('dr')} || '% from ' || py || ' to ' || ly AS message,
+  CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS DOUBLE) AS value,
+  CAST(round_even(CAST(dr AS DECIMAL(38,6)), 2) AS DOUBLE) AS drop_percent, CAST(NULL AS VARCHAR[]) AS states
+FROM (SELECT *, (CAST(pr AS DOUBLE) - CAST(lr AS DOUBLE)) / CAST(pr AS DOUBLE) * 100 AS dr FROM (
+  SELECT COUNT(*) AS n, arg_max(year_month, year_month) AS ly, arg_max(revenue, year_month) AS lr,
+         arg_min(year_month, year_month) AS py, arg_min(revenue, year_month) AS pr
+  FROM (SELECT * FROM tr ORDER BY year_month DESC LIMIT 2) l2) x) y
+WHERE n >= 2 AND pr > 0 AND dr > 20""",
+    "chk_low_rate": f"""SELECT 4 AS check_pos, 'low_fulfillment_rate' AS type, 'critical' AS severity,
+  'Only ' || {F1('r')} || '% orders fulfilled — major operational risk' AS message,
+  CAST(NULL AS VARCHAR) AS entity, r AS value, {_NULLS}
+FROM (SELECT COALESCE(fulfillment_rate, 100.0) AS r FROM sc) x WHERE r < 60""",
+    "chk_expansion": """SELECT 5 AS check_pos, 'expansion_opportunity' AS type, 'low' AS severity,
+  CAST(n AS VARCHAR) || ' states identified as expansion targets' AS message,
+  CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS drop_percent,
+  states
+FROM (SELECT COUNT(*) AS n, list(ship_state ORDER BY fulfillment_rate DESC, ship_state) AS states FROM tg) x
+WHERE n > 0""",
+}
+
+RUN_CHECKS_SQL = " UNION ALL ".join(f"SELECT {CHK_COLS} FROM ({s})" for s in CHK_SQL.values())
+
+
+def _check(name, df):
+    if name == "chk_category":
+        return CK.chk_category(K.revenue_by_category(df))
+    if name == "chk_weak_market":
+        return CK.chk_weak_market(K.revenue_by_state(df))
+    if name == "chk_mom_drop":
+        return CK.chk_mom_drop(K.monthly_trend(df))
+    if name == "chk_low_rate":
+        return CK.chk_low_rate(K.scalar_kpis(df))
+    if name == "chk_expansion":
+        return CK.chk_expansion(MK.expansion_targets(df))
+    raise KeyError(name)
+
+
+for _name, _body in CHK_SQL.items():
+    def _mk_chk(name):
+        def q(spark, sf):
+            return _check(name, valid(spark, sf))
+        q.__doc__ = f"Check {name} over the KPI tables of valid lines."
+        return q
+    register(_name, _ins(_body))(_mk_chk(_name))
+
+
+@register("chk_weak_market_skewed", _ins(CHK_SQL["chk_weak_market"], skewed=True))
+def q_chk_weak_market_skewed(spark, sf):
+    """C2 on the five-zone view (one zone under 0.3 x mean)."""
+    return _check("chk_weak_market", valid(spark, sf, skewed=True))
+
+
+@register("run_checks", _ins(RUN_CHECKS_SQL))
+def q_run_checks(spark, sf):
+    """C1-C5 in order."""
+    return CK.run_checks(valid(spark, sf))
+
+
+@register("run_checks_skewed", _ins(RUN_CHECKS_SQL, skewed=True))
+def q_run_checks_skewed(spark, sf):
+    """C6 on the five-zone view."""
+    return CK.run_checks(valid(spark, sf, skewed=True))
+
+
+def _top_findings_sql(skewed=False):
+    return _ins(f"""SELECT {CHK_COLS} FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY severity IN ('high', 'critical')
+              ORDER BY check_pos, value DESC NULLS LAST, entity ASC NULLS FIRST) AS pos,
+         MAX(CAST(severity IN ('high', 'critical') AS INT)) OVER () AS any_hi
+  FROM ({RUN_CHECKS_SQL}) f) r
+WHERE (any_hi = 1 AND severity IN ('high', 'critical') AND pos <= 5) OR (any_hi = 0 AND pos <= 5)""",
+                skewed=skewed)
+
+
+@register("top_findings", _top_findings_sql())
+def q_top_findings(spark, sf):
+    """First five high/critical findings (all findings when none is)."""
+    return CK.top_findings(CK.run_checks(valid(spark, sf)))
