@@ -816,3 +816,404 @@ WHERE (any_hi = 1 AND severity IN ('high', 'critical') AND pos <= 5) OR (any_hi
 def q_top_findings(spark, sf):
     """First five high/critical findings (all findings when none is)."""
     return CK.top_findings(CK.run_checks(valid(spark, sf)))
+
+
+# =============================================================================
+# Single-step cleaning operators (P1-P26), sources S3/S5/S6
+# =============================================================================
+
+from ordersight.functions import dates as D  # noqa: E402
+from ordersight.functions import flags as FL  # noqa: E402
+from ordersight.functions.text import py_strip, upper_strip  # noqa: E402
+from ordersight.schema import LOAD_DEFAULTS, MAPPED_DEFAULTS  # noqa: E402
+from ordersight.sources.star import raw_export_view  # noqa: E402
+
+ST = O.sql_strip if hasattr(O, "sql_strip") else None
+from ordersight.functions.text import sql_strip as SS  # noqa: E402
+
+
+def _s(body, policy="exact"):
+    return O.with_ctes(body, policy=policy)
+
+
+def raw_canonical(spark, sf):
+    """The text export with headers trimmed and renamed (all strings)."""
+    return C.rename_canonical(C.trim_headers(raw_export_view(spark, sf)))
+
+
+@register("clean_state", _s(f"SELECT order_id, ship_state AS raw_state, upper({SS('ship_state')}) AS ship_state FROM sales"))
+def q_clean_state(spark, sf):
+    """ship_state upper + Python-style strip."""
+    return sales(spark, sf).select("order_id", F.col("ship_state").alias("raw_state"),
+                                   C.clean_state().alias("ship_state"))
+
+
+@register("clean_city", _s(f"SELECT order_id, ship_city AS raw_city, upper({SS('ship_city')}) AS ship_city FROM sales"))
+def q_clean_city(spark, sf):
+    """ship_city upper + strip."""
+    return sales(spark, sf).select("order_id", F.col("ship_city").alias("raw_city"),
+                                   C.clean_city().alias("ship_city"))
+
+
+@register("clean_category_status", _s(
+    f"SELECT order_id, {SS('category')} AS category, {SS('status')} AS status FROM sales"))
+def q_clean_category_status(spark, sf):
+    """Strip category and status (no upper)."""
+    return sales(spark, sf).select("order_id", C.clean_text("category").alias("category"),
+                                   C.clean_text("status").alias("status"))
+
+
+RAWX = "SELECT order_id, strftime(order_date, '%m-%d-%y') AS date_text, CAST(amount AS VARCHAR) AS amount_text FROM sales"
+ANY_FMTS = ["%m-%d-%y", "%m-%d-%y", "%Y-%m-%d", "%m-%d-%Y", "%m-%d-%Y", "%Y/%m/%d", "%m/%d/%Y",
+            "%m/%d/%Y", "%m/%d/%y", "%m/%d/%y", "%d-%b-%y", "%d-%b-%Y", "%Y%m%d"]
+
+
+@register("parse_date", _s(
+    f"SELECT order_id, date_text, CAST(try_strptime(date_text, '%m-%d-%y') AS DATE) AS order_date FROM ({RAWX}) r"))
+def q_parse_date(spark, sf):
+    """Strict month-day-2-digit-year text -> date (bad -> null)."""
+    r = raw_canonical(spark, sf)
+    return r.select("order_id", F.col("order_date").alias("date_text"),
+                    D.parse_date("order_date").alias("order_date"))
+
+
+@register("parse_date_any", _s(
+    "SELECT order_id, date_text, CAST(coalesce(" +
+    ", ".join(f"try_strptime(date_text, '{f}')" for f in ANY_FMTS) +
+    f") AS DATE) AS order_date FROM ({RAWX}) r"))
+def q_parse_date_any(spark, sf):
+    """P5: lenient date parse, first format that parses wins."""
+    r = raw_canonical(spark, sf)
+    return r.select("order_id", F.col("order_date").alias("date_text"),
+                    D.parse_date_any("order_date").alias("order_date"))
+
+
+@register("year_month", _s("SELECT order_id, order_date, strftime(order_date, '%Y-%m') AS year_month FROM sales"))
+def q_year_month(spark, sf):
+    """Yyyy-MM month label."""
+    return sales(spark, sf).select("order_id", "order_date", D.year_month("order_date").alias("year_month"))
+
+
+for _key, _policy, _doc in (("fulfilled_exact", "exact", "P7: stripped status in the exact set."),
+                            ("fulfilled_regex", "regex", "P8: ship/deliver/complet/fulfil, any case."),
+                            ("fulfilled_upper_in", "upper_in", "P9: UPPER(TRIM(status)) IN (...)."),
+                            ("shipped_flag", "shipped_only", "P10: status = 'Shipped'."),
+                            ("shipped_flag_bi", "bi", "P11: two values, no stripping.")):
+    def _mk_flag(policy, doc):
+        def q(spark, sf):
+            return sales(spark, sf).select("order_id", "status",
+                                           FL.fulfilled("status", policy).alias("is_fulfilled"))
+        q.__doc__ = doc
+        return q
+    register(_key, _s(f"SELECT order_id, status, {O.fulfilled_sql('status', _policy)} AS is_fulfilled FROM sales"))(
+        _mk_flag(_policy, _doc))
+
+
+@register("b2b_int", _s(
+    f"SELECT order_id, is_b2b_raw, CASE WHEN upper({SS('is_b2b_raw')}) IN ('TRUE', '1', 'YES') THEN 1 ELSE 0 END AS is_b2b FROM sales"))
+def q_b2b_int(spark, sf):
+    """Raw TRUE/1/YES -> 1 else 0."""
+    return sales(spark, sf).select("order_id", "is_b2b_raw", FL.b2b_int("is_b2b_raw").alias("is_b2b"))
+
+
+@register("b2b_label", _s(
+    "SELECT order_id, is_b2b_raw, CASE WHEN upper(trim(is_b2b_raw)) IN ('TRUE', '1', 'YES', 'B2B') "
+    "THEN 'B2B' ELSE 'B2C' END AS b2b_flag FROM sales"))
+def q_b2b_label(spark, sf):
+    """TRUE/1/YES/B2B -> 'B2B' else 'B2C'."""
+    return sales(spark, sf).select("order_id", "is_b2b_raw", FL.b2b_label("is_b2b_raw").alias("b2b_flag"))
+
+
+@register("coerce_amount", _s(
+    f"SELECT order_id, amount_text, TRY_CAST({SS('amount_text')} AS DECIMAL(12,2)) AS amount FROM ({RAWX}) r"))
+def q_coerce_amount(spark, sf):
+    """Amount text -> decimal(12,2), bad -> null."""
+    r = raw_canonical(spark, sf)
+    return r.select("order_id", F.col("amount").alias("amount_text"),
+                    FL.coerce_amount(r, "amount").alias("amount"))
+
+
+@register("valid_amount_filter", _s("SELECT order_id, amount FROM sales WHERE amount > 0"))
+def q_valid_amount_filter(spark, sf):
+    """Keep amount > 0 (pushed into the scan)."""
+    return C.valid_sales(sales(spark, sf)).select("order_id", "amount")
+
+
+@register("amount_valid_flag", _s(
+    "SELECT order_id, amount, CASE WHEN amount IS NULL OR amount <= 0 THEN 0 ELSE 1 END AS amount_valid FROM sales"))
+def q_amount_valid_flag(spark, sf):
+    """0 if null or <= 0 else 1, every row kept."""
+    return sales(spark, sf).select("order_id", "amount", FL.amount_valid("amount").alias("amount_valid"))
+
+
+@register("add_column_if_absent", _s(
+    f"SELECT order_id, status, {O.fulfilled_sql('status', 'upper_in')} AS is_fulfilled FROM sales"))
+def q_add_column_if_absent(spark, sf):
+    """Add is_fulfilled when absent, then set it (UPDATE)."""
+    s = C.add_column_if_absent(sales(spark, sf), "is_fulfilled", F.lit(None).cast("int"))
+    return s.withColumn("is_fulfilled", FL.fulfilled("status", "upper_in")).select(
+        "order_id", "status", "is_fulfilled")
+
+
+@register("update_set", O.with_ctes(
+    "SELECT order_id, ship_state, ship_city, is_fulfilled, amount_valid, b2b_flag FROM sqlt",
+    extra=SQLT_CTE))
+def q_update_set(spark, sf):
+    """The cleaning UPDATEs as one projection into a new table."""
+    return sql_table(spark, sf).select("order_id", "ship_state", "ship_city", "is_fulfilled",
+                                       "amount_valid", "b2b_flag")
+
+
+def _defaults_sql(defaults):
+    cols = ", ".join(f"{v!r} AS {k}" if isinstance(v, str) else f"{v} AS {k}" for k, v in defaults.items())
+    return _s(f"SELECT order_id, order_date, amount, {cols} FROM sales")
+
+
+@register("default_missing", _defaults_sql(LOAD_DEFAULTS))
+def q_default_missing(spark, sf):
+    """A table with only id/date/amount gets the load defaults."""
+    s = sales(spark, sf).select("order_id", "order_date", "amount")
+    return C.default_missing(s)
+
+
+@register("default_missing_mapped", _defaults_sql(MAPPED_DEFAULTS))
+def q_default_missing_mapped(spark, sf):
+    """P20: a mapped table with only id/date/amount gets the mapping defaults."""
+    s = sales(spark, sf).select("order_id", "order_date", "amount")
+    return C.default_missing_mapped(s)
+
+
+@register("synthetic_order_id")
+def q_synthetic_order_id(spark, sf):
+    """Lines without an order id get a unique synthetic id (not dense)."""
+    s = sales(spark, sf).drop("order_id")
+    return C.synthetic_order_id(s).select("order_id", "ship_state", "amount")
+
+
+@register("null_amount_rows", _s("SELECT order_id, amount FROM sales WHERE amount IS NULL"))
+def q_null_amount_rows(spark, sf):
+    """The lines with a null amount (first script's audit filter)."""
+    return sales(spark, sf).filter(F.col("amount").isNull()).select("order_id", "amount")
+
+
+@register("nan_to_null", O.with_ctes(MONTHLY_SQL))
+def q_nan_to_null(spark, sf):
+    """P25: NaN -> null in the floating columns of a KPI table (monthly trend)."""
+    return C.nan_to_null(K.monthly_trend(valid(spark, sf)))
+
+
+@register("drop_null_mom", O.with_ctes(f"SELECT * FROM ({MONTHLY_SQL}) m WHERE revenue_mom_pct IS NOT NULL"))
+def q_drop_null_mom(spark, sf):
+    """Drop trend rows without a MoM value."""
+    return C.drop_null(K.monthly_trend(valid(spark, sf)), ["revenue_mom_pct"])
+
+
+@register("rename_canonical", _s(
+    "SELECT order_id, strftime(order_date, '%m-%d-%y') AS order_date, status, fulfillment, sales_channel, "
+    "ship_service AS ship_service, style, sku, category, size, asin, courier_status, "
+    "CAST(quantity AS VARCHAR) AS quantity, currency, CAST(amount AS VARCHAR) AS amount, ship_city, "
+    "ship_state, ship_country AS \"ship-country\", is_b2b_raw, fulfillment_type FROM sales"))
+def q_rename_canonical(spark, sf):
+    """S2 + S3: trim headers, rename export headers to canonical names."""
+    r = raw_canonical(spark, sf)
+    return r.drop("index", "ship-postal-code", "promotion-ids", "Unnamed: 22")
+
+
+@register("sales_ddl", O.with_ctes(
+    "SELECT order_id, order_date, status, fulfillment, sales_channel, ship_service, style, sku, "
+    "category, size, asin, courier_status, quantity, currency, amount, ship_city, ship_state, "
+    "is_b2b_raw AS b2b_flag, 0 AS is_fulfilled, 1 AS amount_valid FROM sales"))
+def q_sales_ddl(spark, sf):
+    """The lines conformed to the 20-column table, flag defaults applied."""
+    return C.conform_ddl_v2(sales(spark, sf))
+
+
+LOAD_FROM_DF_SQL = f"""SELECT order_id, order_date, {SS('status')} AS status,
+  upper({SS('ship_state')}) AS ship_state, upper({SS('ship_city')}) AS ship_city,
+  {SS('category')} AS category, strftime(order_date, '%Y-%m') AS year_month,
+  {O.fulfilled_sql(SS('status'), 'regex')} AS is_fulfilled, 0 AS is_b2b, amount
+FROM sales WHERE amount > 0"""
+
+
+@register("load_from_df", _s(LOAD_FROM_DF_SQL))
+def q_load_from_df(spark, sf):
+    """Lenient load of an already-loaded table (defaults, any date format,
+    regex fulfillment, B2B 0, valid amounts)."""
+    return C.load_from_df(sales(spark, sf)).select(
+        "order_id", "order_date", "status", "ship_state", "ship_city", "category", "year_month",
+        "is_fulfilled", "is_b2b", "amount")
+
+
+# =============================================================================
+# Workbook sheets
+# =============================================================================
+
+from ordersight.operators import bi as BI  # noqa: E402
+
+BI_RATE = (f"CAST(SUM({O.fulfilled_sql('status', 'bi')}) AS DOUBLE) / CAST(COUNT(order_id) AS DOUBLE)")
+
+
+@register("bi_fulfillment_rate", _s(f"SELECT ship_state, {BI_RATE} AS fulfillment_rate FROM sales GROUP BY ship_state"))
+def q_bi_fulfillment_rate(spark, sf):
+    """SUM(flag) / COUNT(order id) by raw state."""
+    return BI.bi_fulfillment_rate(sales(spark, sf))
+
+
+@register("bi_category_perf", _s(
+    f"SELECT category, {M('SUM(amount)')} AS revenue, {BI_RATE} AS fulfillment_rate FROM sales GROUP BY category"))
+def q_bi_category_perf(spark, sf):
+    """Revenue and rate by category."""
+    return BI.bi_category_perf(sales(spark, sf))
+
+
+@register("bi_category_perf_channel", _s(
+    f"SELECT category, {M('SUM(amount)')} AS revenue, {BI_RATE} AS fulfillment_rate FROM sales "
+    f"WHERE sales_channel IN ('Amazon.in', 'Non-Amazon') GROUP BY category"))
+def q_bi_category_perf_channel(spark, sf):
+    """A31 second sheet with the P23 channel filter."""
+    return BI.bi_category_perf(sales(spark, sf), channel_filter=True)
+
+
+@register("filter_channel_in", _s(
+    "SELECT order_id, sales_channel FROM sales WHERE sales_channel IN ('Amazon.in', 'Non-Amazon')"))
+def q_filter_channel_in(spark, sf):
+    """Channel member filter."""
+    return BI.filter_channel_in(sales(spark, sf)).select("order_id", "sales_channel")
+
+
+@register("filter_state_not_in", _s(
+    "SELECT order_id, ship_state FROM sales WHERE ship_state IS NULL OR ship_state NOT IN ('Odisha')"))
+def q_filter_state_not_in(spark, sf):
+    """All members except 'Odisha' (nulls kept)."""
+    return BI.filter_state_not_in(sales(spark, sf)).select("order_id", "ship_state")
+
+
+@register("bi_efficiency", _s(f"""SELECT ship_state, {M('revenue')} AS revenue, order_count,
+  {R('SUM(revenue) OVER ()', 'COUNT(revenue) OVER ()')} AS avg_revenue,
+  {R('SUM(order_count) OVER ()', 'COUNT(order_count) OVER ()')} AS avg_order_count
+FROM (SELECT ship_state, SUM(amount) AS revenue, COUNT(order_id) AS order_count FROM sales GROUP BY ship_state) p"""))
+def q_bi_efficiency(spark, sf):
+    """Per-state revenue and order count with table-wide averages."""
+    return BI.bi_efficiency(sales(spark, sf))
+
+
+@register("bi_fulfillment_quality", _s(f"""SELECT ship_state, fulfillment_rate, {M('revenue')} AS revenue,
+  round(AVG(fulfillment_rate) OVER (), 9) AS avg_fulfillment_rate,
+  {R('SUM(revenue) OVER ()', 'COUNT(revenue) OVER ()')} AS avg_revenue
+FROM (SELECT ship_state, {BI_RATE} AS fulfillment_rate, SUM(amount) AS revenue FROM sales
+      WHERE ship_state IS NULL OR ship_state NOT IN ('Odisha') GROUP BY ship_state) p"""))
+def q_bi_fulfillment_quality(spark, sf):
+    """Per-state rate and revenue with pane averages, 'Odisha' excluded."""
+    return BI.bi_fulfillment_quality(sales(spark, sf))
+
+
+@register("bi_revenue_by_state", _s(f"SELECT ship_state, {M('SUM(amount)')} AS revenue FROM sales GROUP BY ship_state"))
+def q_bi_revenue_by_state(spark, sf):
+    """Revenue by raw state."""
+    return BI.bi_revenue_by_state(sales(spark, sf))
+
+
+@register("bi_geo_drill", _s(f"""SELECT ship_country, ship_state, ship_city, {M('SUM(amount)')} AS revenue,
+  COUNT(*) AS lines,
+  CAST(3 - GROUPING(ship_country) - GROUPING(ship_state) - GROUPING(ship_city) AS INT) AS level
+FROM sales GROUP BY ROLLUP (ship_country, ship_state, ship_city)"""))
+def q_bi_geo_drill(spark, sf):
+    """Country -> state -> city drill path as one ROLLUP."""
+    return BI.bi_geo_drill(sales(spark, sf))
+
+
+_ORDER_LIST = ", ".join("'" + m + "'" for m in BI.STATE_MEMBER_ORDER)
+
+
+@register("manual_sort", _s(f"""SELECT ship_state, revenue,
+  CAST(CASE WHEN list_position([{_ORDER_LIST}], ship_state) > 0 THEN list_position([{_ORDER_LIST}], ship_state)
+       ELSE {len(BI.STATE_MEMBER_ORDER) + 1} END AS INT) AS sort_pos
+FROM (SELECT ship_state, {M('SUM(amount)')} AS revenue FROM sales GROUP BY ship_state) p"""))
+def q_manual_sort(spark, sf):
+    """T5: states in the explicit member order (others after, by name)."""
+    return BI.manual_sort(BI.bi_revenue_by_state(sales(spark, sf)), "ship_state")
+
+
+@register("member_except", _s("SELECT DISTINCT ship_state FROM sales EXCEPT SELECT 'Odisha'"))
+def q_member_except(spark, sf):
+    """State members except the excluded member."""
+    return BI.member_except(sales(spark, sf))
+
+
+@register("member_union", _s(
+    "SELECT DISTINCT sales_channel FROM sales WHERE sales_channel = 'Amazon.in' "
+    "UNION SELECT DISTINCT sales_channel FROM sales WHERE sales_channel = 'Non-Amazon'"))
+def q_member_union(spark, sf):
+    """Union of two member selections (distinct)."""
+    s = sales(spark, sf).select("sales_channel")
+    return (s.filter(F.col("sales_channel") == "Amazon.in")
+             .union(s.filter(F.col("sales_channel") == "Non-Amazon")).distinct())
+
+
+# =============================================================================
+# Report data sets and JSON boundary
+# =============================================================================
+
+from ordersight.operators import report as RP  # noqa: E402
+
+
+@register("rate_status", O.with_ctes(
+    f"SELECT fulfillment_rate, CASE WHEN fulfillment_rate >= 85 THEN 'On Target' ELSE 'Below Target' END "
+    f"AS rate_status FROM ({SCALAR_SQL}) s"))
+def q_rate_status(spark, sf):
+    """Overall rate against the 85 % target."""
+    return RP.rate_status(K.scalar_kpis(valid(spark, sf)))
+
+
+@register("run_summary", _ins(
+    f"SELECT total_orders, total_revenue, (SELECT COUNT(*) FROM ({GEN_INS_SQL}) g) AS insight_count, "
+    f"(SELECT COUNT(*) FROM valid) AS total_rows, fulfillment_rate FROM sc"))
+def q_run_summary(spark, sf):
+    """Orders, revenue, insight count, rows, rate for one run."""
+    v = valid(spark, sf)
+    return RP.run_summary(v, IN.generate_insights(v))
+
+
+@register("export_json", O.with_ctes(
+    f"SELECT to_json(struct_pack(ship_state := ship_state, revenue := revenue, orders := orders, "
+    f"fulfillment_rate := fulfillment_rate, revenue_share_pct := revenue_share_pct))::VARCHAR AS record "
+    f"FROM ({REV_BY_STATE_SQL}) s"))
+def q_export_json(spark, sf):
+    """K4: revenue by state as JSON records."""
+    return RP.export_json(K.revenue_by_state(valid(spark, sf)))
+
+
+EXPORT_INS_SQL = (f"SELECT to_json(struct_pack(title := title, detail := detail, impact := impact, "
+                  f"action := action, category := category, metric_value := metric_value))::VARCHAR AS record "
+                  f"FROM ({GEN_INS_SQL}) g")
+
+
+@register("export_insights_json", _ins(EXPORT_INS_SQL))
+def q_export_insights_json(spark, sf):
+    """K5: insights as JSON records."""
+    return RP.export_insights_json(IN.generate_insights(valid(spark, sf)))
+
+
+@register("table_counts", _ins(
+    f"SELECT 'cleaned_orders' AS table_name, (SELECT COUNT(*) FROM valid) AS row_count "
+    f"UNION ALL SELECT 'revenue_by_state', (SELECT COUNT(*) FROM st) "
+    f"UNION ALL SELECT 'revenue_by_category', (SELECT COUNT(*) FROM ct) "
+    f"UNION ALL SELECT 'monthly_trend', (SELECT COUNT(*) FROM tr) "
+    f"UNION ALL SELECT 'insights', (SELECT COUNT(*) FROM ({GEN_INS_SQL}) g) "
+    f"UNION ALL SELECT 'findings', (SELECT COUNT(*) FROM ({RUN_CHECKS_SQL}) c)"))
+def q_table_counts(spark, sf):
+    """K6: row counts of the tables one run produces."""
+    v = valid(spark, sf)
+    return RP.table_counts({
+        "cleaned_orders": v, "revenue_by_state": K.revenue_by_state(v),
+        "revenue_by_category": K.revenue_by_category(v), "monthly_trend": K.monthly_trend(v),
+        "insights": IN.generate_insights(v), "findings": CK.run_checks(v)})
+
+
+@register("parse_insight_json", _ins(
+    f"SELECT title, detail, impact, action, category, metric_value FROM ({GEN_INS_SQL}) g"))
+def q_parse_insight_json(spark, sf):
+    """K9: fenced JSON array text (one per insight record) -> INSIGHT rows."""
+    recs = RP.export_insights_json(IN.generate_insights(valid(spark, sf)))
+    texts = recs.select(F.concat(F.lit("```json\n["), F.col("record"), F.lit("]\n```")).alias("text"))
+    return RP.parse_insight_json(texts)
