@@ -32,12 +32,17 @@ def _char_class() -> str:
 
 WS_CLASS = _char_class()
 STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
+# The same set as a plain string of characters (for TRIM(BOTH chars FROM s)).
+WS_CHARS = "".join(chr(cp) for lo, hi in _whitespace_ranges() for cp in range(lo, hi + 1))
 
 
 def py_strip(col) -> Column:
-    """``str.strip()`` on a string column (null stays null)."""
+    """``str.strip()`` on a string column (null stays null).
+
+    Spark's native character-set trim; no regular expression per row.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def upper_strip(col) -> Column:
@@ -47,7 +52,8 @@ def upper_strip(col) -> Column:
 
 def sql_strip(expr: str) -> str:
     """The same strip as DuckDB SQL text (used by the oracle)."""
-    return f"regexp_replace({expr}, '{STRIP_PATTERN}', '', 'g')"
+    chars = " || ".join(f"chr({ord(c)})" for c in WS_CHARS)
+    return f"trim({expr}, {chars})"
 
 
 def header_norm(col) -> Column:

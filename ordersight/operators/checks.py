@@ -102,12 +102,13 @@ def chk_expansion(targets: DataFrame) -> DataFrame:
                     states=F.transform(F.col("a"), lambda x: x["s"]))
 
 
-def run_checks(df: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
-    """C1-C5 concatenated in order."""
-    cats, states = K.revenue_by_category(df), K.revenue_by_state(df)
-    parts = [chk_category(cats, cfg), chk_weak_market(states, cfg),
-             chk_mom_drop(K.monthly_trend(df), cfg), chk_low_rate(K.scalar_kpis(df), cfg),
-             chk_expansion(MK.expansion_targets(df))]
+def run_checks(df: DataFrame, cfg: CheckConfig = CheckConfig(), bundle=None) -> DataFrame:
+    """C1-C5 concatenated in order (KPI tables computed once)."""
+    from ordersight.operators.bundle import kpi_bundle
+    b = bundle or kpi_bundle(df)
+    parts = [chk_category(b.categories, cfg), chk_weak_market(b.states, cfg),
+             chk_mom_drop(b.months, cfg), chk_low_rate(b.scalars, cfg),
+             chk_expansion(b.targets)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

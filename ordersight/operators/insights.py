@@ -271,20 +271,22 @@ def impact_rank(col="impact"):
 
 
 def generate_insights(df: DataFrame, cfg: InsightConfig = InsightConfig(),
-                      pillars: int = 2) -> DataFrame:
+                      pillars: int = 2, bundle=None) -> DataFrame:
     """I1-I8 over the KPI tables of valid lines, concatenated, stably ordered by
-    impact (then rule, then entity)."""
-    states = K.revenue_by_state(df)
-    scal = K.scalar_kpis(df)
+    impact (then rule, then entity). The KPI tables are computed once
+    (``operators.bundle``) unless a bundle is passed in."""
+    from ordersight.operators.bundle import kpi_bundle
+    b = bundle or kpi_bundle(df, pillars)
+    states, scal = b.states, b.scalars
     overall_rate = scal.select("fulfillment_rate").scalar()
     parts = [
         ins_concentration(states, cfg),
-        ins_mom_trend(K.monthly_trend(df), cfg),
+        ins_mom_trend(b.months, cfg),
         ins_leakage(states, overall_rate, cfg),
-        ins_expansion(MK.expansion_targets(df, pillars), cfg),
-        ins_weak_category(K.revenue_by_category(df), cfg),
+        ins_expansion(b.targets, cfg),
+        ins_weak_category(b.categories, cfg),
         ins_b2b(scal, cfg),
-        ins_method_gap(K.by_fulfillment_method(df), cfg),
+        ins_method_gap(b.methods, cfg),
         ins_riskfree(states, cfg),
     ]
     out = parts[0]

@@ -59,11 +59,12 @@ def share_of_total(df: DataFrame, col: str = "revenue", out: str = "revenue_shar
 
 # ---- scalar KPIs (A1-A6) ------------------------------------------------------
 
-def scalar_kpis(df: DataFrame) -> DataFrame:
+def scalar_kpis(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """One row: total_revenue, total_orders, total_quantity, avg_order_value
-    (mean line amount), fulfillment_rate (mean flag x 100), b2b_revenue_share."""
-    a = aggregate(df, None, ["revenue", "orders", "quantity", "amount_n", "lines",
-                             "fulfilled", "b2b_revenue"])
+    (mean line amount), fulfillment_rate (mean flag x 100), b2b_revenue_share.
+    ``aggregated``: ``df`` already is the one-row base-measure total."""
+    a = df if aggregated else aggregate(df, None, ["revenue", "orders", "quantity", "amount_n",
+                                                   "lines", "fulfilled", "b2b_revenue"])
     return a.select(
         money("revenue").alias("total_revenue"),
         F.col("orders").alias("total_orders"),
@@ -100,7 +101,7 @@ def b2b_revenue_share(df):
 
 # ---- per-dimension tables (A7-A14) ---------------------------------------------
 
-def kpi_by(df: DataFrame, dim: str, metrics) -> DataFrame:
+def kpi_by(df: DataFrame, dim: str, metrics, aggregated: bool = False) -> DataFrame:
     """Generic per-dimension KPI table.
 
     metrics (any subset, output order kept): revenue, orders, quantity,
@@ -119,7 +120,7 @@ def kpi_by(df: DataFrame, dim: str, metrics) -> DataFrame:
             "revenue_share_pct": {"revenue"}, "lines": {"lines"},
         }[m]
     bases = [b for b in BASE if b in need]
-    a = aggregate(df, dim, bases)
+    a = df if aggregated else aggregate(df, dim, bases)
     if "revenue_share_pct" in metrics:
         a = share_of_total(a, "revenue", "revenue_share_pct")
     cols = {
@@ -137,26 +138,35 @@ def kpi_by(df: DataFrame, dim: str, metrics) -> DataFrame:
     return a.select(F.col(dim), *[cols[m].alias(m) for m in metrics])
 
 
-def revenue_by_state(df: DataFrame) -> DataFrame:
+def revenue_by_state(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """ship_state, revenue, orders, fulfillment_rate, revenue_share_pct;
-    revenue descending (state breaks ties)."""
-    return (kpi_by(df, "ship_state", ["revenue", "orders", "fulfillment_rate",
-                                      "revenue_share_pct"])
-            .orderBy(F.desc("revenue"), F.asc("ship_state")))
-
-
-def revenue_by_category(df: DataFrame, with_quantity: bool = True) -> DataFrame:
+    revenue descending (state breaks ties). ``aggregated``: ``df`` already
+    holds per-state base measures (revenue, orders, lines, fulfilled)."""
+    if aggregated:
+        a = share_of_total(df, "revenue", "revenue_share_pct")
+        out = a.select("ship_state", money("revenue").alias("revenue"), "orders",
+                       pct(F.col("fulfilled"), F.col("lines")).alias("fulfillment_rate"),
+                       "revenue_share_pct")
+    else:
+        out = kpi_by(df, "ship_state", ["revenue", "orders", "fulfillment_rate",
+                                        "revenue_share_pct"])
+    return out.orderBy(F.desc("revenue"), F.asc("ship_state"))
+
+
+def revenue_by_category(df: DataFrame, with_quantity: bool = True,
+                        aggregated: bool = False) -> DataFrame:
     """Category, revenue, orders, [quantity], fulfillment_rate,
     avg_order_value = revenue / distinct orders."""
     metrics = ["revenue", "orders"] + (["quantity"] if with_quantity else []) + [
         "fulfillment_rate", "avg_order_value"]
-    return kpi_by(df, "category", metrics).orderBy(F.desc("revenue"), F.asc("category"))
+    return kpi_by(df, "category", metrics, aggregated).orderBy(F.desc("revenue"), F.asc("category"))
 
 
-def monthly_trend(df: DataFrame) -> DataFrame:
+def monthly_trend(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """A9 + W3: year_month, revenue, orders, revenue_mom_pct (vs previous present
     month row). Undated lines are left out of the trend."""
-    m = kpi_by(df.filter(F.col("year_month").isNotNull()), "year_month", ["revenue", "orders"])
+    m = kpi_by(df.filter(F.col("year_month").isNotNull()), "year_month", ["revenue", "orders"],
+               aggregated)
     return (m.withColumn("revenue_mom_pct", lag_change_pct("revenue", "year_month"))
              .orderBy("year_month"))
 
@@ -193,10 +203,10 @@ def by_channel(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("revenue"), F.asc("sales_channel")))
 
 
-def by_fulfillment_method(df: DataFrame) -> DataFrame:
+def by_fulfillment_method(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """Fulfillment, revenue, orders, fulfillment_rate; null keys dropped."""
     return (kpi_by(df.filter(F.col("fulfillment").isNotNull()), "fulfillment",
-                   ["revenue", "orders", "fulfillment_rate"])
+                   ["revenue", "orders", "fulfillment_rate"], aggregated)
             .orderBy(F.desc("revenue"), F.asc("fulfillment")))
 
 

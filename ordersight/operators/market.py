@@ -20,11 +20,22 @@ from ordersight.operators.kpis import (aggregate, exact_mean, money, revenue_by_
 QUADRANTS = ("Star market", "Revenue leakage", "Expansion target", "Low priority")
 
 
-def state_base(df: DataFrame, with_aov: bool = False) -> DataFrame:
-    """Per-state totals in ONE aggregate: distinct orders, fulfilled lines,
-    revenue, rate = fulfilled / distinct orders x 100, share, [mean amount]."""
-    bases = ["revenue", "orders", "fulfilled"] + (["amount_n"] if with_aov else [])
-    a = share_of_total(aggregate(df, "ship_state", bases), "revenue", "revenue_share_pct")
+STATE_BASES = ["revenue", "orders", "lines", "fulfilled", "amount_n"]
+
+
+def state_aggregate(df: DataFrame) -> DataFrame:
+    """ONE per-state aggregate carrying every base measure the state tables
+    need (revenue, distinct orders, lines, fulfilled, non-null amounts)."""
+    return aggregate(df, "ship_state", STATE_BASES)
+
+
+def state_base(df: DataFrame, with_aov: bool = False, aggregated: bool = False) -> DataFrame:
+    """Per-state totals: distinct orders, fulfilled lines, revenue,
+    rate = fulfilled / distinct orders x 100, share, [mean amount].
+    ``aggregated``: ``df`` already is ``state_aggregate`` output."""
+    agg = df if aggregated else aggregate(
+        df, "ship_state", ["revenue", "orders", "fulfilled"] + (["amount_n"] if with_aov else []))
+    a = share_of_total(agg, "revenue", "revenue_share_pct")
     cols = [F.col("ship_state"),
             F.col("orders").alias("total_orders"),
             F.col("fulfilled").cast("bigint").alias("fulfilled"),
@@ -36,10 +47,11 @@ def state_base(df: DataFrame, with_aov: bool = False) -> DataFrame:
     return a.select(*cols)
 
 
-def expansion_model(df: DataFrame, pillars: int = 2, method: str = "average") -> DataFrame:
+def expansion_model(df: DataFrame, pillars: int = 2, method: str = "average",
+                    aggregated: bool = False) -> DataFrame:
     """W7 (2 pillars: revenue, rate) / W8 (3 pillars: + mean amount):
     descending ranks (``method`` average or min), composite = sum, ascending."""
-    base = state_base(df, with_aov=pillars == 3)
+    base = state_base(df, with_aov=pillars == 3, aggregated=aggregated)
     ranked = base.withColumns({
         "revenue_rank": rank_by("revenue", method),
         "fulfillment_rank": rank_by("fulfillment_rate", method),
@@ -51,10 +63,11 @@ def expansion_model(df: DataFrame, pillars: int = 2, method: str = "average") ->
     return ranked.withColumn("composite_score", composite).orderBy("composite_score", "ship_state")
 
 
-def expansion_targets(df: DataFrame, pillars: int = 2, k: int = 10) -> DataFrame:
+def expansion_targets(df: DataFrame, pillars: int = 2, k: int = 10,
+                      aggregated: bool = False) -> DataFrame:
     """States with revenue below the median state revenue and rate above
     the mean state rate; rate descending (state breaks ties); first k."""
-    model = expansion_model(df, pillars)
+    model = expansion_model(df, pillars, aggregated=aggregated)
     median_rev = model.agg(F.percentile(F.col("revenue").cast("double"), F.lit(0.5))).scalar()
     mean_rate = model.agg(F.avg("fulfillment_rate")).scalar()
     return (model.filter((F.col("revenue") < median_rev) & (F.col("fulfillment_rate") > mean_rate))
