@@ -1217,3 +1217,73 @@ def q_parse_insight_json(spark, sf):
     recs = RP.export_insights_json(IN.generate_insights(valid(spark, sf)))
     texts = recs.select(F.concat(F.lit("```json\n["), F.col("record"), F.lit("]\n```")).alias("text"))
     return RP.parse_insight_json(texts)
+
+
+# =============================================================================
+# File sources (S1-S4, S7), streaming (ST1) and records (K7)
+# =============================================================================
+
+import uuid as _uuid  # noqa: E402
+
+from ordersight.operators import records as RC  # noqa: E402
+from ordersight.session import scratch_path  # noqa: E402
+from ordersight.sources import files as FS  # noqa: E402
+from ordersight.sources.star import read_table  # noqa: E402
+from ordersight.streaming import watch as WT  # noqa: E402
+
+_CSV_DIRS: dict = {}
+
+
+def csv_export_dir(spark, sf):
+    """The raw export of ``sf`` written once per session as CSV (two files)."""
+    key = (id(spark), sf)
+    if key not in _CSV_DIRS:
+        path = scratch_path(spark, f"csv-export-{_uuid.uuid4().hex[:8]}")
+        FS.write_csv_export(raw_export_view(spark, sf), path, files=2)
+        _CSV_DIRS[key] = path
+    return _CSV_DIRS[key]
+
+
+@register("scan_csv", O.with_ctes(REV_BY_STATE_SQL))
+def q_scan_csv(spark, sf):
+    """S1-S3 end to end: CSV export (text) -> headers trimmed and renamed ->
+    cleaned (dates and amounts parsed) -> revenue by state."""
+    lines = FS.scan_csv(spark, csv_export_dir(spark, sf))
+    return K.revenue_by_state(C.load_clean(lines))
+
+
+@register("load_infile", O.with_ctes(
+    "SELECT order_id, order_date, status, fulfillment, sales_channel, ship_service, style, sku, "
+    "category, size, asin, courier_status, quantity, currency, amount, ship_city, ship_state, "
+    "is_b2b_raw AS b2b_flag, 0 AS is_fulfilled, 1 AS amount_valid FROM sales"))
+def q_load_infile(spark, sf):
+    """Positional bulk load of the CSV into the 20-column table."""
+    return FS.load_infile(spark, csv_export_dir(spark, sf))
+
+
+@register("scan_text_schema", O.with_ctes(
+    'SELECT order_id AS "Order ID", status AS "Status", ship_state AS "ship-state", '
+    'quantity AS "Qty", CAST(amount AS DOUBLE) AS "Amount" FROM sales'))
+def q_scan_text_schema(spark, sf):
+    """The typed 24-column text scan (projected to five columns)."""
+    return FS.scan_text_schema(spark, csv_export_dir(spark, sf)).select(
+        "Order ID", "Status", "ship-state", "Qty", "Amount")
+
+
+@register("watch_csv_dir")
+def q_watch_csv_dir(spark, sf):
+    """ST1: the CSV files arrive in a watched folder; the streaming job
+    (availableNow) writes revenue by state per source file."""
+    out = scratch_path(spark, f"watch-out-{_uuid.uuid4().hex[:8]}")
+    ckpt = scratch_path(spark, f"watch-ckpt-{_uuid.uuid4().hex[:8]}")
+    q = WT.watch_csv_dir(spark, csv_export_dir(spark, sf), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@register("upsert_status", """SELECT user_id, event_type AS status, ts AS updated_at, event_id
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) e WHERE rn = 1""")
+def q_upsert_status(spark, sf):
+    """K7: last-write-wins status per key (latest event per user)."""
+    return RC.upsert_status(read_table(spark, sf, "events"))
