@@ -30,6 +30,12 @@ def job_summary(status: DataFrame, reports: DataFrame, excerpt: int = 500) -> Da
     return latest.join(rep, "job_id", "left")
 
 
+def job_docs_join(kpis: DataFrame, insights: DataFrame, research: DataFrame) -> DataFrame:
+    """A job's KPI record with its insight record (required: inner join)
+    and its research record (optional: left join), all keyed by job_id."""
+    return kpis.join(insights, "job_id", "inner").join(research, "job_id", "left")
+
+
 def normalise_email(col="email"):
     c = F.col(col) if isinstance(col, str) else col
     return F.lower(F.trim(c))

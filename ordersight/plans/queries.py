@@ -1287,3 +1287,125 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_
 def q_upsert_status(spark, sf):
     """K7: last-write-wins status per key (latest event per user)."""
     return RC.upsert_status(read_table(spark, sf, "events"))
+
+
+# =============================================================================
+# Remaining primitives: S2, J2-J4, T4, U1, sinks K1-K3
+# =============================================================================
+
+from ordersight.sources import sinks as SK  # noqa: E402
+
+
+@register("trim_headers", _s('SELECT order_id AS "Order ID", sales_channel AS "Sales Channel" FROM sales'))
+def q_trim_headers(spark, sf):
+    """Headers blank-stripped ("Sales Channel " -> "Sales Channel")."""
+    return C.trim_headers(raw_export_view(spark, sf)).select("Order ID", "Sales Channel")
+
+
+@register("share_scalar_subquery", O.with_ctes(
+    f"SELECT ship_state, {M('SUM(amount)')} AS revenue, "
+    f"{P('SUM(amount)', '(SELECT SUM(amount) FROM valid)')} AS revenue_share_pct FROM valid GROUP BY ship_state"))
+def q_share_scalar_subquery(spark, sf):
+    """Each state's revenue / an uncorrelated scalar subquery total x 100."""
+    v = valid(spark, sf)
+    total = v.agg(F.sum("amount")).scalar()
+    return (v.groupBy("ship_state").agg(F.sum("amount").alias("r"))
+             .select("ship_state", F.col("r").cast("decimal(38,2)").alias("revenue"),
+                     (F.col("r").cast("double") / total.cast("double") * 100).alias("revenue_share_pct")))
+
+
+@register("scalar_threshold_join", O.with_ctes(
+    f"SELECT ship_state, revenue, m AS mean_state_revenue FROM ({REV_BY_STATE_SQL}) s, "
+    f"(SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS m FROM ({REV_BY_STATE_SQL}) t) a WHERE revenue > m"))
+def q_scalar_threshold_join(spark, sf):
+    """States whose revenue is above the mean state revenue (row vs a
+    whole-table scalar)."""
+    st = K.revenue_by_state(valid(spark, sf))
+    mean = st.agg(K.exact_mean("revenue")).scalar()
+    return st.filter(F.col("revenue") > mean).select("ship_state", "revenue",
+                                                     mean.alias("mean_state_revenue"))
+
+
+@register("method_pair", O.with_ctes(
+    "SELECT max(CASE WHEN upper(fulfillment) = 'AMAZON' THEN fulfillment_rate END) AS amazon_rate, "
+    "max(CASE WHEN upper(fulfillment) = 'MERCHANT' THEN fulfillment_rate END) AS merchant_rate "
+    f"FROM ({BY_METHOD_SQL}) m"))
+def q_method_pair(spark, sf):
+    """The Amazon row and the Merchant row of one table side by side."""
+    m = K.by_fulfillment_method(valid(spark, sf))
+    up = F.upper("fulfillment")
+    return m.agg(F.max(F.when(up == "AMAZON", F.col("fulfillment_rate"))).alias("amazon_rate"),
+                 F.max(F.when(up == "MERCHANT", F.col("fulfillment_rate"))).alias("merchant_rate"))
+
+
+@register("sort_by_impact", _ins(
+    f"SELECT rule_id, entity, impact, CASE impact WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 "
+    f"WHEN 'Low' THEN 2 ELSE 3 END AS impact_rank FROM ({GEN_INS_SQL}) g"))
+def q_sort_by_impact(spark, sf):
+    """T4: insights with their impact order (High, Medium, Low, other)."""
+    return IN.generate_insights(valid(spark, sf)).select(
+        "rule_id", "entity", "impact", IN.impact_rank().alias("impact_rank"))
+
+
+@register("insights_union", _ins(GEN_INS_SQL))
+def q_insights_union(spark, sf):
+    """The eight rule outputs concatenated (union by name)."""
+    v = valid(spark, sf)
+    from ordersight.operators.bundle import kpi_bundle
+    b = kpi_bundle(v)
+    parts = [_insight_rule_from_bundle(n, b) for n in INS_SQL]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _insight_rule_from_bundle(name, b):
+    if name == "ins_concentration":
+        return IN.ins_concentration(b.states)
+    if name == "ins_mom_trend":
+        return IN.ins_mom_trend(b.months)
+    if name == "ins_leakage":
+        return IN.ins_leakage(b.states, b.scalars.select("fulfillment_rate").scalar())
+    if name == "ins_expansion":
+        return IN.ins_expansion(b.targets)
+    if name == "ins_weak_category":
+        return IN.ins_weak_category(b.categories)
+    if name == "ins_b2b":
+        return IN.ins_b2b(b.scalars)
+    if name == "ins_method_gap":
+        return IN.ins_method_gap(b.methods)
+    return IN.ins_riskfree(b.states)
+
+
+def _job_id(sf):
+    """The job id the registered sink queries store under."""
+    return "job-1"
+
+
+@register("sink_kpis", O.with_ctes(f"SELECT *, 'job-1' AS job_id FROM ({REV_BY_STATE_SQL}) s"))
+def q_sink_kpis(spark, sf):
+    """K2: KPI tables stored per job (dynamic partition overwrite), then the
+    job's revenue-by-state partition read back."""
+    v = valid(spark, sf)
+    path = scratch_path(spark, f"kpis-{_uuid.uuid4().hex[:8]}")
+    SK.sink_kpis({"revenue_by_state": K.revenue_by_state(v),
+                  "monthly_trend": K.monthly_trend(v)}, path, _job_id(sf))
+    return SK.read_job(spark, f"{path}/revenue_by_state", _job_id(sf))
+
+
+@register("sink_insights", _ins(f"SELECT *, 'job-1' AS job_id FROM ({RUN_CHECKS_SQL}) c"))
+def q_sink_insights(spark, sf):
+    """K3: a job's findings stored in its partition, then read back."""
+    path = scratch_path(spark, f"findings-{_uuid.uuid4().hex[:8]}")
+    SK.sink_insights(CK.run_checks(valid(spark, sf)), path, _job_id(sf))
+    return SK.read_job(spark, path, _job_id(sf))
+
+
+@register("sink_clean_summary")
+def q_sink_clean_summary(spark, sf):
+    """K1: per job total rows, column list and a 10-row sample, stored in the
+    job's partition and read back."""
+    path = scratch_path(spark, f"clean-summary-{_uuid.uuid4().hex[:8]}")
+    SK.sink_clean_summary(valid(spark, sf), path, _job_id(sf))
+    return SK.read_job(spark, path, _job_id(sf)).drop("stored_at")

@@ -59,3 +59,12 @@ def test_latest_status_and_job_summary(spark):
     out = {r.job_id: r for r in RC.job_summary(st, rep).collect()}
     assert out["j1"].status == "completed" and len(out["j1"].report_preview) == 500
     assert out["j2"].report_preview is None
+
+
+def test_job_docs_join(spark):
+    k = spark.createDataFrame([("j1", 10.0), ("j2", 20.0), ("j3", 5.0)], "job_id string, total_revenue double")
+    i = spark.createDataFrame([("j1", 3), ("j2", 1)], "job_id string, total_issues int")
+    r = spark.createDataFrame([("j1", "overview")], "job_id string, market_overview string")
+    out = {x.job_id: x for x in RC.job_docs_join(k, i, r).collect()}
+    assert set(out) == {"j1", "j2"}
+    assert out["j1"].market_overview == "overview" and out["j2"].market_overview is None

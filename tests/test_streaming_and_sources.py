@@ -44,3 +44,24 @@ def test_stream_per_file_equals_batch(spark, tmp_path):
         want = (K.revenue_by_state(batch).select("ship_state", "revenue", "orders")
                   .orderBy("ship_state").collect())
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_periodic_refresh_and_sinks(spark, tmp_path):
+    from ordersight.sources import sinks as SK
+    src = str(tmp_path / "in")
+    FS.write_csv_export(raw_export_view(spark, SF), src, files=1)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = WT.periodic_refresh(spark, src, out, ckpt, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).select("ship_state").distinct().count() == 25
+    # per-job partitions: re-running a job replaces only its own partition
+    v = C.load_clean(sales_view(spark, SF))
+    path = str(tmp_path / "kpis")
+    SK.sink_kpis({"rbs": K.revenue_by_state(v)}, path, "a")
+    SK.sink_kpis({"rbs": K.revenue_by_state(v).limit(3)}, path, "b")
+    SK.sink_kpis({"rbs": K.revenue_by_state(v).limit(5)}, path, "a")
+    assert SK.read_job(spark, path + "/rbs", "a").count() == 5
+    assert SK.read_job(spark, path + "/rbs", "b").count() == 3
