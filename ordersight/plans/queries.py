@@ -325,15 +325,15 @@ SQLPACK_ORACLE = {
                          f"FROM sqlt WHERE amount_valid = 1 GROUP BY ship_state",
     "sql_category_aov": f"SELECT category, {_MONEY} AS total_revenue, COUNT(*) AS total_orders, "
                         f"{_RAVG} AS avg_order_value FROM sqlt WHERE amount_valid = 1 GROUP BY category",
-    "sql_fulfill_by_state_v1": f"SELECT ship_state, COUNT(*) AS total_orders, {_SHIP} AS shipped_orders, "
+    "sql_fulfill_by_state_v1": f"SELECT ship_state, COUNT(*) AS total_orders, CAST({_SHIP} AS BIGINT) AS shipped_orders, "
                                f"{O.round_rate_pct(_SHIP, 'COUNT(*)')} AS fulfillment_rate "
                                f"FROM sqlt GROUP BY ship_state",
-    "sql_fulfill_by_state": f"SELECT ship_state, COUNT(*) AS total_orders, SUM(is_fulfilled) AS fulfilled_orders, "
+    "sql_fulfill_by_state": f"SELECT ship_state, COUNT(*) AS total_orders, CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled_orders, "
                             f"{O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate_pct "
                             f"FROM sqlt GROUP BY ship_state",
     "sql_fulfill_overall": f"SELECT {O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} "
                            f"AS overall_fulfillment_rate_pct FROM sqlt",
-    "sql_fulfill_by_category": f"SELECT category, COUNT(*) AS total_orders, SUM(is_fulfilled) AS fulfilled_orders, "
+    "sql_fulfill_by_category": f"SELECT category, COUNT(*) AS total_orders, CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled_orders, "
                                f"{O.round_rate_pct('SUM(is_fulfilled)', 'COUNT(*)')} AS fulfillment_rate_pct "
                                f"FROM sqlt GROUP BY category",
     "sql_fulfill_by_method": f"SELECT fulfillment, COUNT(*) AS total_orders, {_MONEY} AS total_revenue, "

@@ -47,14 +47,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is. Only when it is unset (local tests) a private temporary folder is
     created and registered.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        try:
+            path = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="ordersight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
