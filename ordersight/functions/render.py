@@ -33,3 +33,31 @@ def sql_fixed(x: str, places: int) -> str:
 
 def sql_grouped0(x: str) -> str:
     return f"format('{{:,}}', CAST(round_even(CAST({x} AS DECIMAL(38,6)), 0) AS HUGEINT))"
+
+
+def _split(template: str):
+    """'a {x} b' -> ['a ', ('x',), ' b']"""
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            out.append(template[pos:m.start()])
+        out.append((m.group(1),))
+        pos = m.end()
+    if pos < len(template):
+        out.append(template[pos:])
+    return out
+
+
+def fill(template: str, **parts) -> Column:
+    """Render a text template whose ``{name}`` placeholders are string Columns."""
+    cols = [F.lit(p) if isinstance(p, str) else parts[p[0]] for p in _split(template)]
+    return F.concat(*cols) if len(cols) > 1 else cols[0]
+
+
+def sql_fill(template: str, **parts) -> str:
+    """The same template as a SQL string expression (``||`` concatenation)."""
+    out = []
+    for p in _split(template):
+        out.append("'" + p.replace("'", "''") + "'" if isinstance(p, str) else f"({parts[p[0]]})")
+    return " || ".join(out)

@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordersight.functions.render import fixed
+from ordersight.functions.render import fill, fixed
 from ordersight.functions.stats import pct
 from ordersight.operators import kpis as K
 from ordersight.operators import market as MK
 
-RUPEE = "₹"
+# FIXED VALUES: finding messages; ``{name}`` marks a value filled in per row.
+MESSAGES = {
+    "underperforming_category": "Category '{category}' earns ₹{revenue} vs avg ₹{avg}",
+    "weak_market": "'{state}' is a weak market — only ₹{revenue} revenue",
+    "mom_revenue_drop": "Revenue dropped {drop}% from {prev} to {last}",
+    "low_fulfillment_rate": "Only {rate}% orders fulfilled — major operational risk",
+    "expansion_opportunity": "{n} states identified as expansion targets",
+}
 
 
 @dataclass
@@ -41,17 +48,13 @@ def _finding(df, pos, type_, severity, message, entity=None, value=None, drop=No
         (states if states is not None else none(T.ArrayType(T.StringType()))).alias("states"))
 
 
-def _s(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def chk_category(cats: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
     """Category revenue < 0.5 x mean category revenue -> high."""
     avg = cats.agg(K.exact_mean("revenue")).scalar()
     rows = cats.filter(F.col("revenue") < avg * cfg.category_ratio)
     return _finding(rows, 1, "underperforming_category", "high",
-                    _s("Category '", F.col("category"), f"' earns {RUPEE}", fixed("revenue", 0),
-                       f" vs avg {RUPEE}", fixed(avg, 0)),
+                    fill(MESSAGES["underperforming_category"], category=F.col("category"),
+                         revenue=fixed("revenue", 0), avg=fixed(avg, 0)),
                     F.col("category"), F.col("revenue"))
 
 
@@ -60,8 +63,8 @@ def chk_weak_market(states: DataFrame, cfg: CheckConfig = CheckConfig()) -> Data
     avg = states.agg(K.exact_mean("revenue")).scalar()
     rows = states.filter(F.col("revenue") < avg * cfg.market_ratio)
     return _finding(rows, 2, "weak_market", "medium",
-                    _s("'", F.col("ship_state"), f"' is a weak market — only {RUPEE}",
-                       fixed("revenue", 0), " revenue"),
+                    fill(MESSAGES["weak_market"], state=F.col("ship_state"),
+                         revenue=fixed("revenue", 0)),
                     F.col("ship_state"), F.col("revenue"))
 
 
@@ -77,8 +80,8 @@ def chk_mom_drop(trend: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFram
               .withColumn("drop", (pr - lr) / pr * F.lit(100))
               .filter(F.col("drop") > cfg.mom_drop_pct))
     return _finding(row, 3, "mom_revenue_drop", "critical",
-                    _s("Revenue dropped ", fixed("drop", 1), "% from ", F.col("prev.year_month"),
-                       " to ", F.col("last.year_month")),
+                    fill(MESSAGES["mom_revenue_drop"], drop=fixed("drop", 1),
+                         prev=F.col("prev.year_month"), last=F.col("last.year_month")),
                     drop=F.bround(F.col("drop").cast("decimal(38,6)"), 2))
 
 
@@ -87,7 +90,7 @@ def chk_low_rate(scalars: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFr
     rate = F.coalesce(F.col("fulfillment_rate"), F.lit(cfg.default_rate))
     rows = scalars.withColumn("r", rate).filter(F.col("r") < cfg.low_rate)
     return _finding(rows, 4, "low_fulfillment_rate", "critical",
-                    _s("Only ", fixed("r", 1), "% orders fulfilled — major operational risk"),
+                    fill(MESSAGES["low_fulfillment_rate"], rate=fixed("r", 1)),
                     value=F.col("r"))
 
 
@@ -98,7 +101,7 @@ def chk_expansion(targets: DataFrame) -> DataFrame:
         F.lit(0) - F.col("fulfillment_rate"), F.col("ship_state").alias("s"))))
     row = targets.agg(F.count(F.lit(1)).alias("n"), ordered.alias("a")).filter(F.col("n") > 0)
     return _finding(row, 5, "expansion_opportunity", "low",
-                    _s(F.col("n").cast("string"), " states identified as expansion targets"),
+                    fill(MESSAGES["expansion_opportunity"], n=F.col("n").cast("string")),
                     states=F.transform(F.col("a"), lambda x: x["s"]))
 
 

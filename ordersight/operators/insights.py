@@ -13,45 +13,81 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions.render import fixed, grouped0
+from ordersight.functions.render import fill, fixed, grouped0
 from ordersight.functions.stats import pct
 from ordersight.operators import kpis as K
 from ordersight.operators import market as MK
 from ordersight.schema import IMPACT_ORDER
 
-RUPEE = "₹"
-
-# FIXED VALUES: advice sentences of the rules (state / category names in them
-# are configuration with these defaults).
-DEFAULT_TEXT = {
-    "concentration_action": "Run targeted campaigns in mid-tier states (RAJASTHAN, PUNJAB, ODISHA). "
-                            "Goal: reduce top-3 concentration below 45%.",
-    "concentration_detail": " of total revenue. One logistics disruption hits the whole business.",
-    "mom_drop_action": "Check if top states (MAHARASHTRA, KARNATAKA) saw order drops. Cross-check with "
-                       "fulfilment method — Merchant-fulfilled may be slower.",
-    "mom_dip_action": "Review category mix — check if low-AOV categories (Blouse, Bottom) are "
-                      "crowding out high-value ones (Set, Kurta).",
-    "mom_growth_action": "Identify what drove growth — new state, category spike, or B2B order. "
-                         "Replicate the conditions.",
-    "leakage_action": " orders to Amazon-fulfilled (FBA). Merchant fulfillment is costing you completed "
-                      "sales in your best market.",
-    "expansion_action": ". Infrastructure is ready — only demand generation is missing.",
-    "weak_category_action": " with high-AOV items (Set, Kurta) to raise basket size. Review delivery "
-                            "SLA for this category.",
-    "b2b_growth_detail": "B2B exists and is generating revenue, but is not the primary channel. B2B "
-                         "orders typically have higher AOV and repeat rates.",
-    "b2b_growth_action": "Build a dedicated B2B landing page on Amazon Business. Offer bulk pricing for "
-                         "categories like Kurta and Set. Target corporate gifting season.",
-    "b2b_protect_detail": "B2B is a significant revenue driver. Retention and account management matter "
-                          "more than acquisition at this stage.",
-    "b2b_protect_action": "Ensure dedicated account manager for top B2B buyers. Set up auto-reorder or "
-                          "subscription model for repeat B2B customers.",
-    "method_gap_detail": ". Merchant-fulfilled orders are leaking revenue through cancellations.",
-    "method_gap_action": "Migrate top-selling SKUs (Set, Kurta) from Merchant to FBA. Calculate FBA fee vs "
-                         "cancellation loss — the math almost always favours FBA.",
-    "riskfree_detail": " states with ≥95% fulfillment but bottom-10% revenue. Zero operational risk "
-                       "to scale here.",
-    "riskfree_action": ". If demand exists, logistics is already proven — scale quickly.",
+# FIXED VALUES: insight texts. ``{name}`` marks a value filled in per row;
+# state and category names inside the advice are configuration defaults.
+TEXT = {
+    "concentration": {
+        "title": "Revenue dangerously concentrated: {names}",
+        "detail": "These {n} states account for {pct}% of total revenue. One logistics disruption hits the whole business.",
+        "action": "Run targeted campaigns in mid-tier states (RAJASTHAN, PUNJAB, ODISHA). Goal: reduce top-3 concentration below 45%.",
+        "metric": "{pct}% in top {n} states",
+    },
+    "mom_drop": {
+        "title": "Revenue dropped {abs_mom}% last month",
+        "detail": "Month {month}: Revenue fell to ₹{revenue}. Needs immediate investigation.",
+        "action": "Check if top states (MAHARASHTRA, KARNATAKA) saw order drops. Cross-check with fulfilment method — Merchant-fulfilled may be slower.",
+        "metric": "{mom}% MoM",
+    },
+    "mom_dip": {
+        "title": "Moderate revenue dip of {abs_mom}% last month",
+        "detail": "Month {month}: ₹{revenue}. Watch next cycle closely.",
+        "action": "Review category mix — check if low-AOV categories (Blouse, Bottom) are crowding out high-value ones (Set, Kurta).",
+        "metric": "{mom}% MoM",
+    },
+    "mom_growth": {
+        "title": "Strong revenue growth of +{mom}% last month",
+        "detail": "Month {month}: Revenue reached ₹{revenue}.",
+        "action": "Identify what drove growth — new state, category spike, or B2B order. Replicate the conditions.",
+        "metric": "+{mom}% MoM",
+    },
+    "leakage": {
+        "title": "{state}: High revenue, poor fulfillment",
+        "detail": "₹{revenue} revenue but only {rate}% fulfillment rate (avg: {avg_rate}%).",
+        "action": "Switch {state} orders to Amazon-fulfilled (FBA). Merchant fulfillment is costing you completed sales in your best market.",
+        "metric": "{rate}% fulfillment",
+    },
+    "expansion": {
+        "title": "{n} states show strong logistics but low penetration",
+        "detail": "Top target: {state} — {rate}% fulfillment on only ₹{revenue} revenue.",
+        "action": "Prioritise ad spend and seller promotions in: {names}. Infrastructure is ready — only demand generation is missing.",
+        "metric": "{n} expansion markets",
+    },
+    "weak_category": {
+        "title": "{category}: low AOV and poor fulfillment",
+        "detail": "Avg order ₹{aov} (avg ₹{avg_aov}) and {rate}% fulfillment (avg {avg_rate}%).",
+        "action": "Consider bundling {category} with high-AOV items (Set, Kurta) to raise basket size. Review delivery SLA for this category.",
+        "metric": "AOV ₹{aov}",
+    },
+    "b2b_growth": {
+        "title": "B2B orders are {share}% of revenue — growth lever",
+        "detail": "B2B exists and is generating revenue, but is not the primary channel. B2B orders typically have higher AOV and repeat rates.",
+        "action": "Build a dedicated B2B landing page on Amazon Business. Offer bulk pricing for categories like Kurta and Set. Target corporate gifting season.",
+        "metric": "{share}% B2B share",
+    },
+    "b2b_protect": {
+        "title": "B2B is {share}% of revenue — protect this channel",
+        "detail": "B2B is a significant revenue driver. Retention and account management matter more than acquisition at this stage.",
+        "action": "Ensure dedicated account manager for top B2B buyers. Set up auto-reorder or subscription model for repeat B2B customers.",
+        "metric": "{share}% B2B share",
+    },
+    "method_gap": {
+        "title": "Amazon-fulfilled orders are {gap}% better at fulfillment",
+        "detail": "Amazon: {amazon}% vs Merchant: {merchant}%. Merchant-fulfilled orders are leaking revenue through cancellations.",
+        "action": "Migrate top-selling SKUs (Set, Kurta) from Merchant to FBA. Calculate FBA fee vs cancellation loss — the math almost always favours FBA.",
+        "metric": "{gap}% fulfillment gap",
+    },
+    "riskfree": {
+        "title": "{names}: near-perfect fulfillment, almost no revenue",
+        "detail": "{n} states with ≥95% fulfillment but bottom-10% revenue. Zero operational risk to scale here.",
+        "action": "Run low-budget test campaigns in {names}. If demand exists, logistics is already proven — scale quickly.",
+        "metric": "{n} risk-free markets",
+    },
 }
 
 
@@ -70,7 +106,7 @@ class InsightConfig:
     riskfree_rate: float = 95.0
     riskfree_quantile: float = 0.10
     riskfree_names: int = 4
-    text: dict = field(default_factory=lambda: dict(DEFAULT_TEXT))
+    text: dict = field(default_factory=lambda: {k: dict(v) for k, v in TEXT.items()})
 
 
 COLUMNS = ["rule_id", "rule_pos", "impact", "category", "entity", "metric",
@@ -89,10 +125,6 @@ def _out(df: DataFrame, rule_id: str, rule_pos: int, impact, category, entity, m
         metric_value.alias("metric_value"))
 
 
-def _s(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 # ---- I1 ---------------------------------------------------------------------
 
 def ins_concentration(states: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFrame:
@@ -104,11 +136,11 @@ def ins_concentration(states: DataFrame, cfg: InsightConfig = InsightConfig()) -
     names = MK.name_list(states, "ship_state", order, n).select("names").scalar()
     row = top.agg(pct(F.sum("revenue"), total).alias("p")).withColumn("names", names)
     row = row.filter(F.col("p") > cfg.concentration_pct)
-    p0 = fixed("p", 0)
+    t = cfg.text["concentration"]
+    v = dict(names=F.col("names"), pct=fixed("p", 0), n=F.lit(str(n)))
     return _out(row, "ins_concentration", 1, "High", "Revenue", F.col("names"), F.col("p"),
-                _s("Revenue dangerously concentrated: ", F.col("names")),
-                _s(f"These {n} states account for ", p0, "%" + cfg.text["concentration_detail"]),
-                cfg.text["concentration_action"], _s(p0, f"% in top {n} states"))
+                fill(t["title"], **v), fill(t["detail"], **v), fill(t["action"], **v),
+                fill(t["metric"], **v))
 
 
 # ---- I2 ---------------------------------------------------------------------
@@ -124,21 +156,18 @@ def ins_mom_trend(trend: DataFrame, cfg: InsightConfig = InsightConfig()) -> Dat
     mom, ym = F.col("revenue_mom_pct"), F.col("year_month")
     high, med, grow = mom < cfg.mom_high, mom < cfg.mom_medium, mom > cfg.mom_growth
     last = last.filter(high | med | grow)
-    amom, rev = fixed(F.abs(mom), 1), grouped0("revenue")
-    pick = lambda a, b, c: F.when(high, a).when(med, b).otherwise(c)
+    v = dict(abs_mom=fixed(F.abs(mom), 1), mom=fixed(mom, 1), month=ym,
+             revenue=grouped0("revenue"))
+    d, m, g = cfg.text["mom_drop"], cfg.text["mom_dip"], cfg.text["mom_growth"]
+
+    def pick(field):
+        return (F.when(high, fill(d[field], **v)).when(med, fill(m[field], **v))
+                 .otherwise(fill(g[field], **v)))
     return _out(
         last, "ins_mom_trend", 2,
-        pick(F.lit("High"), F.lit("Medium"), F.lit("Low")),
-        pick(F.lit("Alert"), F.lit("Alert"), F.lit("Growth")), ym, mom,
-        pick(_s("Revenue dropped ", amom, "% last month"),
-             _s("Moderate revenue dip of ", amom, "% last month"),
-             _s("Strong revenue growth of +", fixed(mom, 1), "% last month")),
-        pick(_s("Month ", ym, f": Revenue fell to {RUPEE}", rev, ". Needs immediate investigation."),
-             _s("Month ", ym, f": {RUPEE}", rev, ". Watch next cycle closely."),
-             _s("Month ", ym, f": Revenue reached {RUPEE}", rev, ".")),
-        pick(F.lit(cfg.text["mom_drop_action"]), F.lit(cfg.text["mom_dip_action"]),
-             F.lit(cfg.text["mom_growth_action"])),
-        pick(_s(fixed(mom, 1), "% MoM"), _s(fixed(mom, 1), "% MoM"), _s("+", fixed(mom, 1), "% MoM")))
+        F.when(high, "High").when(med, "Medium").otherwise("Low"),
+        F.when(high | med, "Alert").otherwise("Growth"), ym, mom,
+        pick("title"), pick("detail"), pick("action"), pick("metric"))
 
 
 # ---- I3 ---------------------------------------------------------------------
@@ -148,13 +177,12 @@ def ins_leakage(states: DataFrame, overall_rate, cfg: InsightConfig = InsightCon
     overall rate -> High / Fulfillment."""
     mean_rev = states.agg(K.exact_mean("revenue")).scalar()
     rows = states.filter((F.col("revenue") > mean_rev) & (F.col("fulfillment_rate") < overall_rate))
-    st, rate = F.col("ship_state"), F.col("fulfillment_rate")
-    return _out(rows, "ins_leakage", 3, "High", "Fulfillment", st, rate,
-                _s(st, ": High revenue, poor fulfillment"),
-                _s(RUPEE, grouped0("revenue"), " revenue but only ", fixed(rate, 1),
-                   "% fulfillment rate (avg: ", fixed(overall_rate, 1), "%)."),
-                _s("Switch ", st, cfg.text["leakage_action"]),
-                _s(fixed(rate, 1), "% fulfillment"))
+    t = cfg.text["leakage"]
+    v = dict(state=F.col("ship_state"), revenue=grouped0("revenue"),
+             rate=fixed("fulfillment_rate", 1), avg_rate=fixed(overall_rate, 1))
+    return _out(rows, "ins_leakage", 3, "High", "Fulfillment", F.col("ship_state"),
+                F.col("fulfillment_rate"), fill(t["title"], **v), fill(t["detail"], **v),
+                fill(t["action"], **v), fill(t["metric"], **v))
 
 
 # ---- I4 ---------------------------------------------------------------------
@@ -169,14 +197,13 @@ def ins_expansion(targets: DataFrame, cfg: InsightConfig = InsightConfig()) -> D
                                F.struct(F.lit(0) - F.col("fulfillment_rate"),
                                         F.col("ship_state"))).alias("t"))
     row = row.filter(F.col("n") > 0).withColumn("names", names)
-    n = F.col("n").cast("string")
+    t = cfg.text["expansion"]
+    v = dict(n=F.col("n").cast("string"), state=F.col("t.ship_state"),
+             rate=fixed("t.fulfillment_rate", 1), revenue=grouped0("t.revenue"),
+             names=F.col("names"))
     return _out(row, "ins_expansion", 4, "Medium", "Expansion", F.col("t.ship_state"), F.col("n"),
-                _s(n, " states show strong logistics but low penetration"),
-                _s("Top target: ", F.col("t.ship_state"), " — ", fixed("t.fulfillment_rate", 1),
-                   f"% fulfillment on only {RUPEE}", grouped0("t.revenue"), " revenue."),
-                _s("Prioritise ad spend and seller promotions in: ", F.col("names"),
-                   cfg.text["expansion_action"]),
-                _s(n, " expansion markets"))
+                fill(t["title"], **v), fill(t["detail"], **v), fill(t["action"], **v),
+                fill(t["metric"], **v))
 
 
 # ---- I5 ---------------------------------------------------------------------
@@ -187,13 +214,13 @@ def ins_weak_category(cats: DataFrame, cfg: InsightConfig = InsightConfig()) ->
     m = cats.agg(F.avg("avg_order_value").alias("a"), F.avg("fulfillment_rate").alias("r"))
     avg_aov, avg_ff = m.select("a").scalar(), m.select("r").scalar()
     rows = cats.filter((F.col("avg_order_value") < avg_aov) & (F.col("fulfillment_rate") < avg_ff))
-    c, aov, rate = F.col("category"), F.col("avg_order_value"), F.col("fulfillment_rate")
-    return _out(rows, "ins_weak_category", 5, "Medium", "Revenue", c, aov,
-                _s(c, ": low AOV and poor fulfillment"),
-                _s(f"Avg order {RUPEE}", grouped0(aov), f" (avg {RUPEE}", grouped0(avg_aov), ") and ",
-                   fixed(rate, 1), "% fulfillment (avg ", fixed(avg_ff, 1), "%)."),
-                _s("Consider bundling ", c, cfg.text["weak_category_action"]),
-                _s(f"AOV {RUPEE}", grouped0(aov)))
+    t = cfg.text["weak_category"]
+    v = dict(category=F.col("category"), aov=grouped0("avg_order_value"),
+             avg_aov=grouped0(avg_aov), rate=fixed("fulfillment_rate", 1),
+             avg_rate=fixed(avg_ff, 1))
+    return _out(rows, "ins_weak_category", 5, "Medium", "Revenue", F.col("category"),
+                F.col("avg_order_value"), fill(t["title"], **v), fill(t["detail"], **v),
+                fill(t["action"], **v), fill(t["metric"], **v))
 
 
 # ---- I6 ---------------------------------------------------------------------
@@ -204,15 +231,14 @@ def ins_b2b(scalars: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFra
     growth = (s > cfg.b2b_low) & (s < cfg.b2b_high)
     protect = s >= cfg.b2b_high
     rows = scalars.filter(growth | protect)
-    pick = lambda a, b: F.when(growth, a).otherwise(b)
-    s1 = fixed(s, 1)
-    return _out(rows, "ins_b2b", 6, pick(F.lit("Medium"), F.lit("Low")),
-                pick(F.lit("Growth"), F.lit("Revenue")), None, s,
-                pick(_s("B2B orders are ", s1, "% of revenue — growth lever"),
-                     _s("B2B is ", s1, "% of revenue — protect this channel")),
-                pick(F.lit(cfg.text["b2b_growth_detail"]), F.lit(cfg.text["b2b_protect_detail"])),
-                pick(F.lit(cfg.text["b2b_growth_action"]), F.lit(cfg.text["b2b_protect_action"])),
-                _s(s1, "% B2B share"))
+    v = dict(share=fixed(s, 1))
+    gt, pt = cfg.text["b2b_growth"], cfg.text["b2b_protect"]
+
+    def pick(field):
+        return F.when(growth, fill(gt[field], **v)).otherwise(fill(pt[field], **v))
+    return _out(rows, "ins_b2b", 6, F.when(growth, "Medium").otherwise("Low"),
+                F.when(growth, "Growth").otherwise("Revenue"), None, s,
+                pick("title"), pick("detail"), pick("action"), pick("metric"))
 
 
 # ---- I7 ---------------------------------------------------------------------
@@ -232,12 +258,11 @@ def ins_method_gap(methods: DataFrame, cfg: InsightConfig = InsightConfig()) ->
     row = (row.filter((F.col("n") >= 2) & (F.col("n_amz") > 0) & (F.col("n_mer") > 0))
               .withColumn("gap", F.col("amz") - F.col("mer"))
               .filter(F.col("gap") > cfg.method_gap))
-    g = fixed("gap", 1)
+    t = cfg.text["method_gap"]
+    v = dict(gap=fixed("gap", 1), amazon=fixed("amz", 1), merchant=fixed("mer", 1))
     return _out(row, "ins_method_gap", 7, "High", "Fulfillment", None, F.col("gap"),
-                _s("Amazon-fulfilled orders are ", g, "% better at fulfillment"),
-                _s("Amazon: ", fixed("amz", 1), "% vs Merchant: ", fixed("mer", 1), "%",
-                   cfg.text["method_gap_detail"]),
-                cfg.text["method_gap_action"], _s(g, "% fulfillment gap"))
+                fill(t["title"], **v), fill(t["detail"], **v), fill(t["action"], **v),
+                fill(t["metric"], **v))
 
 
 # ---- I8 ---------------------------------------------------------------------
@@ -251,12 +276,11 @@ def ins_riskfree(states: DataFrame, cfg: InsightConfig = InsightConfig()) -> Dat
     order = [F.desc("revenue"), F.asc("ship_state")]
     names = MK.name_list(perfect, "ship_state", order, cfg.riskfree_names).select("names").scalar()
     row = perfect.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).withColumn("names", names)
-    n = F.col("n").cast("string")
+    t = cfg.text["riskfree"]
+    v = dict(n=F.col("n").cast("string"), names=F.col("names"))
     return _out(row, "ins_riskfree", 8, "Low", "Expansion", F.col("names"), F.col("n"),
-                _s(F.col("names"), ": near-perfect fulfillment, almost no revenue"),
-                _s(n, cfg.text["riskfree_detail"]),
-                _s("Run low-budget test campaigns in ", F.col("names"), cfg.text["riskfree_action"]),
-                _s(n, " risk-free markets"))
+                fill(t["title"], **v), fill(t["detail"], **v), fill(t["action"], **v),
+                fill(t["metric"], **v))
 
 
 # ---- I9 ---------------------------------------------------------------------

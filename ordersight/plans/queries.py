@@ -545,7 +545,7 @@ from ordersight.functions.render import sql_fixed as F0_, sql_grouped0 as G0  #
 from ordersight.operators import checks as CK  # noqa: E402
 from ordersight.operators import insights as IN  # noqa: E402
 
-_T = {k: v.replace("'", "''") for k, v in IN.DEFAULT_TEXT.items()}
+from ordersight.functions.render import sql_fill  # noqa: E402
 
 
 def F0(x):
@@ -556,6 +556,16 @@ def F1(x):
     return F0_(x, 1)
 
 
+def _txt(rule, **parts):
+    """title, detail, action, metric_value of a rule as SQL expressions."""
+    t = IN.TEXT[rule]
+    return [sql_fill(t[f], **parts) for f in ("title", "detail", "action", "metric")]
+
+
+def _case(cond, a, b):
+    return f"CASE WHEN {cond} THEN {a} ELSE {b} END"
+
+
 KPI_CTES = f"""st AS ({REV_BY_STATE_SQL}),
 sc AS ({SCALAR_SQL}),
 tr AS ({MONTHLY_SQL}),
@@ -570,12 +580,35 @@ pf AS (SELECT * FROM st WHERE fulfillment_rate >= 95
 
 INS_COLS = "rule_id, rule_pos, impact, category, entity, metric, title, detail, action, metric_value"
 
+_CONC = _txt("concentration", names="names", pct=F0("p"), n="'3'")
+_MD = _txt("mom_drop", abs_mom=F1("abs(mom)"), mom=F1("mom"), month="year_month", revenue=G0("revenue"))
+_MI = _txt("mom_dip", abs_mom=F1("abs(mom)"), mom=F1("mom"), month="year_month", revenue=G0("revenue"))
+_MG = _txt("mom_growth", abs_mom=F1("abs(mom)"), mom=F1("mom"), month="year_month", revenue=G0("revenue"))
+_LK = _txt("leakage", state="ship_state", revenue=G0("revenue"), rate=F1("fulfillment_rate"),
+           avg_rate=F1("r"))
+_EX = _txt("expansion", n="CAST(n AS VARCHAR)", state="top_state", rate=F1("top_rate"),
+           revenue=G0("top_rev"), names="names")
+_WC = _txt("weak_category", category="category", aov=G0("avg_order_value"), avg_aov=G0("a"),
+           rate=F1("fulfillment_rate"), avg_rate=F1("r"))
+_BG = _txt("b2b_growth", share=F1("s"))
+_BP = _txt("b2b_protect", share=F1("s"))
+_GP = _txt("method_gap", gap=F1("gap"), amazon=F1("amz"), merchant=F1("mer"))
+_RF = _txt("riskfree", n="CAST(n AS VARCHAR)", names="names")
+_TXT_COLS = ("title", "detail", "action", "metric_value")
+
+
+def _cols(exprs):
+    return ",\n  ".join(f"{e} AS {c}" for e, c in zip(exprs, _TXT_COLS))
+
+
+def _mom_pick(i):
+    return f"CASE WHEN mom < -10 THEN {_MD[i]} WHEN mom < -5 THEN {_MI[i]} ELSE {_MG[i]} END"
+
+
 INS_SQL = {
     "ins_concentration": f"""SELECT 'ins_concentration' AS rule_id, 1 AS rule_pos, 'High' AS impact,
   'Revenue' AS category, names AS entity, p AS metric,
-  'Revenue dangerously concentrated: ' || names AS title,
-  'These 3 states account for ' || {F0('p')} || '%{_T['concentration_detail']}' AS detail,
-  '{_T['concentration_action']}' AS action, {F0('p')} || '% in top 3 states' AS metric_value
+  {_cols(_CONC)}
 FROM (SELECT {P('SUM(revenue)', '(SELECT SUM(revenue) FROM st)')} AS p,
              string_agg(ship_state, ', ' ORDER BY revenue DESC, ship_state) AS names
       FROM (SELECT * FROM st ORDER BY revenue DESC, ship_state LIMIT 3) t) x
@@ -583,35 +616,19 @@ WHERE p > 50""",
     "ins_mom_trend": f"""SELECT 'ins_mom_trend' AS rule_id, 2 AS rule_pos,
   CASE WHEN mom < -10 THEN 'High' WHEN mom < -5 THEN 'Medium' ELSE 'Low' END AS impact,
   CASE WHEN mom < -5 THEN 'Alert' ELSE 'Growth' END AS category, year_month AS entity, mom AS metric,
-  CASE WHEN mom < -10 THEN 'Revenue dropped ' || {F1('abs(mom)')} || '% last month'
-       WHEN mom < -5 THEN 'Moderate revenue dip of ' || {F1('abs(mom)')} || '% last month'
-       ELSE 'Strong revenue growth of +' || {F1('mom')} || '% last month' END AS title,
-  CASE WHEN mom < -10 THEN 'Month ' || year_month || ': Revenue fell to ₹' || {G0('revenue')} || '. Needs immediate investigation.'
-       WHEN mom < -5 THEN 'Month ' || year_month || ': ₹' || {G0('revenue')} || '. Watch next cycle closely.'
-       ELSE 'Month ' || year_month || ': Revenue reached ₹' || {G0('revenue')} || '.' END AS detail,
-  CASE WHEN mom < -10 THEN '{_T['mom_drop_action']}' WHEN mom < -5 THEN '{_T['mom_dip_action']}'
-       ELSE '{_T['mom_growth_action']}' END AS action,
-  CASE WHEN mom < -5 THEN {F1('mom')} || '% MoM' ELSE '+' || {F1('mom')} || '% MoM' END AS metric_value
+  {_cols([_mom_pick(i) for i in range(4)])}
 FROM (SELECT year_month, revenue, revenue_mom_pct AS mom, COUNT(*) OVER () AS n
       FROM tr WHERE revenue_mom_pct IS NOT NULL ORDER BY year_month DESC LIMIT 1) l
 WHERE n >= 2 AND (mom < -10 OR mom < -5 OR mom > 15)""",
     "ins_leakage": f"""SELECT 'ins_leakage' AS rule_id, 3 AS rule_pos, 'High' AS impact,
   'Fulfillment' AS category, ship_state AS entity, fulfillment_rate AS metric,
-  ship_state || ': High revenue, poor fulfillment' AS title,
-  '₹' || {G0('revenue')} || ' revenue but only ' || {F1('fulfillment_rate')} || '% fulfillment rate (avg: '
-    || {F1('r')} || '%).' AS detail,
-  'Switch ' || ship_state || '{_T['leakage_action']}' AS action,
-  {F1('fulfillment_rate')} || '% fulfillment' AS metric_value
+  {_cols(_LK)}
 FROM st, (SELECT fulfillment_rate AS r FROM sc) s,
      (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS m FROM st) a
 WHERE revenue > m AND fulfillment_rate < r""",
     "ins_expansion": f"""SELECT 'ins_expansion' AS rule_id, 4 AS rule_pos, 'Medium' AS impact,
   'Expansion' AS category, top_state AS entity, CAST(n AS DOUBLE) AS metric,
-  CAST(n AS VARCHAR) || ' states show strong logistics but low penetration' AS title,
-  'Top target: ' || top_state || ' — ' || {F1('top_rate')} || '% fulfillment on only ₹' || {G0('top_rev')}
-    || ' revenue.' AS detail,
-  'Prioritise ad spend and seller promotions in: ' || names || '{_T['expansion_action']}' AS action,
-  CAST(n AS VARCHAR) || ' expansion markets' AS metric_value
+  {_cols(_EX)}
 FROM (SELECT COUNT(*) AS n FROM tg) c,
      (SELECT ship_state AS top_state, fulfillment_rate AS top_rate, revenue AS top_rev FROM tg
       ORDER BY fulfillment_rate DESC, ship_state LIMIT 1) t,
@@ -620,28 +637,18 @@ FROM (SELECT COUNT(*) AS n FROM tg) c,
 WHERE n > 0""",
     "ins_weak_category": f"""SELECT 'ins_weak_category' AS rule_id, 5 AS rule_pos, 'Medium' AS impact,
   'Revenue' AS category, category AS entity, avg_order_value AS metric,
-  category || ': low AOV and poor fulfillment' AS title,
-  'Avg order ₹' || {G0('avg_order_value')} || ' (avg ₹' || {G0('a')} || ') and ' || {F1('fulfillment_rate')}
-    || '% fulfillment (avg ' || {F1('r')} || '%).' AS detail,
-  'Consider bundling ' || category || '{_T['weak_category_action']}' AS action,
-  'AOV ₹' || {G0('avg_order_value')} AS metric_value
+  {_cols(_WC)}
 FROM ct, (SELECT AVG(avg_order_value) AS a, AVG(fulfillment_rate) AS r FROM ct) m
 WHERE avg_order_value < a AND fulfillment_rate < r""",
     "ins_b2b": f"""SELECT 'ins_b2b' AS rule_id, 6 AS rule_pos,
   CASE WHEN s > 5 AND s < 30 THEN 'Medium' ELSE 'Low' END AS impact,
   CASE WHEN s > 5 AND s < 30 THEN 'Growth' ELSE 'Revenue' END AS category,
   CAST(NULL AS VARCHAR) AS entity, s AS metric,
-  CASE WHEN s > 5 AND s < 30 THEN 'B2B orders are ' || {F1('s')} || '% of revenue — growth lever'
-       ELSE 'B2B is ' || {F1('s')} || '% of revenue — protect this channel' END AS title,
-  CASE WHEN s > 5 AND s < 30 THEN '{_T['b2b_growth_detail']}' ELSE '{_T['b2b_protect_detail']}' END AS detail,
-  CASE WHEN s > 5 AND s < 30 THEN '{_T['b2b_growth_action']}' ELSE '{_T['b2b_protect_action']}' END AS action,
-  {F1('s')} || '% B2B share' AS metric_value
+  {_cols([_case('s > 5 AND s < 30', _BG[i], _BP[i]) for i in range(4)])}
 FROM (SELECT b2b_revenue_share AS s FROM sc) x WHERE (s > 5 AND s < 30) OR s >= 30""",
     "ins_method_gap": f"""SELECT 'ins_method_gap' AS rule_id, 7 AS rule_pos, 'High' AS impact,
   'Fulfillment' AS category, CAST(NULL AS VARCHAR) AS entity, gap AS metric,
-  'Amazon-fulfilled orders are ' || {F1('gap')} || '% better at fulfillment' AS title,
-  'Amazon: ' || {F1('amz')} || '% vs Merchant: ' || {F1('mer')} || '%{_T['method_gap_detail']}' AS detail,
-  '{_T['method_gap_action']}' AS action, {F1('gap')} || '% fulfillment gap' AS metric_value
+  {_cols(_GP)}
 FROM (SELECT amz, mer, amz - mer AS gap FROM (
   SELECT COUNT(*) AS n,
     first(fulfillment_rate ORDER BY revenue DESC, fulfillment) FILTER (WHERE upper(fulfillment) = 'AMAZON') AS amz,
@@ -652,10 +659,7 @@ FROM (SELECT amz, mer, amz - mer AS gap FROM (
 WHERE gap > 5""",
     "ins_riskfree": f"""SELECT 'ins_riskfree' AS rule_id, 8 AS rule_pos, 'Low' AS impact,
   'Expansion' AS category, names AS entity, CAST(n AS DOUBLE) AS metric,
-  names || ': near-perfect fulfillment, almost no revenue' AS title,
-  CAST(n AS VARCHAR) || '{_T['riskfree_detail']}' AS detail,
-  'Run low-budget test campaigns in ' || names || '{_T['riskfree_action']}' AS action,
-  CAST(n AS VARCHAR) || ' risk-free markets' AS metric_value
+  {_cols(_RF)}
 FROM (SELECT COUNT(*) AS n FROM pf) c,
      (SELECT string_agg(ship_state, ', ' ORDER BY revenue DESC, ship_state) AS names
       FROM (SELECT * FROM pf ORDER BY revenue DESC, ship_state LIMIT 4) q) nm
@@ -730,15 +734,15 @@ _NULLS = "CAST(NULL AS DOUBLE) AS drop_percent, CAST(NULL AS VARCHAR[]) AS state
 
 CHK_SQL = {
     "chk_category": f"""SELECT 1 AS check_pos, 'underperforming_category' AS type, 'high' AS severity,
-  'Category ''' || category || ''' earns ₹' || {F0('revenue')} || ' vs avg ₹' || {F0('av')} AS message,
+  {sql_fill(CK.MESSAGES['underperforming_category'], category='category', revenue=F0('revenue'), avg=F0('av'))} AS message,
   category AS entity, CAST(revenue AS DOUBLE) AS value, {_NULLS}
 FROM ct, (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS av FROM ct) a WHERE revenue < av * 0.5""",
     "chk_weak_market": f"""SELECT 2 AS check_pos, 'weak_market' AS type, 'medium' AS severity,
-  '''' || ship_state || ''' is a weak market — only ₹' || {F0('revenue')} || ' revenue' AS message,
+  {sql_fill(CK.MESSAGES['weak_market'], state='ship_state', revenue=F0('revenue'))} AS message,
   ship_state AS entity, CAST(revenue AS DOUBLE) AS value, {_NULLS}
 FROM st, (SELECT {R('SUM(revenue)', 'COUNT(revenue)')} AS av FROM st) a WHERE revenue < av * 0.3""",
     "chk_mom_drop": f"""SELECT 3 AS check_pos, 'mom_revenue_drop' AS type, 'critical' AS severity,
-  'Revenue dropped ' || {F1('dr')} || '% from ' || py || ' to ' || ly AS message,
+  {sql_fill(CK.MESSAGES['mom_revenue_drop'], drop=F1('dr'), prev='py', last='ly')} AS message,
   CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS DOUBLE) AS value,
   CAST(round_even(CAST(dr AS DECIMAL(38,6)), 2) AS DOUBLE) AS drop_percent, CAST(NULL AS VARCHAR[]) AS states
 FROM (SELECT *, (CAST(pr AS DOUBLE) - CAST(lr AS DOUBLE)) / CAST(pr AS DOUBLE) * 100 AS dr FROM (
@@ -747,11 +751,11 @@ FROM (SELECT *, (CAST(pr AS DOUBLE) - CAST(lr AS DOUBLE)) / CAST(pr AS DOUBLE) *
   FROM (SELECT * FROM tr ORDER BY year_month DESC LIMIT 2) l2) x) y
 WHERE n >= 2 AND pr > 0 AND dr > 20""",
     "chk_low_rate": f"""SELECT 4 AS check_pos, 'low_fulfillment_rate' AS type, 'critical' AS severity,
-  'Only ' || {F1('r')} || '% orders fulfilled — major operational risk' AS message,
+  {sql_fill(CK.MESSAGES['low_fulfillment_rate'], rate=F1('r'))} AS message,
   CAST(NULL AS VARCHAR) AS entity, r AS value, {_NULLS}
 FROM (SELECT COALESCE(fulfillment_rate, 100.0) AS r FROM sc) x WHERE r < 60""",
-    "chk_expansion": """SELECT 5 AS check_pos, 'expansion_opportunity' AS type, 'low' AS severity,
-  CAST(n AS VARCHAR) || ' states identified as expansion targets' AS message,
+    "chk_expansion": f"""SELECT 5 AS check_pos, 'expansion_opportunity' AS type, 'low' AS severity,
+  {sql_fill(CK.MESSAGES['expansion_opportunity'], n='CAST(n AS VARCHAR)')} AS message,
   CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS drop_percent,
   states
 FROM (SELECT COUNT(*) AS n, list(ship_state ORDER BY fulfillment_rate DESC, ship_state) AS states FROM tg) x
