@@ -3,7 +3,7 @@ summaries, e-mail de-duplication, subscription activity and expiry."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,11 +42,14 @@ def normalise_email(col="email"):
 
 
 def dedupe_email(users: DataFrame) -> DataFrame:
-    """Normalise (lower + strip); the earliest row per address wins."""
-    w = Window.partitionBy("email_norm").orderBy(F.col("created_at").asc(), F.col("id").asc())
-    return (users.withColumn("email_norm", normalise_email("email"))
-                 .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-                 .drop("_rn", "email").withColumnRenamed("email_norm", "email"))
+    """Normalise (lower + strip); the earliest row per address wins
+    (``min_by`` over (created_at, id): a partial aggregate, so an address
+    with very many rows is combined map-side, not gathered in one task)."""
+    rest = [c for c in users.columns if c != "email"]
+    first = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct("created_at", "id"))
+    return (users.withColumn("email", normalise_email("email"))
+                 .groupBy("email").agg(first.alias("r"))
+                 .select(*[F.col(f"r.{c}").alias(c) for c in rest], "email"))
 
 
 def new_keys_only(existing: DataFrame, incoming: DataFrame) -> DataFrame:
