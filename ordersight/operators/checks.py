@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.render import fill, fixed
-from ordersight.functions.stats import pct
 from ordersight.operators import kpis as K
-from ordersight.operators import market as MK
 
 # FIXED VALUES: finding messages; ``{name}`` marks a value filled in per row.
 MESSAGES = {

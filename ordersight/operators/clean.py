@@ -14,7 +14,7 @@ from ordersight.functions.dates import as_date, parse_date, parse_date_any, year
 from ordersight.functions.flags import (amount_valid, b2b_int, b2b_label, coerce_amount,
                                         fulfilled)
 from ordersight.functions.text import py_strip, upper_strip
-from ordersight.schema import (COLUMN_MAP, LOAD_DEFAULTS, MAPPED_DEFAULTS,
+from ordersight.schema import (ANY_DATE_FORMATS, COLUMN_MAP, LOAD_DEFAULTS, MAPPED_DEFAULTS,
                                SALES_DDL_V2, SALES_DDL_V2_DEFAULTS, STRICT_DATE_FORMATS)
 
 
@@ -113,12 +113,7 @@ def load_from_df(df: DataFrame) -> DataFrame:
     columns, any date format, regex fulfillment, B2B constant 0, valid only."""
     df = synthetic_order_id(default_missing(df))
     return valid_sales(clean(df, fulfilled_policy="regex",
-                             date_formats=_any_formats(), b2b="zero"))
-
-
-def _any_formats():
-    from ordersight.schema import ANY_DATE_FORMATS
-    return ANY_DATE_FORMATS
+                             date_formats=ANY_DATE_FORMATS, b2b="zero"))
 
 
 # ---- single-step operators (exposed for the catalog and tests) ---------------

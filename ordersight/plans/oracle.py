@@ -48,6 +48,21 @@ JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
 JOIN part ON l_partkey=p_partkey"""
 
 
+def customer_sales_sql() -> str:
+    """Order lines at customer grain (customer key as the market dimension)."""
+    return """SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(o_orderdate AS DATE) AS order_date,
+  CASE WHEN o_orderstatus='F' AND l_returnflag='N' THEN 'Shipped - Delivered to Buyer'
+       WHEN o_orderstatus='F' AND l_returnflag='A' THEN ' Shipped'
+       WHEN o_orderstatus='F' THEN 'Shipped - Returned to Seller'
+       WHEN o_orderstatus='P' AND l_returnflag='A' THEN 'Shipped'
+       WHEN o_orderstatus='P' THEN 'Pending'
+       WHEN l_returnflag='A' THEN 'Cancelled' ELSE 'Unshipped' END AS status,
+  CAST(o_custkey AS VARCHAR) AS ship_state,
+  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(12,2))
+    AS amount
+FROM lineitem JOIN orders ON l_orderkey=o_orderkey"""
+
+
 def fulfilled_sql(expr: str, policy: str = "exact") -> str:
     if policy == "exact":
         cond = f"{sql_strip(expr)} IN ({_in_list(FULFILLED_STATUSES)})"

@@ -23,7 +23,6 @@ def valid(spark, sf, skewed=False, policy="exact"):
     return C.load_clean(sales_view(spark, sf, skewed), fulfilled_policy=policy)
 
 
-S = O.sql_strip if hasattr(O, "sql_strip") else None
 M, P, R = O.money, O.pct, O.ratio
 
 
@@ -828,11 +827,9 @@ def q_top_findings(spark, sf):
 
 from ordersight.functions import dates as D  # noqa: E402
 from ordersight.functions import flags as FL  # noqa: E402
-from ordersight.functions.text import py_strip, upper_strip  # noqa: E402
 from ordersight.schema import LOAD_DEFAULTS, MAPPED_DEFAULTS  # noqa: E402
 from ordersight.sources.star import raw_export_view  # noqa: E402
 
-ST = O.sql_strip if hasattr(O, "sql_strip") else None
 from ordersight.functions.text import sql_strip as SS  # noqa: E402
 
 
@@ -1413,3 +1410,25 @@ def q_sink_clean_summary(spark, sf):
     path = scratch_path(spark, f"clean-summary-{_uuid.uuid4().hex[:8]}")
     SK.sink_clean_summary(valid(spark, sf), path, _job_id(sf))
     return SK.read_job(spark, path, _job_id(sf)).drop("stored_at")
+
+
+# =============================================================================
+# Customer grain: a high-cardinality market dimension
+# =============================================================================
+
+from ordersight.sources.star import customer_sales_view  # noqa: E402
+
+CUST_CTES = (f"WITH cs AS ({O.customer_sales_sql()}),\n"
+             f"cv AS (SELECT order_id, order_date, {O.sql_strip('status')} AS status, "
+             f"upper({O.sql_strip('ship_state')}) AS ship_state, amount, "
+             f"{O.fulfilled_sql('status')} AS is_fulfilled FROM cs WHERE amount > 0),\n"
+             f"st AS ({REV_BY_STATE_SQL.replace('FROM valid', 'FROM cv')})\n")
+
+
+@register("chk_weak_market_customers", CUST_CTES + CHK_SQL["chk_weak_market"])
+def q_chk_weak_market_customers(spark, sf):
+    """C2 at customer grain (customer key as the market, discounted price as
+    the amount): many groups, uneven revenue; fully distributed (the mean is a
+    scalar subquery, no window)."""
+    v = C.load_clean(customer_sales_view(spark, sf))
+    return CK.chk_weak_market(K.revenue_by_state(v))

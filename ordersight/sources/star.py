@@ -173,5 +173,6 @@ def customer_sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("o_orderdate").alias("order_date"),
         _status().alias("status"),
         F.col("o_custkey").cast("string").alias("ship_state"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(AMOUNT_TYPE).alias("amount"),
+        (F.col("l_extendedprice").cast(AMOUNT_TYPE)
+         * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(AMOUNT_TYPE).alias("amount"),
     )
