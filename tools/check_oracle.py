@@ -48,9 +48,17 @@ def digest(cols, rows, digits=None):
 
 def main():
     args = sys.argv[1:]
+    plain = "--plain" in args
+    args = [a for a in args if a != "--plain"]
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     keys = [a for a in args if not os.path.isdir(a)]
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if plain:  # a session as a driver would build it, without the engine's defaults
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
