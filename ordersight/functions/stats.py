@@ -56,3 +56,44 @@ def lag_change_pct(col, order_col) -> Column:
     """(x / previous row's x - 1) * 100; first row null (row-based, not calendar)."""
     prev = F.lag(_c(col)).over(Window.orderBy(_c(order_col)))
     return (F.try_divide(_c(col).cast("double"), prev.cast("double")) - F.lit(1)) * F.lit(100)
+
+
+def distributed_rank(df, col: str, method: str = "average", ascending: bool = False,
+                     out: str = "rank", partitions: int | None = None):
+    """Global rank of ``col`` without gathering rows in one task.
+
+    For dimensions too large for a single-partition window (e.g. customers):
+    1. distinct values with their row counts (partial aggregation, so a value
+       held by a large share of rows is combined map-side);
+    2. range-partition the distinct values in rank order; inside each
+       partition an exclusive running count gives the local offset;
+    3. per-partition totals (one row per partition) give each partition's
+       starting offset;
+    4. min rank = 1 + rows with a better value; average rank adds
+       (ties - 1) / 2; the rank joins back on the value (a hot value is a hot
+       join key, which AQE's skew join splits).
+    Nulls stay unranked (null), as with pandas.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = F.col(col)
+    order = c.asc() if ascending else c.desc()
+    vals = df.filter(c.isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
+    ranged = vals.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    w_local = (Window.partitionBy("_pid").orderBy(order)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.withColumn("_before", F.coalesce(F.sum("_ties").over(w_local), F.lit(0)))
+    sizes = ranged.groupBy("_pid").agg(F.sum("_ties").alias("_size"))
+    offsets = sizes.withColumn(
+        "_offset", F.coalesce(F.sum("_size").over(
+            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = local.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+    first = F.col("_offset") + F.col("_before") + F.lit(1)
+    if method == "average":
+        rank = first.cast("double") + (F.col("_ties").cast("double") - F.lit(1.0)) / F.lit(2.0)
+    elif method == "min":
+        rank = first.cast("bigint")
+    else:
+        raise ValueError(f"unknown rank method {method!r}")
+    ranks = ranks.select(c, rank.alias(out))
+    return df.join(ranks, col, "left")

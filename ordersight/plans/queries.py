@@ -1432,3 +1432,15 @@ def q_chk_weak_market_customers(spark, sf):
     scalar subquery, no window)."""
     v = C.load_clean(customer_sales_view(spark, sf))
     return CK.chk_weak_market(K.revenue_by_state(v))
+
+
+@register("rank_average_customers", CUST_CTES.replace("st AS (", "st0 AS (").rstrip("\n")
+          + f",\nst AS (SELECT ship_state, revenue FROM st0)\n"
+          f"SELECT ship_state, revenue, {avg_rank_sql('revenue')} AS revenue_rank FROM st")
+def q_rank_average_customers(spark, sf):
+    """W2 at customer grain with the distributed rank (no single-partition
+    window): pandas-style average rank of customer revenue."""
+    from ordersight.functions.stats import distributed_rank
+    v = C.load_clean(customer_sales_view(spark, sf))
+    st = K.revenue_by_state(v).select("ship_state", "revenue")
+    return distributed_rank(st, "revenue", "average", out="revenue_rank")

@@ -67,3 +67,16 @@ def test_spread_keeps_orders_together_and_splits_hot_orders(spark):
                  s.groupBy("l_orderkey").agg(F.count_distinct("p").alias("n")).collect()}
     assert all(n == 1 for o, n in per_order.items() if o != 0)
     assert per_order[0] > 1
+
+
+@pytest.mark.parametrize("method", ["average", "min"])
+def test_distributed_rank_equals_window_rank(spark, method):
+    import random
+    from ordersight.functions.stats import distributed_rank, rank_by
+    rnd = random.Random(7)
+    rows = [(i, float(rnd.randint(0, 40)) if i % 17 else None) for i in range(600)]
+    rows += [(1000 + i, 5.0) for i in range(300)]          # one value held by a third of rows
+    df = spark.createDataFrame(rows, "k long, v double")
+    want = {r.k: r.r for r in df.select("k", rank_by("v", method).alias("r")).collect()}
+    got = {r.k: r.rank for r in distributed_rank(df, "v", method, partitions=6).collect()}
+    assert got == want
