@@ -72,7 +72,8 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
     4. min rank = 1 + rows with a better value; average rank adds
        (ties - 1) / 2; the rank joins back on the value (a hot value is a hot
        join key, which AQE's skew join splits).
-    Nulls stay unranked (null), as with pandas.
+    Nulls: unranked with the average method (pandas); ranked last as one tie
+    group with the min method (SQL RANK() ... NULLS LAST).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,4 +97,9 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
     else:
         raise ValueError(f"unknown rank method {method!r}")
     ranks = ranks.select(c, rank.alias(out))
-    return df.join(ranks, col, "left")
+    joined = df.join(ranks, col, "left")
+    if method == "min":
+        non_null = vals.agg(F.sum("_ties")).scalar()
+        joined = joined.withColumn(out, F.when(c.isNull(), (non_null + F.lit(1)).cast("bigint"))
+                                   .otherwise(F.col(out)))
+    return joined
