@@ -17,7 +17,7 @@ def _c(col):
     return F.col(col) if isinstance(col, str) else col
 
 
-def fulfilled(col, policy: str = "exact") -> Column:
+def fulfilled(col, policy: str = "exact", stripped: bool = False) -> Column:
     """1 when the status counts as fulfilled under ``policy``, else 0 (null -> 0).
 
     exact        stripped status in the exact two-value set (case-sensitive)
@@ -25,10 +25,11 @@ def fulfilled(col, policy: str = "exact") -> Column:
     upper_in     UPPER(TRIM(status)) in the upper-cased set (SQL scripts)
     shipped_only status = 'Shipped' with no stripping (first SQL generation)
     bi           status equal to one of the two values, no stripping (workbook)
+    ``stripped``: the column is already stripped (skip the strip).
     """
     c = _c(col)
     if policy == "exact":
-        cond = py_strip(c).isin(*FULFILLED_STATUSES)
+        cond = (c if stripped else py_strip(c)).isin(*FULFILLED_STATUSES)
     elif policy == "regex":
         cond = c.rlike("(?i)(" + FULFILLED_STEMS_REGEX + ")")
     elif policy == "upper_in":

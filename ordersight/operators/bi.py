@@ -1,5 +1,6 @@
 """Workbook sheets as DataFrame aggregates over the RAW fact table (no amount
-filter, no state normalisation: 'DELHI', 'Delhi' and 'delhi' stay apart)."""
+filter, no state normalisation: 'DELHI', 'Delhi' and 'delhi' stay apart).
+Table-wide averages are window aggregates over the per-state aggregate."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ordersight.functions.flags import fulfilled
 from ordersight.functions.stats import ratio
+from ordersight.operators.kpis import all_rows, exact_mean_over
 
 # FIXED VALUES: members kept by the channel filter and the excluded state.
 CHANNEL_MEMBERS = ("Amazon.in", "Non-Amazon")
@@ -57,22 +59,19 @@ def bi_efficiency(df: DataFrame) -> DataFrame:
     averages of both (scalar subqueries over the per-state table)."""
     per = df.groupBy("ship_state").agg(F.sum("amount").alias("revenue"),
                                        F.count("order_id").alias("order_count"))
-    avg_rev = per.agg(ratio(F.sum("revenue"), F.count("revenue"))).scalar()
-    avg_cnt = per.agg(ratio(F.sum("order_count"), F.count("order_count"))).scalar()
     return per.select("ship_state", F.col("revenue").cast("decimal(38,2)").alias("revenue"),
-                      "order_count", avg_rev.alias("avg_revenue"), avg_cnt.alias("avg_order_count"))
+                      "order_count", exact_mean_over("revenue").alias("avg_revenue"),
+                      exact_mean_over("order_count").alias("avg_order_count"))
 
 
 def bi_fulfillment_quality(df: DataFrame) -> DataFrame:
     """Per state rate and SUM(amount) with pane averages; state filter."""
     per = filter_state_not_in(df).groupBy("ship_state").agg(
         _rate().alias("fulfillment_rate"), F.sum("amount").alias("revenue"))
-    avg_rate = per.agg(F.avg("fulfillment_rate")).scalar()
-    avg_rev = per.agg(ratio(F.sum("revenue"), F.count("revenue"))).scalar()
     return per.select("ship_state", "fulfillment_rate",
                       F.col("revenue").cast("decimal(38,2)").alias("revenue"),
-                      F.round(avg_rate, 9).alias("avg_fulfillment_rate"),
-                      avg_rev.alias("avg_revenue"))
+                      F.round(F.avg("fulfillment_rate").over(all_rows()), 9).alias("avg_fulfillment_rate"),
+                      exact_mean_over("revenue").alias("avg_revenue"))
 
 
 def bi_revenue_by_state(df: DataFrame) -> DataFrame:

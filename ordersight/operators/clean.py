@@ -87,7 +87,7 @@ def clean(df: DataFrame, *, fulfilled_policy: str = "exact",
     derived = {}
     if "order_date" in cols:
         derived["year_month"] = year_month("order_date")
-    derived["is_fulfilled"] = (fulfilled("status", fulfilled_policy)
+    derived["is_fulfilled"] = (fulfilled("status", fulfilled_policy, stripped=True)
                                if "status" in cols else F.lit(0))
     if b2b == "raw" and "is_b2b_raw" in cols:
         derived["is_b2b"] = b2b_int("is_b2b_raw")

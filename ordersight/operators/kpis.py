@@ -12,7 +12,7 @@ only for ratios, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.stats import lag_change_pct, pct, ratio
@@ -50,11 +50,24 @@ def exact_mean(col):
     return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
 
 
+def all_rows():
+    """A window over all rows of a (bounded, aggregated) frame."""
+    return Window.partitionBy()
+
+
 def share_of_total(df: DataFrame, col: str = "revenue", out: str = "revenue_share_pct") -> DataFrame:
-    """value / total * 100 where total is an uncorrelated scalar subquery over
-    the same (aggregated) frame: no cross join, no single-partition window."""
-    total = df.agg(F.sum(col)).scalar()
-    return df.withColumn(out, pct(F.col(col), total))
+    """value / total * 100, the total taken as a window aggregate over the
+    aggregated frame itself. The frame is bounded by a dimension's
+    cardinality, so gathering it costs little, and the fact table is scanned
+    once (a scalar subquery would re-run the aggregation: a second scan)."""
+    return df.withColumn(out, pct(F.col(col), F.sum(col).over(all_rows())))
+
+
+def exact_mean_over(col, window=None):
+    """``exact_mean`` as a window aggregate (default: over all rows)."""
+    w = window if window is not None else all_rows()
+    c = F.col(col) if isinstance(col, str) else col
+    return F.try_divide(F.sum(c).over(w).cast("double"), F.count(c).over(w).cast("double"))
 
 
 # ---- scalar KPIs (A1-A6) ------------------------------------------------------

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.stats import pct, rank_by, ratio
-from ordersight.operators.kpis import (aggregate, exact_mean, money, revenue_by_state,
-                                       monthly_trend, share_of_total)
+from ordersight.operators.kpis import (aggregate, all_rows, exact_mean_over, money,
+                                       monthly_trend, revenue_by_state, share_of_total)
 
 # FIXED VALUES: quadrant labels of the fulfillment-vs-revenue chart.
 QUADRANTS = ("Star market", "Revenue leakage", "Expansion target", "Low priority")
@@ -51,6 +51,10 @@ def expansion_model(df: DataFrame, pillars: int = 2, method: str = "average",
                     aggregated: bool = False) -> DataFrame:
     """W7 (2 pillars: revenue, rate) / W8 (3 pillars: + mean amount):
     descending ranks (``method`` average or min), composite = sum, ascending."""
+    return _model(df, pillars, method, aggregated).orderBy("composite_score", "ship_state")
+
+
+def _model(df: DataFrame, pillars: int, method: str, aggregated: bool) -> DataFrame:
     base = state_base(df, with_aov=pillars == 3, aggregated=aggregated)
     ranked = base.withColumns({
         "revenue_rank": rank_by("revenue", method),
@@ -60,18 +64,22 @@ def expansion_model(df: DataFrame, pillars: int = 2, method: str = "average",
     if pillars == 3:
         ranked = ranked.withColumn("aov_rank", rank_by("avg_order_value", method))
         composite = composite + F.col("aov_rank")
-    return ranked.withColumn("composite_score", composite).orderBy("composite_score", "ship_state")
+    return ranked.withColumn("composite_score", composite)
 
 
 def expansion_targets(df: DataFrame, pillars: int = 2, k: int = 10,
                       aggregated: bool = False) -> DataFrame:
     """States with revenue below the median state revenue and rate above
     the mean state rate; rate descending (state breaks ties); first k."""
-    model = expansion_model(df, pillars, aggregated=aggregated)
-    median_rev = model.agg(F.percentile(F.col("revenue").cast("double"), F.lit(0.5))).scalar()
-    mean_rate = model.agg(F.avg("fulfillment_rate")).scalar()
-    return (model.filter((F.col("revenue") < median_rev) & (F.col("fulfillment_rate") > mean_rate))
-                 .orderBy(F.desc("fulfillment_rate"), F.asc("ship_state")).limit(k))
+    model = _model(df, pillars, "average", aggregated)
+    cols = model.columns
+    # thresholds as window aggregates over the per-state model (one fact scan)
+    t = model.withColumns({
+        "_median": F.percentile(F.col("revenue").cast("double"), F.lit(0.5)).over(all_rows()),
+        "_mean_rate": F.avg("fulfillment_rate").over(all_rows())})
+    return (t.filter((F.col("revenue") < F.col("_median"))
+                     & (F.col("fulfillment_rate") > F.col("_mean_rate")))
+             .select(*cols).orderBy(F.desc("fulfillment_rate"), F.asc("ship_state")).limit(k))
 
 
 def rank_states(df: DataFrame, method: str) -> DataFrame:
@@ -108,20 +116,28 @@ def name_list(df: DataFrame, name_col: str, order_cols, k: int, out: str = "name
     return top.agg(F.array_join(F.transform(ordered, lambda x: x["n"]), ", ").alias(out))
 
 
-def market_quadrant(df: DataFrame, k: int = 25, overall_rate=None) -> DataFrame:
+def market_quadrant(df: DataFrame, k: int = 25) -> DataFrame:
     """R2: top-k states; compared with the overall line fulfillment rate and
-    the mean revenue of those k rows -> Star / Leakage / Expansion / Low."""
-    top = top_states(df, k)
-    avg_rev = top.agg(exact_mean("revenue")).scalar()
-    if overall_rate is None:
-        overall_rate = df.agg(pct(F.sum("is_fulfilled"), F.count(F.lit(1)))).scalar()
-    hi_rev = F.col("revenue") > avg_rev
-    ok_rate = F.col("fulfillment_rate") >= overall_rate
+    the mean revenue of those k rows -> Star / Leakage / Expansion / Low.
+    One per-state aggregate; the overall rate and the top-k mean are window
+    aggregates over it (no second scan of the order lines)."""
+    a = state_aggregate(df)
+    a = a.withColumns({
+        "_rate_all": pct(F.sum("fulfilled").over(all_rows()), F.sum("lines").over(all_rows())),
+        "_total": F.sum("revenue").over(all_rows())})
+    st = a.select("ship_state", money("revenue").alias("revenue"), "orders",
+                  pct(F.col("fulfilled"), F.col("lines")).alias("fulfillment_rate"),
+                  pct(F.col("revenue"), F.col("_total")).alias("revenue_share_pct"), "_rate_all")
+    top = st.orderBy(F.desc("revenue"), F.asc("ship_state")).limit(k)
+    top = top.withColumn("_avg_rev", exact_mean_over("revenue"))
+    hi_rev = F.col("revenue") > F.col("_avg_rev")
+    ok_rate = F.col("fulfillment_rate") >= F.col("_rate_all")
     quadrant = (F.when(hi_rev & ok_rate, QUADRANTS[0])
                  .when(hi_rev & ~ok_rate, QUADRANTS[1])
                  .when(~hi_rev & ok_rate, QUADRANTS[2])
                  .otherwise(QUADRANTS[3]))
-    return top.withColumn("quadrant", quadrant)
+    return top.select("ship_state", "revenue", "orders", "fulfillment_rate", "revenue_share_pct",
+                      quadrant.alias("quadrant"))
 
 
 def state_bars(df: DataFrame, k: int = 12, highlight: int = 3) -> DataFrame:

@@ -673,24 +673,9 @@ def _ins(body, skewed=False):
 
 
 def _insight_rule(name, df):
-    states = K.revenue_by_state(df)
-    if name == "ins_concentration":
-        return IN.ins_concentration(states)
-    if name == "ins_mom_trend":
-        return IN.ins_mom_trend(K.monthly_trend(df))
-    if name == "ins_leakage":
-        return IN.ins_leakage(states, K.scalar_kpis(df).select("fulfillment_rate").scalar())
-    if name == "ins_expansion":
-        return IN.ins_expansion(MK.expansion_targets(df))
-    if name == "ins_weak_category":
-        return IN.ins_weak_category(K.revenue_by_category(df))
-    if name == "ins_b2b":
-        return IN.ins_b2b(K.scalar_kpis(df))
-    if name == "ins_method_gap":
-        return IN.ins_method_gap(K.by_fulfillment_method(df))
-    if name == "ins_riskfree":
-        return IN.ins_riskfree(states)
-    raise KeyError(name)
+    """One rule over the run's KPI tables (computed in one pass)."""
+    from ordersight.operators.bundle import kpi_bundle
+    return _insight_rule_from_bundle(name, kpi_bundle(df))
 
 
 for _name, _body in INS_SQL.items():
@@ -765,17 +750,15 @@ RUN_CHECKS_SQL = " UNION ALL ".join(f"SELECT {CHK_COLS} FROM ({s})" for s in CHK
 
 
 def _check(name, df):
-    if name == "chk_category":
-        return CK.chk_category(K.revenue_by_category(df))
-    if name == "chk_weak_market":
-        return CK.chk_weak_market(K.revenue_by_state(df))
-    if name == "chk_mom_drop":
-        return CK.chk_mom_drop(K.monthly_trend(df))
-    if name == "chk_low_rate":
-        return CK.chk_low_rate(K.scalar_kpis(df))
-    if name == "chk_expansion":
-        return CK.chk_expansion(MK.expansion_targets(df))
-    raise KeyError(name)
+    """One check over the run's KPI tables (computed in one pass)."""
+    from ordersight.operators.bundle import kpi_bundle
+    b = kpi_bundle(df)
+    parts = {"chk_category": lambda: CK.chk_category(b.categories),
+             "chk_weak_market": lambda: CK.chk_weak_market(b.states),
+             "chk_mom_drop": lambda: CK.chk_mom_drop(b.months),
+             "chk_low_rate": lambda: CK.chk_low_rate(b.scalars),
+             "chk_expansion": lambda: CK.chk_expansion(b.targets)}
+    return parts[name]()
 
 
 for _name, _body in CHK_SQL.items():
@@ -1321,10 +1304,10 @@ def q_share_scalar_subquery(spark, sf):
 def q_scalar_threshold_join(spark, sf):
     """States whose revenue is above the mean state revenue (row vs a
     whole-table scalar)."""
-    st = K.revenue_by_state(valid(spark, sf))
-    mean = st.agg(K.exact_mean("revenue")).scalar()
-    return st.filter(F.col("revenue") > mean).select("ship_state", "revenue",
-                                                     mean.alias("mean_state_revenue"))
+    st = K.revenue_by_state(valid(spark, sf)).withColumn(
+        "mean_state_revenue", K.exact_mean_over("revenue"))
+    return st.filter(F.col("revenue") > F.col("mean_state_revenue")).select(
+        "ship_state", "revenue", "mean_state_revenue")
 
 
 @register("method_pair", O.with_ctes(

@@ -54,3 +54,13 @@ def test_oracle_sample(spark, con, key):
     cols = rel.columns
     o = sorted("|".join(norm(dict(zip(cols, r))[c]) for c in order) for r in rel.fetchall())
     assert s == o
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__file__))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as E; "
+                          "print(len(E.queries()), len(E.oracle_sql()))"],
+                         cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
