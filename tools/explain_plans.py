@@ -18,6 +18,7 @@ from ordersight.operators import clean as C  # noqa: E402
 from ordersight.operators import kpis as K  # noqa: E402
 from ordersight.operators import market as MK  # noqa: E402
 from ordersight.plans import sqlpack  # noqa: E402
+from ordersight.functions.text import WS_CHARS  # noqa: E402
 from ordersight.session import get_session, scratch_path  # noqa: E402
 from ordersight.sources.star import sales_view  # noqa: E402
 
@@ -32,8 +33,8 @@ NOTES = """Generated by `tools/explain_plans.py`. What to look for:
   and a `ReadSchema` with only the needed columns; cleaning fused into the
   scan's codegen stage; distinct orders as partial/merge aggregates keyed by
   (group, order_id) before the final per-group aggregate;
-* shares and thresholds as `Subquery` nodes (scalar subqueries), no cartesian
-  or nested-loop join;
+* shares and thresholds as window aggregates over the per-state aggregate
+  (one scan of the order lines), no cartesian or nested-loop join;
 * the KPI cube: one `Expand` over the scan feeding one aggregation for all
   five grouping sets;
 * windows (ranks) only above the per-state aggregate.
@@ -44,6 +45,7 @@ def condensed(df) -> str:
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("+- == Initial Plan ==")[0]
+    plan = re.sub("Some\\([" + re.escape(WS_CHARS) + "]+\\)", "Some(<python-whitespace>)", plan)
     keep = []
     for line in plan.splitlines():
         line = re.sub(r"#\d+L?", "", line)
