@@ -48,8 +48,9 @@ def _finding(df, pos, type_, severity, message, entity=None, value=None, drop=No
 
 def chk_category(cats: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
     """Category revenue < 0.5 x mean category revenue -> high."""
-    avg = cats.agg(K.exact_mean("revenue")).scalar()
-    rows = cats.filter(F.col("revenue") < avg * cfg.category_ratio)
+    avg = F.col("_avg")
+    rows = (cats.withColumn("_avg", K.exact_mean_over("revenue"))
+                .filter(F.col("revenue") < avg * cfg.category_ratio))
     return _finding(rows, 1, "underperforming_category", "high",
                     fill(MESSAGES["underperforming_category"], category=F.col("category"),
                          revenue=fixed("revenue", 0), avg=fixed(avg, 0)),
@@ -58,8 +59,8 @@ def chk_category(cats: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame
 
 def chk_weak_market(states: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
     """State revenue < 0.3 x mean state revenue -> medium."""
-    avg = states.agg(K.exact_mean("revenue")).scalar()
-    rows = states.filter(F.col("revenue") < avg * cfg.market_ratio)
+    rows = (states.withColumn("_avg", K.exact_mean_over("revenue"))
+                  .filter(F.col("revenue") < F.col("_avg") * cfg.market_ratio))
     return _finding(rows, 2, "weak_market", "medium",
                     fill(MESSAGES["weak_market"], state=F.col("ship_state"),
                          revenue=fixed("revenue", 0)),

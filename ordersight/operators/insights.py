@@ -131,10 +131,9 @@ def ins_concentration(states: DataFrame, cfg: InsightConfig = InsightConfig()) -
     """Top-N states' combined revenue share > threshold -> High / Revenue."""
     n = cfg.concentration_top
     order = [F.desc("revenue"), F.asc("ship_state")]
-    top = states.orderBy(*order).limit(n)
-    total = states.agg(F.sum("revenue")).scalar()
+    top = states.withColumn("_total", F.sum("revenue").over(K.all_rows())).orderBy(*order).limit(n)
     names = MK.name_list(states, "ship_state", order, n).select("names").scalar()
-    row = top.agg(pct(F.sum("revenue"), total).alias("p")).withColumn("names", names)
+    row = top.agg(pct(F.sum("revenue"), F.first("_total")).alias("p")).withColumn("names", names)
     row = row.filter(F.col("p") > cfg.concentration_pct)
     t = cfg.text["concentration"]
     v = dict(names=F.col("names"), pct=fixed("p", 0), n=F.lit(str(n)))
@@ -175,8 +174,9 @@ def ins_mom_trend(trend: DataFrame, cfg: InsightConfig = InsightConfig()) -> Dat
 def ins_leakage(states: DataFrame, overall_rate, cfg: InsightConfig = InsightConfig()) -> DataFrame:
     """Per state: revenue above the mean state revenue and rate below the
     overall rate -> High / Fulfillment."""
-    mean_rev = states.agg(K.exact_mean("revenue")).scalar()
-    rows = states.filter((F.col("revenue") > mean_rev) & (F.col("fulfillment_rate") < overall_rate))
+    rows = (states.withColumn("_mean_rev", K.exact_mean_over("revenue"))
+                  .filter((F.col("revenue") > F.col("_mean_rev"))
+                          & (F.col("fulfillment_rate") < overall_rate)))
     t = cfg.text["leakage"]
     v = dict(state=F.col("ship_state"), revenue=grouped0("revenue"),
              rate=fixed("fulfillment_rate", 1), avg_rate=fixed(overall_rate, 1))
@@ -211,9 +211,12 @@ def ins_expansion(targets: DataFrame, cfg: InsightConfig = InsightConfig()) -> D
 def ins_weak_category(cats: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFrame:
     """Per category: AOV below the mean AOV and rate below the mean rate ->
     Medium / Revenue."""
-    m = cats.agg(F.avg("avg_order_value").alias("a"), F.avg("fulfillment_rate").alias("r"))
-    avg_aov, avg_ff = m.select("a").scalar(), m.select("r").scalar()
-    rows = cats.filter((F.col("avg_order_value") < avg_aov) & (F.col("fulfillment_rate") < avg_ff))
+    w = K.all_rows()
+    rows = (cats.withColumns({"_a": F.avg("avg_order_value").over(w),
+                              "_r": F.avg("fulfillment_rate").over(w)})
+                .filter((F.col("avg_order_value") < F.col("_a"))
+                        & (F.col("fulfillment_rate") < F.col("_r"))))
+    avg_aov, avg_ff = F.col("_a"), F.col("_r")
     t = cfg.text["weak_category"]
     v = dict(category=F.col("category"), aov=grouped0("avg_order_value"),
              avg_aov=grouped0(avg_aov), rate=fixed("fulfillment_rate", 1),
@@ -270,9 +273,10 @@ def ins_method_gap(methods: DataFrame, cfg: InsightConfig = InsightConfig()) ->
 def ins_riskfree(states: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFrame:
     """States with rate >= 95 and revenue <= the 10 % quantile -> one Low /
     Expansion row naming the first four."""
-    p10 = states.agg(F.percentile(F.col("revenue").cast("double"),
-                                  F.lit(cfg.riskfree_quantile))).scalar()
-    perfect = states.filter((F.col("fulfillment_rate") >= cfg.riskfree_rate) & (F.col("revenue") <= p10))
+    p10 = F.percentile(F.col("revenue").cast("double"), F.lit(cfg.riskfree_quantile)).over(K.all_rows())
+    perfect = (states.withColumn("_p10", p10)
+                     .filter((F.col("fulfillment_rate") >= cfg.riskfree_rate)
+                             & (F.col("revenue") <= F.col("_p10"))).drop("_p10"))
     order = [F.desc("revenue"), F.asc("ship_state")]
     names = MK.name_list(perfect, "ship_state", order, cfg.riskfree_names).select("names").scalar()
     row = perfect.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).withColumn("names", names)

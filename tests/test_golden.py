@@ -119,3 +119,17 @@ def test_checks_low_rate_and_mom(spark):
     assert r.drop_percent == pytest.approx(21.0)
     t2 = spark.createDataFrame([("2022-01", 100.0), ("2022-02", 80.0)], "year_month string, revenue double")
     assert CK.chk_mom_drop(t2).count() == 0
+
+
+def test_riskfree_and_category_thresholds(spark):
+    from decimal import Decimal
+    rows = [(f"S{i}", Decimal(10 * i), 96.0 if i in (1, 2) else 50.0) for i in range(1, 11)]
+    states = spark.createDataFrame(rows, "ship_state string, revenue decimal(38,2), fulfillment_rate double")
+    # 10 % quantile of 10..100 is 19: only S1 (10) qualifies; S2 (20) is above it
+    r = IN.ins_riskfree(states).collect()
+    assert len(r) == 1 and r[0].entity == "S1" and r[0].metric == 1.0
+    assert r[0].title == "S1: near-perfect fulfillment, almost no revenue"
+    cats = spark.createDataFrame([("a", Decimal(100)), ("b", Decimal(100)), ("c", Decimal(20))],
+                                 "category string, revenue decimal(38,2)")
+    f = CK.chk_category(cats).collect()          # mean 73.33, half of it 36.67 -> only c
+    assert [x.entity for x in f] == ["c"] and f[0].message == "Category 'c' earns ₹20 vs avg ₹73"
