@@ -64,3 +64,20 @@ def test_entry_imports_without_a_session():
                           "print(len(E.queries()), len(E.oracle_sql()))"],
                          cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_no_cartesian_or_python_rows_in_plans(spark):
+    """Plan-only check (no execution) of every registered query that does not
+    materialise intermediate tables at definition time."""
+    side_effects = ("ins_", "chk_", "run_checks", "sink_", "csv", "watch", "scan_", "load_infile",
+                    "top_findings", "table_counts", "run_summary", "export_insights", "parse_insight",
+                    "sort_by_impact", "insight", "generate")
+    bad = []
+    for key, fn in E.queries().items():
+        if any(s in key for s in side_effects):
+            continue
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        for flag in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            if flag in plan:
+                bad.append((key, flag))
+    assert bad == []
