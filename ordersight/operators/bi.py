@@ -56,7 +56,7 @@ def bi_category_perf(df: DataFrame, channel_filter: bool = False) -> DataFrame:
 
 def bi_efficiency(df: DataFrame) -> DataFrame:
     """Per state SUM(amount) and COUNT(order id) with the table-wide
-    averages of both (scalar subqueries over the per-state table)."""
+    averages of both (window aggregates over the per-state table)."""
     per = df.groupBy("ship_state").agg(F.sum("amount").alias("revenue"),
                                        F.count("order_id").alias("order_count"))
     return per.select("ship_state", F.col("revenue").cast("decimal(38,2)").alias("revenue"),

@@ -1,12 +1,13 @@
-"""The KPI tables one analysis run needs, each computed once.
+"""The KPI tables one analysis run needs, computed in one pass.
 
 Rules and checks compare groups with scalars of the same tables (means,
 medians, totals). Written as nested scalar subqueries over the fact table,
-every subquery would re-scan and re-aggregate the order lines. Instead each
-KPI table (bounded by a dimension's cardinality) is computed once and written
-to the shared checkpoint folder (``spark.checkpoint.dir``); the rules then run
-over these small tables. Writing also cuts the lineage, so a lost executor
-does not force the fact-table aggregation to be recomputed.
+every subquery would re-scan and re-aggregate the order lines. Instead all
+per-dimension tables (each bounded by a dimension's cardinality) come from ONE
+grouping-sets aggregate, written once to the shared checkpoint folder
+(``spark.checkpoint.dir``) together with the expansion targets; the rules then
+run over these small tables. Writing also cuts the lineage, so a lost
+executor does not force the fact-table aggregation to be recomputed.
 """
 
 from __future__ import annotations

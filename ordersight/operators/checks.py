@@ -1,7 +1,7 @@
 """Analysis checks: KPI tables -> FINDING rows (type, severity, message, ...).
 
 Columns: check_pos, type, severity, message, entity, value, drop_percent,
-states. Means are uncorrelated scalar subqueries over the aggregated tables.
+states. Means are window aggregates over the aggregated (small) tables.
 """
 
 from __future__ import annotations

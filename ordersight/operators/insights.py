@@ -1,8 +1,9 @@
 """Insight rules: KPI tables -> INSIGHT rows.
 
 Each rule is a DataFrame expression over an aggregated KPI table (bounded by a
-dimension's cardinality); thresholds are parameters and scalar comparisons use
-uncorrelated scalar subqueries. Output columns: rule_id, rule_pos, impact,
+dimension's cardinality); thresholds are parameters. Means, totals and
+quantiles of a KPI table are window aggregates over that small table; the
+overall rate and the name lists are scalar subqueries over small tables. Output columns: rule_id, rule_pos, impact,
 category, entity, metric (double), title, detail, action, metric_value.
 """
 

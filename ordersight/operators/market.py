@@ -3,8 +3,9 @@ expansion targets, quadrants, top-k selections.
 
 Ranks and "top k" are global orderings; they run on the per-state aggregate
 (size bounded by the number of distinct states), never on order lines.
-Thresholds (median, means) are uncorrelated scalar subqueries over the same
-aggregate, so no cross join or driver round trip is needed.
+Thresholds (median, means, overall rate) are window aggregates over the same
+per-state aggregate, so the order lines are scanned once; no cross join or
+driver round trip is needed.
 """
 
 from __future__ import annotations
