@@ -40,6 +40,7 @@ class KpiBundle:
     categories: DataFrame      # revenue_by_category
     months: DataFrame          # monthly_trend
     methods: DataFrame         # by_fulfillment_method
+    totals: DataFrame          # one row of base measures over all lines (lines = row count)
 
 
 DIMS = ["ship_state", "category", "year_month", "fulfillment"]
@@ -83,4 +84,5 @@ def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiB
         categories=K.revenue_by_category(_slice(cube, "category"), aggregated=True),
         months=K.monthly_trend(_slice(cube, "year_month"), aggregated=True),
         methods=K.by_fulfillment_method(_slice(cube, "fulfillment"), aggregated=True),
+        totals=_slice(cube, None),
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.operators import insights as IN
-from ordersight.operators import kpis as K
 from ordersight.schema import INSIGHT, RATE_TARGET
 
 
@@ -17,13 +16,16 @@ def rate_status(scalars: DataFrame, target: float = RATE_TARGET) -> DataFrame:
                           .otherwise("Below Target").alias("rate_status"))
 
 
-def run_summary(df: DataFrame, insights: DataFrame) -> DataFrame:
-    """One row per run: orders, revenue, insight count, rows, rate."""
-    s = K.scalar_kpis(df)
-    n_ins = insights.agg(F.count(F.lit(1))).scalar()
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    return s.select("total_orders", "total_revenue", n_ins.alias("insight_count"),
-                    n_rows.alias("total_rows"), "fulfillment_rate")
+def run_summary(df: DataFrame, insights: DataFrame | None = None, bundle=None) -> DataFrame:
+    """One row per run: orders, revenue, insight count, rows, rate. The
+    KPI bundle (one pass over the lines) supplies the totals and the insights."""
+    from ordersight.operators.bundle import kpi_bundle
+    b = bundle or kpi_bundle(df)
+    ins = insights if insights is not None else IN.generate_insights(df, bundle=b)
+    n_ins = ins.agg(F.count(F.lit(1))).scalar()
+    n_rows = b.totals.select(F.col("lines").cast("bigint")).scalar()
+    return b.scalars.select("total_orders", "total_revenue", n_ins.alias("insight_count"),
+                            n_rows.alias("total_rows"), "fulfillment_rate")
 
 
 def export_json(table: DataFrame) -> DataFrame:

@@ -1154,8 +1154,7 @@ def q_rate_status(spark, sf):
     f"(SELECT COUNT(*) FROM valid) AS total_rows, fulfillment_rate FROM sc"))
 def q_run_summary(spark, sf):
     """Orders, revenue, insight count, rows, rate for one run."""
-    v = valid(spark, sf)
-    return RP.run_summary(v, IN.generate_insights(v))
+    return RP.run_summary(valid(spark, sf))
 
 
 @register("export_json", O.with_ctes(
@@ -1187,11 +1186,13 @@ def q_export_insights_json(spark, sf):
     f"UNION ALL SELECT 'findings', (SELECT COUNT(*) FROM ({RUN_CHECKS_SQL}) c)"))
 def q_table_counts(spark, sf):
     """K6: row counts of the tables one run produces."""
+    from ordersight.operators.bundle import kpi_bundle
     v = valid(spark, sf)
+    b = kpi_bundle(v)
     return RP.table_counts({
-        "cleaned_orders": v, "revenue_by_state": K.revenue_by_state(v),
-        "revenue_by_category": K.revenue_by_category(v), "monthly_trend": K.monthly_trend(v),
-        "insights": IN.generate_insights(v), "findings": CK.run_checks(v)})
+        "cleaned_orders": v, "revenue_by_state": b.states,
+        "revenue_by_category": b.categories, "monthly_trend": b.months,
+        "insights": IN.generate_insights(v, bundle=b), "findings": CK.run_checks(v, bundle=b)})
 
 
 @register("parse_insight_json", _ins(
