@@ -65,3 +65,27 @@ def test_periodic_refresh_and_sinks(spark, tmp_path):
     SK.sink_kpis({"rbs": K.revenue_by_state(v).limit(5)}, path, "a")
     assert SK.read_job(spark, path + "/rbs", "a").count() == 5
     assert SK.read_job(spark, path + "/rbs", "b").count() == 3
+
+
+def test_two_files_in_one_batch_stay_apart(spark, tmp_path):
+    raw = raw_export_view(spark, SF)
+    parity = F.col("Order ID").cast("long") % 2
+    watched = str(tmp_path / "watched")
+    os.makedirs(watched)
+    for p in (0, 1):
+        d = str(tmp_path / f"part{p}")
+        FS.write_csv_export(raw.filter(parity == p), d, files=1)
+        f = [x for x in os.listdir(d) if x.endswith(".csv")][0]
+        os.link(os.path.join(d, f), os.path.join(watched, f"export{p}.csv"))
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    WT.watch_csv_dir(spark, watched, out, ckpt).awaitTermination()
+    res = spark.read.parquet(out)
+    assert res.select("batch_id").distinct().count() == 1
+    for p in (0, 1):
+        got = (res.filter(F.col("source_file").endswith(f"export{p}.csv"))
+                  .select("ship_state", "revenue", "orders", "revenue_share_pct")
+                  .orderBy("ship_state").collect())
+        batch = C.load_clean(C.rename_canonical(C.trim_headers(raw.filter(parity == p))))
+        want = (K.revenue_by_state(batch).select("ship_state", "revenue", "orders", "revenue_share_pct")
+                  .orderBy("ship_state").collect())
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
