@@ -68,3 +68,12 @@ def test_job_docs_join(spark):
     out = {x.job_id: x for x in RC.job_docs_join(k, i, r).collect()}
     assert set(out) == {"j1", "j2"}
     assert out["j1"].market_overview == "overview" and out["j2"].market_overview is None
+
+
+def test_reports_newest_first(spark):
+    rep = spark.createDataFrame([("u1", "a.csv", dt.datetime(2024, 1, 1)),
+                                 ("u1", "b.csv", dt.datetime(2024, 3, 1)),
+                                 ("u2", "c.csv", dt.datetime(2024, 2, 1)),
+                                 ("u1", "d.csv", dt.datetime(2024, 2, 1))],
+                                "user_id string, filename string, created_at timestamp")
+    assert [r.filename for r in RC.reports_newest_first(rep, "u1").collect()] == ["b.csv", "d.csv", "a.csv"]
