@@ -262,17 +262,18 @@ def quantile_of_groups(table: DataFrame, col: str, q: float, out: str) -> DataFr
     return table.agg(F.percentile(F.col(col).cast("double"), F.lit(q)).alias(out))
 
 
-def group_stats(df: DataFrame) -> DataFrame:
+def group_stats(df: DataFrame, bundle=None) -> DataFrame:
     """A37-A39 on state revenue: mean, median, 10 % quantile; plus mean state
-    fulfillment rate and category means (AOV, rate)."""
-    states = revenue_by_state(df)
-    cats = revenue_by_category(df)
-    s = states.agg(
+    fulfillment rate and category means (AOV, rate). State and category tables
+    come from the one-pass KPI bundle (one scan of the lines)."""
+    from ordersight.operators.bundle import kpi_bundle
+    b = bundle or kpi_bundle(df)
+    s = b.states.agg(
         exact_mean("revenue").alias("mean_state_revenue"),
         F.percentile("revenue", F.lit(0.5)).alias("median_state_revenue"),
         F.percentile("revenue", F.lit(0.1)).alias("p10_state_revenue"),
         F.avg("fulfillment_rate").alias("mean_state_rate"))
-    c = cats.agg(F.avg("avg_order_value").alias("mean_category_aov"),
-                 F.avg("fulfillment_rate").alias("mean_category_rate"))
+    c = b.categories.agg(F.avg("avg_order_value").alias("mean_category_aov"),
+                         F.avg("fulfillment_rate").alias("mean_category_rate"))
     return s.select("*", c.select("mean_category_aov").scalar().alias("mean_category_aov"),
                     c.select("mean_category_rate").scalar().alias("mean_category_rate"))
