@@ -10,31 +10,86 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ordersight.llm import bpe, decontaminate, line_dedup, simhash, substring_dedup
+from ordersight.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
+from ordersight.llm.columns import listed
 from ordersight.llm.common import Scratch, read_table, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards along a Hilbert curve over lang, source, n_chars and doc_id; law: row counts at most one apart."""
+    put = sharding.shards(read_table(spark, sf_dir, "documents"), count=40)
+    return put.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: 4-word shingles, 4 bits; component by smallest reachable doc_id."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "op2"), n=4, seed=42, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text by gated attention over its passages; learned from at most 3,000 labelled rows."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), sample=3000)
+    return quality.scores(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 13-word windows that a smaller doc_id also holds are removed."""
     cut = substring_dedup.removal(read_table(spark, sf_dir, "documents"), Scratch(spark, "op4"), window=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base kinds exactly, further kinds by checksum and context score."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    base, more = [k.name for k in pii.KINDS if k.base], [k.name for k in pii.KINDS if not k.base]
+    own = F.concat(*[listed(k, F.col(k)) for k in base])
+    rest = F.concat(*[listed(k, F.col(k)) for k in more])
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(F.array_join(own, ","), 256).alias("base_sha256"), F.array_join(F.concat(own, rest), ",").alias("spans"),
+                        F.array_join(F.transform(F.concat(*[F.col(f"{k}.score") for k in base + more]), lambda x: F.format_number(x, 2)), ",").alias("scores"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints (4-token hashes, windows of 8) of every whole text and of its edited text, with likenesses."""
+    both = winnowing.edited_fingerprints(read_table(spark, sf_dir, "documents"), k=4, w=8)
+    sets = both.select("doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       "selected", "edited_selected", winnowing.hashes(F.col("selected")).alias("own"),
+                       winnowing.hashes(F.col("edited_selected")).alias("after"), winnowing.hashes(F.col("next_selected")).alias("following"))
+    return sets.select("doc_id", "n_chars", "edited_sha256", winnowing.shown(F.col("selected")).alias("fingerprint"),
+                       winnowing.shown(F.col("edited_selected")).alias("edited_fingerprint"),
+                       winnowing.likeness(F.col("own"), F.col("after")).alias("near_edited"),
+                       winnowing.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's five-word shingles."""
     return decontaminate.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), n=5, least=0.8)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text by trigram index and verification; base kinds and further ones."""
+    found = secret_scan.find(read_table(spark, sf_dir, "documents"))
+    names = [r.name for r in secret_scan.RULES]
+
+    def in_order(kinds: list[str]) -> Column:
+        def ranked(kind: str) -> Column:
+            return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(names.index(kind)).alias("rank"), s["end"].alias("end")))
+        every = F.concat(*map(ranked, kinds))
+        called = F.array(*[F.lit(n) for n in names])
+        return F.array_join(F.transform(F.array_sort(every), lambda s: F.concat(
+            F.element_at(called, s["rank"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(in_order(list(secret_scan.BASE)), 256).alias("base_sha256"), in_order(names).alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose key a smaller doc_id holds are dropped; digest of what stays, from the keep bitmaps."""
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "op9")
@@ -56,7 +111,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_substring_dedup, op7_decontaminate, op9_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_simhash, op3_quality, op4_substring_dedup, op5_pii, op6_winnowing,
+                                   op7_decontaminate, op8_secret_scan, op9_line_dedup, op10_bpe)}
 
 # ---------------------------------------------------------------- DuckDB SQL
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
