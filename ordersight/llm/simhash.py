@@ -195,21 +195,24 @@ def _meet(have: int, distance: int):
     return run
 
 
-def near_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bits: int = 8, most: int = 200_000) -> DataFrame:
+def near_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bits: int | None = None, most: int = 400_000) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``print``), a spanning forest of each shuffled part.
 
-    ``bits``: leading bits of the first shuffle; 8 are right up to some ten
-    million distinct fingerprints, each factor of 4 wants 2 more.
+    ``bits``: leading bits of the first shuffle, by default so many that a part
+    holds the own fingerprints of about a thousand, and 8 at least. A part with
+    more than ``most`` fingerprints is sent on with 8 more.
     """
     out, have, level = None, 0, 0
-    rows, more = prints, bits
+    total = prints.count()
+    bits = max(8, (total // 1024).bit_length()) if bits is None else bits
+    rows, more = prints, min(bits, WIDTH)
     while True:
         source = rows.mapInArrow(_send(have, more, distance), PARTS)
         have += more
         sent = scratch.table(source, f"parts-{level}")
         size = sent.groupBy(F.col("part").alias("_part")).agg(F.sum(F.length("prints") / 8).alias("n"))
         large = size.where(F.col("n") > (most if have < WIDTH else 1 << 62)).select("_part")
-        n = min(1 << have, 64 if have <= 8 else 256)
+        n = min(1 << have, max(64, total // 4096))
         few = sent.join(large, F.col("part") == F.col("_part"), "left_anti") if have < WIDTH else sent
         found = scratch.table(few.repartition(n, "part").groupBy("part").applyInArrow(_meet(have, distance), "a long, b long"), f"links-{level}")
         out = found if out is None else out.unionByName(found)
