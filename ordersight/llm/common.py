@@ -141,7 +141,7 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "body", nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``nbytes`` of ``column`` (one row at least)."""
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(batch):
             before = ends[start - 1] if start else 0

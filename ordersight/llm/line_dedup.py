@@ -140,28 +140,28 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, min_chars: int = 10) -> Data
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Columns of ``docs`` plus ``body`` and the document's ``keep`` (null: keeps all)."""
+    """``row``, a struct of all columns of ``docs``, and the document's ``keep`` (null: keeps all)."""
     body = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    left = docs.select(*[docs[c] for c in docs.columns if c not in ("body", "keep", "n_dropped")],
-                       body.cast("binary").alias("body"), F.xxhash64(body).alias("_key"))
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "keep", "n_dropped")
-    return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_key"] == right["_text_key"]),
-                     "left").drop("_id", "_text_key", "_key")
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(body).alias("own_key"))
+    right = bitmaps.select("doc_id", "text_key", "keep")
+    return left.join(right, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left").select("row", "keep")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_chars: int = 10) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text`` and ``n_chars`` counted anew; all rows stay."""
+    """``docs`` with the dropped lines gone from ``text`` and ``n_chars`` (if there) counted anew for these; all rows stay."""
     both = with_bitmaps(docs, scratch.table(keep_bitmaps(docs, scratch, min_chars), "bitmaps"))
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            kept = [None if keep is None else b"\n".join(kept_lines(body, keep)[0]).decode("utf-8", "replace")
-                    for body, keep in zip(batch.column("body").to_pylist(), batch.column("keep").to_pylist())]
-            rest = [c for c in batch.schema.names if c not in ("body", "keep", "n_dropped")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(kept, pa.string())], [*rest, "_kept"])
-
-    lean = both.drop("body", "keep", "n_dropped").schema.add("_kept", "string")
-    out = both.mapInArrow(cut, lean)
-    text = F.coalesce(F.col("_kept"), F.col("text"))
-    return out.select(*[F.length(text).cast(out.schema[c].dataType).alias(c) if c == "n_chars" else text.alias(c) if c == "text"
-                        else F.col(c) for c in docs.columns])
+        for batch in batches:
+            row = dict(zip(names, batch.column("row").flatten()))
+            for part in slices(iter([pa.RecordBatch.from_arrays([*row.values(), batch.column("keep")], [*names, "keep "])]), "text"):
+                columns = dict(zip(names, part.columns))
+                keep = part.column(len(names)).to_pylist()
+                text = [t if k is None else b"\n".join(kept_lines(t.encode(), k)[0]).decode() for t, k in zip(columns["text"].to_pylist(), keep)]
+                if "n_chars" in columns:
+                    count = [n if k is None else len(t) for n, t, k in zip(columns["n_chars"].to_pylist(), text, keep)]
+                    columns["n_chars"] = pa.array(count, columns["n_chars"].type)
+                columns["text"] = pa.array(text, columns["text"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+    return both.mapInArrow(cut, docs.schema)

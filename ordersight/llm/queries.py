@@ -101,7 +101,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n in done], pa.int64()), pa.array([n - len(k) for k, n in done], pa.int64()),
                  pa.array([b"\n".join(k) for k, _ in done], pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
-    return (both.select(F.col("doc_id").cast("long").alias("doc_id"), "body", "keep")
+    return (both.select(F.col("row.doc_id").cast("long").alias("doc_id"),
+                        F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary").alias("body"), "keep")
                 .mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept binary")
                 .select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")))
 
