@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ordersight.functions.text import py_strip, upper_strip
-from ordersight.schema import (AMOUNT_TYPE, B2B_LABEL_TOKENS, B2B_TRUE_TOKENS,
-                               FULFILLED_STATUSES, FULFILLED_STATUSES_UPPER,
-                               FULFILLED_STEMS_REGEX, SHIPPED_ONLY)
+from ordersight.schema import (B2B_LABEL_TOKENS, B2B_TRUE_TOKENS, FULFILLED_STATUSES,
+                               FULFILLED_STATUSES_UPPER, FULFILLED_STEMS_REGEX,
+                               PARSED_AMOUNT_TYPE, SHIPPED_ONLY)
 
 POLICIES = ("exact", "regex", "upper_in", "shipped_only", "bi")
 
@@ -55,12 +55,22 @@ def b2b_label(col) -> Column:
 
 
 def coerce_amount(df, col: str = "amount") -> Column:
-    """Text or number -> decimal(12,2); unparsable -> null (never throws)."""
+    """Text or floating number -> decimal(38,6), a decimal column stays as it is;
+    unparsable -> null (never throws). Wide, so that an amount of 10^10 or of
+    0.004 survives the ``amount > 0`` filter; outputs round where they show it."""
     dtype = dict(df.dtypes)[col]
     c = F.col(col)
-    if dtype == "string":
-        return py_strip(c).try_cast(AMOUNT_TYPE)
-    return c.try_cast(AMOUNT_TYPE)
+    if dtype.startswith("decimal"):
+        return c
+    return (py_strip(c) if dtype == "string" else c).try_cast(PARSED_AMOUNT_TYPE)
+
+
+def unparsable_amounts(df, col: str = "amount"):
+    """One row: lines, and lines whose non-empty amount is not a number (these
+    become null and are dropped by the validity filter)."""
+    c = F.col(col).cast("string")
+    bad = c.isNotNull() & (py_strip(c) != "") & coerce_amount(df, col).isNull()
+    return df.agg(F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("unparsable_amounts"))
 
 
 def amount_valid(col) -> Column:

@@ -65,10 +65,11 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
     For dimensions too large for a single-partition window (e.g. customers):
     1. distinct values with their row counts (partial aggregation, so a value
        held by a large share of rows is combined map-side);
-    2. range-partition the distinct values in rank order; inside each
-       partition an exclusive running count gives the local offset;
-    3. per-partition totals (one row per partition) give each partition's
-       starting offset;
+    2. quantiles of the distinct values cut them into ``partitions`` ranges. The
+       boundaries are found once (a few numbers on the driver), so a value's
+       range is a fixed function of the value, however often the plan is run;
+       inside each range an exclusive running count gives the local offset;
+    3. per-range totals (at most one row per range) give each range's offset;
     4. min rank = 1 + rows with a better value; average rank adds
        (ties - 1) / 2; the rank joins back on the value (a hot value is a hot
        join key, which AQE's skew join splits).
@@ -80,15 +81,20 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
     c = F.col(col)
     order = c.asc() if ascending else c.desc()
     vals = df.filter(c.isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
-    ranged = vals.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-    w_local = (Window.partitionBy("_pid").orderBy(order)
+    marks = [k / n for k in range(1, n)]
+    cuts = vals.agg(F.percentile_approx(c, marks).alias("q")).first()["q"] if marks else None
+    bounds = F.array(*[F.lit(x).cast(df.schema[col].dataType) for x in sorted(set(cuts or []))])
+    place = F.size(F.filter(bounds, lambda b: b < c)) if cuts else F.lit(0)
+    ranged = vals.withColumn("_range", place if ascending else -place)
+    w_local = (Window.partitionBy("_range").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn("_before", F.coalesce(F.sum("_ties").over(w_local), F.lit(0)))
-    sizes = ranged.groupBy("_pid").agg(F.sum("_ties").alias("_size"))
+    sizes = ranged.groupBy("_range").agg(F.sum("_ties").alias("_size"))
     offsets = sizes.withColumn(
         "_offset", F.coalesce(F.sum("_size").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranks = local.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # at most one row per range
+    ranks = local.join(F.broadcast(offsets.select("_range", "_offset")), "_range")
     first = F.col("_offset") + F.col("_before") + F.lit(1)
     if method == "average":
         rank = first.cast("double") + (F.col("_ties").cast("double") - F.lit(1.0)) / F.lit(2.0)

@@ -37,12 +37,11 @@ def audit_status_counts(df: DataFrame) -> DataFrame:
 
 
 def audit_state_case(df: DataFrame) -> DataFrame:
-    """Raw state counts HAVING COUNT(DISTINCT UPPER(state)) >= 1: keeps every
-    non-null spelling; ordered by the upper-cased spelling."""
-    return (df.groupBy("ship_state")
-              .agg(F.count(F.lit(1)).alias("cnt"),
-                   F.count_distinct(F.upper("ship_state")).alias("_n"))
-              .filter(F.col("_n") >= 1).drop("_n")
+    """Raw state counts HAVING COUNT(DISTINCT UPPER(state)) >= 1, which keeps every
+    non-null spelling, so nulls are filtered first; ordered by the upper-cased
+    spelling."""
+    return (df.filter(F.col("ship_state").isNotNull())
+              .groupBy("ship_state").agg(F.count(F.lit(1)).alias("cnt"))
               .orderBy(F.upper("ship_state"), "ship_state"))
 
 
@@ -60,16 +59,22 @@ def distinct_status(df: DataFrame) -> DataFrame:
 def audit_final(df: DataFrame, variant: str = "v2") -> DataFrame:
     """Final audit after the SQL cleaning (flags present). v1 sums CASE WHEN
     without ELSE, so a count with no matching row is NULL; v2 gives 0."""
-    def cnt(cond):
-        s = F.sum(F.when(cond, F.lit(1)))
+    # one additive aggregate by (state, category); the distinct counts are taken over its rows
+    part = lambda cond: F.sum(F.when(cond, F.lit(1)))
+    per = df.groupBy("ship_state", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_fulfilled").alias("f"), part(F.col("amount_valid") == 0).alias("bad"),
+        part(F.col("b2b_flag") == "B2B").alias("b2b"), part(F.col("b2b_flag") == "B2C").alias("b2c"))
+
+    def cnt(name):
+        s = F.sum(name)
         return s if variant == "v1" else F.coalesce(s, F.lit(0)).cast("bigint")
-    return df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
         F.count_distinct("ship_state").alias("distinct_states"),
-        cnt(F.col("amount_valid") == 0).cast("bigint").alias("invalid_amount_rows"),
-        F.sum("is_fulfilled").cast("bigint").alias("fulfilled_orders"),
-        round_pct2(F.sum("is_fulfilled"), F.count(F.lit(1))).alias("overall_fulfillment_rate_pct"),
+        cnt("bad").cast("bigint").alias("invalid_amount_rows"),
+        F.sum("f").cast("bigint").alias("fulfilled_orders"),
+        round_pct2(F.sum("f"), F.sum("n")).alias("overall_fulfillment_rate_pct"),
         F.count_distinct("category").alias("distinct_categories"),
-        cnt(F.col("b2b_flag") == "B2B").cast("bigint").alias("b2b_orders"),
-        cnt(F.col("b2b_flag") == "B2C").cast("bigint").alias("b2c_orders"),
+        cnt("b2b").cast("bigint").alias("b2b_orders"),
+        cnt("b2c").cast("bigint").alias("b2c_orders"),
     )

@@ -59,8 +59,8 @@ def chk_category(cats: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame
 
 def chk_weak_market(states: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
     """State revenue < 0.3 x mean state revenue -> medium."""
-    rows = (states.withColumn("_avg", K.exact_mean_over("revenue"))
-                  .filter(F.col("revenue") < F.col("_avg") * cfg.market_ratio))
+    mean = states.agg(K.exact_mean("revenue")).scalar()  # one row; the states stay distributed
+    rows = states.filter(F.col("revenue") < mean * cfg.market_ratio)
     return _finding(rows, 2, "weak_market", "medium",
                     fill(MESSAGES["weak_market"], state=F.col("ship_state"),
                          revenue=fixed("revenue", 0)),
@@ -122,9 +122,7 @@ def top_findings(findings: DataFrame, k: int = 5) -> DataFrame:
     is none, the first k findings of all."""
     order = [F.col("check_pos"), F.desc("value"), F.col("entity")]
     hi = F.col("severity").isin("high", "critical")
-    pos = F.row_number().over(Window.partitionBy(hi.alias("h")).orderBy(*order))
-    any_hi = F.max(hi.cast("int")).over(Window.partitionBy(F.lit(1)))
-    f = findings.withColumns({"_pos": pos, "_hi": hi, "_any": any_hi})
-    keep = ((F.col("_any") == 1) & F.col("_hi") & (F.col("_pos") <= k)) | (
-        (F.col("_any") == 0) & (F.col("_pos") <= k))
-    return f.filter(keep).drop("_pos", "_hi", "_any")
+    # ordered limits (k rows of each task meet) and a one-row aggregate, no window over all findings
+    any_hi = findings.agg(F.coalesce(F.max(hi.cast("int")), F.lit(0))).scalar()
+    top = findings.filter(hi).orderBy(*order).limit(k)
+    return top.unionByName(findings.orderBy(*order).limit(k).filter(any_hi == 0))

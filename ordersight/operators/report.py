@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordersight.functions.text import py_strip
 from ordersight.operators import insights as IN
 from ordersight.schema import INSIGHT, RATE_TARGET
 
@@ -39,12 +40,14 @@ def export_insights_json(insights: DataFrame) -> DataFrame:
     return insights.select(F.to_json(F.struct(*[f.name for f in INSIGHT.fields])).alias("record"))
 
 
-def table_counts(tables: dict) -> DataFrame:
-    """K6: row count of each named table, as one union of 1-row aggregates."""
+def table_counts(tables: dict, counted: dict | None = None) -> DataFrame:
+    """K6: row count of each named table, as one union of 1-row aggregates.
+    ``counted``: one-row frames (column ``lines``) of counts already known."""
     out = None
-    for name, t in tables.items():
-        c = t.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"),
-                                                               "row_count")
+    known = {name: t.select(F.col("lines").alias("row_count")) for name, t in (counted or {}).items()}
+    for name, t in {**known, **tables}.items():
+        c = t if name in known else t.agg(F.count(F.lit(1)).alias("row_count"))
+        c = c.select(F.lit(name).alias("table_name"), "row_count")
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -56,10 +59,10 @@ INSIGHT_DEFAULTS = {"title": "Insight", "detail": "", "impact": "Medium", "actio
 def strip_code_fence(col) -> F.Column:
     """Text between the first pair of ``` fences (leading 'json' dropped),
     stripped; text without a leading fence is only stripped."""
-    c = F.trim(col)
+    c = py_strip(col)
     inner = F.split(c, "```", -1).getItem(1)
     inner = F.when(inner.startswith("json"), F.substring(inner, 5, 1 << 30)).otherwise(inner)
-    return F.trim(F.when(c.startswith("```"), inner).otherwise(c))
+    return py_strip(F.when(c.startswith("```"), inner).otherwise(c))
 
 
 def parse_insight_json(texts: DataFrame, col: str = "text") -> DataFrame:

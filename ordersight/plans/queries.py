@@ -673,9 +673,19 @@ def _ins(body, skewed=False):
 
 
 def _insight_rule(name, df):
-    """One rule over the run's KPI tables (computed in one pass)."""
-    from ordersight.operators.bundle import kpi_bundle
-    return _insight_rule_from_bundle(name, kpi_bundle(df))
+    """One rule over the KPI table it needs; tables that a rule names twice are
+    written once. Only the leakage rule needs two tables, hence the bundle."""
+    from ordersight.operators.bundle import kpi_bundle, materialize
+    states = lambda: materialize(K.revenue_by_state(df), "states")
+    one = {"ins_concentration": lambda: IN.ins_concentration(states()),
+           "ins_mom_trend": lambda: IN.ins_mom_trend(K.monthly_trend(df)),
+           "ins_leakage": lambda: _insight_rule_from_bundle(name, kpi_bundle(df)),
+           "ins_expansion": lambda: IN.ins_expansion(materialize(MK.expansion_targets(df, 2), "targets")),
+           "ins_weak_category": lambda: IN.ins_weak_category(K.revenue_by_category(df)),
+           "ins_b2b": lambda: IN.ins_b2b(K.scalar_kpis(df)),
+           "ins_method_gap": lambda: IN.ins_method_gap(K.by_fulfillment_method(df)),
+           "ins_riskfree": lambda: IN.ins_riskfree(states())}
+    return one[name]()
 
 
 for _name, _body in INS_SQL.items():
@@ -750,14 +760,13 @@ RUN_CHECKS_SQL = " UNION ALL ".join(f"SELECT {CHK_COLS} FROM ({s})" for s in CHK
 
 
 def _check(name, df):
-    """One check over the run's KPI tables (computed in one pass)."""
-    from ordersight.operators.bundle import kpi_bundle
-    b = kpi_bundle(df)
-    parts = {"chk_category": lambda: CK.chk_category(b.categories),
-             "chk_weak_market": lambda: CK.chk_weak_market(b.states),
-             "chk_mom_drop": lambda: CK.chk_mom_drop(b.months),
-             "chk_low_rate": lambda: CK.chk_low_rate(b.scalars),
-             "chk_expansion": lambda: CK.chk_expansion(b.targets)}
+    """One check over the KPI table it needs (written once if read twice)."""
+    from ordersight.operators.bundle import materialize
+    parts = {"chk_category": lambda: CK.chk_category(K.revenue_by_category(df)),
+             "chk_weak_market": lambda: CK.chk_weak_market(materialize(K.revenue_by_state(df), "states")),
+             "chk_mom_drop": lambda: CK.chk_mom_drop(K.monthly_trend(df)),
+             "chk_low_rate": lambda: CK.chk_low_rate(K.scalar_kpis(df)),
+             "chk_expansion": lambda: CK.chk_expansion(MK.expansion_targets(df, 2))}
     return parts[name]()
 
 
@@ -801,7 +810,8 @@ WHERE (any_hi = 1 AND severity IN ('high', 'critical') AND pos <= 5) OR (any_hi
 @register("top_findings", _top_findings_sql())
 def q_top_findings(spark, sf):
     """First five high/critical findings (all findings when none is)."""
-    return CK.top_findings(CK.run_checks(valid(spark, sf)))
+    from ordersight.operators.bundle import materialize
+    return CK.top_findings(materialize(CK.run_checks(valid(spark, sf)), "findings"))
 
 
 # =============================================================================
@@ -909,9 +919,9 @@ def q_b2b_label(spark, sf):
 
 
 @register("coerce_amount", _s(
-    f"SELECT order_id, amount_text, TRY_CAST({SS('amount_text')} AS DECIMAL(12,2)) AS amount FROM ({RAWX}) r"))
+    f"SELECT order_id, amount_text, TRY_CAST({SS('amount_text')} AS DECIMAL(38,6)) AS amount FROM ({RAWX}) r"))
 def q_coerce_amount(spark, sf):
-    """Amount text -> decimal(12,2), bad -> null."""
+    """Amount text -> decimal(38,6), bad -> null."""
     r = raw_canonical(spark, sf)
     return r.select("order_id", F.col("amount").alias("amount_text"),
                     FL.coerce_amount(r, "amount").alias("amount"))
@@ -1190,9 +1200,10 @@ def q_table_counts(spark, sf):
     v = valid(spark, sf)
     b = kpi_bundle(v)
     return RP.table_counts({
-        "cleaned_orders": v, "revenue_by_state": b.states,
+        "revenue_by_state": b.states,
         "revenue_by_category": b.categories, "monthly_trend": b.months,
-        "insights": IN.generate_insights(v, bundle=b), "findings": CK.run_checks(v, bundle=b)})
+        "insights": IN.generate_insights(v, bundle=b), "findings": CK.run_checks(v, bundle=b)},
+        counted={"cleaned_orders": b.totals})
 
 
 @register("parse_insight_json", _ins(
@@ -1220,11 +1231,11 @@ _CSV_DIRS: dict = {}
 
 
 def csv_export_dir(spark, sf):
-    """The raw export of ``sf`` written once per session as CSV (two files)."""
-    key = (id(spark), sf)
+    """The raw export of ``sf`` written once per application as CSV."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _CSV_DIRS:
         path = scratch_path(spark, f"csv-export-{_uuid.uuid4().hex[:8]}")
-        FS.write_csv_export(raw_export_view(spark, sf), path, files=2)
+        FS.write_csv_export(raw_export_view(spark, sf), path)
         _CSV_DIRS[key] = path
     return _CSV_DIRS[key]
 
@@ -1291,12 +1302,9 @@ def q_trim_headers(spark, sf):
     f"SELECT ship_state, {M('SUM(amount)')} AS revenue, "
     f"{P('SUM(amount)', '(SELECT SUM(amount) FROM valid)')} AS revenue_share_pct FROM valid GROUP BY ship_state"))
 def q_share_scalar_subquery(spark, sf):
-    """Each state's revenue / an uncorrelated scalar subquery total x 100."""
-    v = valid(spark, sf)
-    total = v.agg(F.sum("amount")).scalar()
-    return (v.groupBy("ship_state").agg(F.sum("amount").alias("r"))
-             .select("ship_state", F.col("r").cast("decimal(38,2)").alias("revenue"),
-                     (F.col("r").cast("double") / total.cast("double") * 100).alias("revenue_share_pct")))
+    """Each state's revenue / the whole table's total x 100 (the total summed over the states: one scan)."""
+    per = valid(spark, sf).groupBy("ship_state").agg(F.sum("amount").alias("r"))
+    return K.share_of_total(per, "r").select("ship_state", F.col("r").cast("decimal(38,2)").alias("revenue"), "revenue_share_pct")
 
 
 @register("scalar_threshold_join", O.with_ctes(
@@ -1412,10 +1420,12 @@ CUST_CTES = (f"WITH cs AS ({O.customer_sales_sql()}),\n"
 @register("chk_weak_market_customers", CUST_CTES + CHK_SQL["chk_weak_market"])
 def q_chk_weak_market_customers(spark, sf):
     """C2 at customer grain (customer key as the market, discounted price as
-    the amount): many groups, uneven revenue; fully distributed (the mean is a
-    scalar subquery, no window)."""
+    the amount): many groups, uneven revenue. The grouped rows are written once;
+    the mean is a one-row subquery over them, no window over all customers."""
+    from ordersight.operators.bundle import materialize
     v = C.load_clean(customer_sales_view(spark, sf))
-    return CK.chk_weak_market(K.revenue_by_state(v))
+    per = v.groupBy("ship_state").agg(F.sum("amount").cast(K.MONEY).alias("revenue"))
+    return CK.chk_weak_market(materialize(per, "customer-revenue"))
 
 
 @register("rank_average_customers", CUST_CTES.replace("st AS (", "st0 AS (").rstrip("\n")

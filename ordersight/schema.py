@@ -132,7 +132,9 @@ RATE_TARGET = 85.0
 # Canonical schemas
 # --------------------------------------------------------------------------
 
-AMOUNT_TYPE = T.DecimalType(12, 2)
+AMOUNT_TYPE = T.DecimalType(12, 2)  # amounts as the source tables declare them
+# Amounts parsed from text: wide, so that neither large nor small amounts are lost.
+PARSED_AMOUNT_TYPE = T.DecimalType(38, 6)
 
 SALES = T.StructType([
     T.StructField("order_id", T.StringType()),
@@ -196,6 +198,10 @@ SALES_DDL_V2 = T.StructType([
     T.StructField("is_fulfilled", T.IntegerType()),
     T.StructField("amount_valid", T.IntegerType()),
 ])
+# Fixed value: column list of the positional load statement (19 columns).
+LOAD_COLUMNS = ("order_id", "order_date", "status", "fulfillment", "sales_channel", "ship_service",
+                "style", "sku", "category", "size", "asin", "courier_status", "quantity", "currency",
+                "amount", "ship_city", "ship_state", "is_b2b_raw", "fulfillment_type")
 SALES_DDL_V2_DEFAULTS = {"is_fulfilled": 0, "amount_valid": 1}
 
 # Raw export read as text (no inference pass): every column is a string.

@@ -44,8 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system path and is taken as
-    is. Only when it is unset (local tests) a private temporary folder is
-    created and registered.
+    is; without it a cluster session is refused, as executors can't see each
+    other's local folders. Only a local master (tests) gets a private temporary
+    folder.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             path = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # noqa: BLE001
             path = None
+    if not path and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="ordersight-ckpt-")
     if sc.getCheckpointDir() is None:

@@ -10,7 +10,6 @@ from ordersight.functions.text import WS_CHARS, py_strip
 from ordersight.operators import clean as C
 from ordersight.operators import kpis as K
 from ordersight.plans import sqlpack
-from ordersight.sources.star import spread
 
 
 def test_two_digit_year_pivot_and_strict_formats(spark):
@@ -59,16 +58,6 @@ def test_sql_round_half_up(spark):
     assert rate == pytest.approx(66.67)                  # 2/3 -> 66.666.. -> 66.67
 
 
-def test_spread_keeps_orders_together_and_splits_hot_orders(spark):
-    rows = [(o, ln) for o in range(1, 200) for ln in range(1, 5)] + [(0, ln) for ln in range(1, 1001)]
-    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").coalesce(1)
-    s = spread(df, "l_orderkey", "l_linenumber").withColumn("p", F.spark_partition_id())
-    per_order = {r.l_orderkey: r.n for r in
-                 s.groupBy("l_orderkey").agg(F.count_distinct("p").alias("n")).collect()}
-    assert all(n == 1 for o, n in per_order.items() if o != 0)
-    assert per_order[0] > 1
-
-
 @pytest.mark.parametrize("method", ["average", "min"])
 def test_distributed_rank_equals_window_rank(spark, method):
     import random
