@@ -1,10 +1,11 @@
-"""The KPI tables one analysis run needs, computed in one pass.
+"""The KPI tables one analysis run needs, computed together.
 
 Rules and checks compare groups with scalars of the same tables (means,
 medians, totals). Written as nested scalar subqueries over the fact table,
 every subquery would re-scan and re-aggregate the order lines. Instead all
-per-dimension tables (each bounded by a dimension's cardinality) come from ONE
-grouping-sets aggregate, written once to the shared checkpoint folder
+per-dimension tables (each bounded by a dimension's cardinality) come from one
+cube (additive measures in a grouping-sets aggregate, distinct orders from
+narrow rows clustered by order), written once to the shared checkpoint folder
 (``spark.checkpoint.dir``) together with the expansion targets; the rules then
 run over these small tables. Writing also cuts the lineage, so a lost
 executor does not force the fact-table aggregation to be recomputed.
@@ -41,48 +42,95 @@ class KpiBundle:
     months: DataFrame          # monthly_trend
     methods: DataFrame         # by_fulfillment_method
     totals: DataFrame          # one row of base measures over all lines (lines = row count)
+    fulfillment: DataFrame     # fulfillment_by_state
+    model: DataFrame           # expansion model
+    segments: DataFrame | None  # b2b_vs_b2c
+    channels: DataFrame | None  # by_channel
 
+    def record(self) -> dict[str, DataFrame]:
+        """The run's whole KPI record: the scalars and the nine tables."""
+        tables = {"scalar_kpis": self.scalars, "revenue_by_state": self.states, "revenue_by_category": self.categories,
+                  "monthly_trend": self.months, "fulfillment_by_state": self.fulfillment, "expansion_model": self.model,
+                  "expansion_targets": self.targets, "b2b_vs_b2c": self.segments, "by_channel": self.channels,
+                  "by_fulfillment_method": self.methods}
+        return {name: t for name, t in tables.items() if t is not None}
 
-DIMS = ["ship_state", "category", "year_month", "fulfillment"]
+
+DIMS = ["ship_state", "category", "year_month", "fulfillment", "sales_channel", "is_b2b"]
 BASES = ["revenue", "orders", "lines", "quantity", "fulfilled", "amount_n", "b2b_revenue"]
 
 
-def kpi_cube(valid: DataFrame) -> DataFrame:
-    """Every per-dimension base measure plus the grand total in ONE pass:
-    GROUPING SETS ((ship_state), (category), (year_month), (fulfillment), ()).
-    One scan of the order lines and one distinct-order shuffle replace five
-    separate aggregations; ``gid`` tells the sets apart (a NULL key inside a
-    set is a real group, e.g. undated lines)."""
-    aggs = [K.BASE[b]().alias(b) for b in BASES]
-    return (valid.groupingSets([[d] for d in DIMS] + [[]], *DIMS)
-                 .agg(*aggs, F.grouping_id().alias("gid")))
+def _dims(valid: DataFrame) -> list[str]:
+    return [d for d in DIMS if d in valid.columns]
+
 
+def order_counts(valid: DataFrame) -> DataFrame:
+    """Distinct orders per dimension value and in all: ``gid, key, orders``.
 
-def _gid(dim: str | None) -> int:
+    Distinct (order, dimension values) rows are made map-side first, so an order
+    that holds a large share of all lines shrinks before it is brought together;
+    these narrow rows are then clustered by order, where each order's (dimension,
+    value) pairs are counted without another shuffle of them. Lines without an
+    order id don't count (COUNT DISTINCT ignores nulls) and are left out first.
+    """
+    dims = _dims(valid)
+    rows = valid.filter(F.col("order_id").isNotNull()).select("order_id", *dims).distinct().repartition("order_id")
+    pairs = F.array(*[F.struct(F.lit(_gid(d, dims)).alias("gid"), F.col(d).cast("string").alias("key")) for d in dims],
+                    F.struct(F.lit(_gid(None, dims)).alias("gid"), F.lit(None).cast("string").alias("key")))
+    each = rows.select("order_id", F.explode(pairs).alias("p")).select("order_id", "p.gid", "p.key").distinct()
+    return each.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def kpi_cube(valid: DataFrame) -> DataFrame:
+    """Every per-dimension base measure plus the grand total: rows (gid, key, measures).
+
+    Additive measures come from one map-side combined GROUPING SETS aggregate
+    over all dimensions; distinct orders from ``order_counts``. ``gid`` tells
+    the sets apart (a NULL key inside a set is a real group, e.g. undated lines).
+    """
+    dims = _dims(valid)
+    sums = (valid.groupingSets([[d] for d in dims] + [[]], *dims)
+                 .agg(*[K.BASE[b]().alias(b) for b in BASES if b != "orders"], F.grouping_id().alias("gid")))
+    key = F.lit(None).cast("string")
+    for d in dims:
+        key = F.when(F.col("gid") == _gid(d, dims), F.col(d).cast("string")).otherwise(key)
+    sums = sums.select(F.col("gid").cast("int").alias("gid"), key.alias("key"), *[b for b in BASES if b != "orders"])
+    counts = order_counts(valid).select(F.col("gid").alias("_gid"), F.col("key").alias("_key"), "orders")
+    both = sums.join(counts, (F.col("gid") == F.col("_gid")) & F.col("key").eqNullSafe(F.col("_key")), "left")
+    return both.select("gid", "key", *[F.coalesce("orders", F.lit(0)).alias("orders") if b == "orders" else F.col(b) for b in BASES])
+
+
+def _gid(dim: str | None, dims: list[str]) -> int:
     """grouping_id bit pattern of a single-dimension set (1 = rolled up)."""
-    bits = [0 if d == dim else 1 for d in DIMS]
+    bits = [0 if d == dim else 1 for d in dims]
     return int("".join(map(str, bits)), 2)
 
 
-def _slice(cube: DataFrame, dim: str | None) -> DataFrame:
-    part = cube.filter(F.col("gid") == _gid(dim))
-    return part.select(*([dim] if dim else []), *BASES)
+def _slice(cube: DataFrame, dim: str | None, dims: list[str], types: dict[str, str]) -> DataFrame:
+    part = cube.filter(F.col("gid") == _gid(dim, dims))
+    return part.select(*([F.col("key").cast(types[dim]).alias(dim)] if dim else []), *BASES)
 
 
 def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiBundle:
-    """Compute the run's KPI tables from valid order lines in one pass."""
+    """Compute the run's KPI tables from valid order lines."""
     keep = (lambda df, name: materialize(df, name)) if persist else (lambda df, name: df)
     cube = keep(kpi_cube(valid), "kpi-cube")
-    state_agg = _slice(cube, "ship_state")
+    dims, types = _dims(valid), dict(valid.dtypes)
+    part = lambda dim: _slice(cube, dim, dims, types)
+    state_agg = part("ship_state")
     states = K.revenue_by_state(state_agg, aggregated=True)
     targets = keep(MK.expansion_targets(state_agg, pillars, aggregated=True), "targets")
     return KpiBundle(
-        scalars=K.scalar_kpis(_slice(cube, None), aggregated=True),
+        scalars=K.scalar_kpis(part(None), aggregated=True),
         states=states,
         state_agg=state_agg,
         targets=targets,
-        categories=K.revenue_by_category(_slice(cube, "category"), aggregated=True),
-        months=K.monthly_trend(_slice(cube, "year_month"), aggregated=True),
-        methods=K.by_fulfillment_method(_slice(cube, "fulfillment"), aggregated=True),
-        totals=_slice(cube, None),
+        categories=K.revenue_by_category(part("category"), aggregated=True),
+        months=K.monthly_trend(part("year_month"), aggregated=True),
+        methods=K.by_fulfillment_method(part("fulfillment"), aggregated=True),
+        totals=part(None),
+        fulfillment=K.fulfillment_by_state(state_agg, aggregated=True),
+        model=MK.expansion_model(state_agg, pillars, aggregated=True),
+        segments=K.b2b_vs_b2c(part("is_b2b"), aggregated=True) if "is_b2b" in dims else None,
+        channels=K.by_channel(part("sales_channel"), aggregated=True) if "sales_channel" in dims else None,
     )

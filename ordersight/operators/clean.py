@@ -67,7 +67,7 @@ def clean(df: DataFrame, *, fulfilled_policy: str = "exact",
     strip; order_date: typed or parsed text (unparsable -> null); year_month;
     is_fulfilled by ``fulfilled_policy``; is_b2b from the raw column when
     present (``b2b='raw'``) or constant 0 (``b2b='zero'``); amount coerced to
-    decimal(12,2) (unparsable -> null); amount_valid flag.
+    decimal(38,6) unless already decimal (unparsable -> null); amount_valid flag.
     """
     cols = set(df.columns)
     out = {}

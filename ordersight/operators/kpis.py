@@ -184,11 +184,11 @@ def monthly_trend(df: DataFrame, aggregated: bool = False) -> DataFrame:
              .orderBy("year_month"))
 
 
-def fulfillment_by_state(df: DataFrame) -> DataFrame:
+def fulfillment_by_state(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """A10: total_orders (distinct), fulfilled (lines), revenue,
     fulfillment_rate = fulfilled / distinct orders x 100 (may exceed 100),
     revenue_share_pct."""
-    a = aggregate(df, "ship_state", ["revenue", "orders", "fulfilled"])
+    a = df if aggregated else aggregate(df, "ship_state", ["revenue", "orders", "fulfilled"])
     a = share_of_total(a, "revenue", "revenue_share_pct")
     return a.select(
         "ship_state",
@@ -200,19 +200,19 @@ def fulfillment_by_state(df: DataFrame) -> DataFrame:
     )
 
 
-def b2b_vs_b2c(df: DataFrame) -> DataFrame:
+def b2b_vs_b2c(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """Segment (B2B/B2C), revenue, orders."""
-    a = aggregate(df, "is_b2b", ["revenue", "orders"])
+    a = df if aggregated else aggregate(df, "is_b2b", ["revenue", "orders"])
     return a.select(
         F.when(F.col("is_b2b") == 1, "B2B").when(F.col("is_b2b") == 0, "B2C")
          .otherwise(F.col("is_b2b").cast("string")).alias("segment"),
         money("revenue").alias("revenue"), F.col("orders"))
 
 
-def by_channel(df: DataFrame) -> DataFrame:
+def by_channel(df: DataFrame, aggregated: bool = False) -> DataFrame:
     """sales_channel, revenue, orders, avg_order_value; null keys dropped."""
     return (kpi_by(df.filter(F.col("sales_channel").isNotNull()), "sales_channel",
-                   ["revenue", "orders", "avg_order_value"])
+                   ["revenue", "orders", "avg_order_value"], aggregated)
             .orderBy(F.desc("revenue"), F.asc("sales_channel")))
 
 

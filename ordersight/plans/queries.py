@@ -1378,12 +1378,11 @@ def _job_id(sf):
 
 @register("sink_kpis", O.with_ctes(f"SELECT *, 'job-1' AS job_id FROM ({REV_BY_STATE_SQL}) s"))
 def q_sink_kpis(spark, sf):
-    """K2: KPI tables stored per job (dynamic partition overwrite), then the
-    job's revenue-by-state partition read back."""
-    v = valid(spark, sf)
+    """K2: the run's whole KPI record (scalars and nine tables, from one bundle)
+    stored per job, then the job's revenue-by-state partition read back."""
+    from ordersight.operators.bundle import kpi_bundle
     path = scratch_path(spark, f"kpis-{_uuid.uuid4().hex[:8]}")
-    SK.sink_kpis({"revenue_by_state": K.revenue_by_state(v),
-                  "monthly_trend": K.monthly_trend(v)}, path, _job_id(sf))
+    SK.sink_kpis(kpi_bundle(valid(spark, sf)).record(), path, _job_id(sf))
     return SK.read_job(spark, f"{path}/revenue_by_state", _job_id(sf))
 
 

@@ -165,3 +165,33 @@ def test_top_findings_and_weak_market_hold_no_one_task_window(spark, capsys):
     assert [r.entity for r in weak.collect()] == ["B"]
     weak.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_bundle_tables_equal_separate_aggregates(spark):
+    from ordersight.operators import kpis as K
+    from ordersight.operators import market as MK
+    from ordersight.operators.bundle import kpi_bundle
+    from ordersight.plans.queries import valid
+    v = valid(spark, "/root/testdata/sf0.001")
+    v = v.withColumn("order_id", F.when(F.col("order_id") != "1", F.col("order_id")))  # some lines without an order id
+    rows = lambda df: sorted(map(str, df.collect()))
+    record = kpi_bundle(v).record()
+    assert len(record) == 10
+    for name, want in {"scalar_kpis": K.scalar_kpis(v), "revenue_by_state": K.revenue_by_state(v), "revenue_by_category": K.revenue_by_category(v),
+                       "monthly_trend": K.monthly_trend(v), "fulfillment_by_state": K.fulfillment_by_state(v), "b2b_vs_b2c": K.b2b_vs_b2c(v),
+                       "expansion_model": MK.expansion_model(v, 2), "expansion_targets": MK.expansion_targets(v, 2),
+                       "by_channel": K.by_channel(v), "by_fulfillment_method": K.by_fulfillment_method(v)}.items():
+        assert rows(record[name]) == rows(want), name
+
+
+def test_one_run_from_mapped_file_to_sinks(spark, tmp_path):
+    from ordersight.plans.job import run_job
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Order No,When,State ,Order Status,Sale Amount\no1,04-30-22,goa,Shipped,100\no2,05-01-22,delhi,Cancelled,50\no3,05-02-22,goa,Shipped,0\n")
+    mapping = {"order_id": "Order No", "order_date": "When", "ship_state": "State", "status": "Order Status", "amount": "Sale Amount"}
+    for _ in range(2):  # a re-run replaces
+        paths = run_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), "j1", mapping)
+    got = {name: sinks.read_job(spark, p, "j1") for name, p in paths.items()}
+    assert got["summary"].first().total_rows == 2
+    assert {(r.ship_state, float(r.revenue)) for r in got["revenue_by_state"].collect()} == {("GOA", 100.0), ("DELHI", 50.0)}
+    assert got["scalar_kpis"].first().total_orders == 2 and got["findings"].count() >= 1
