@@ -48,9 +48,8 @@ def _finding(df, pos, type_, severity, message, entity=None, value=None, drop=No
 
 def chk_category(cats: DataFrame, cfg: CheckConfig = CheckConfig()) -> DataFrame:
     """Category revenue < 0.5 x mean category revenue -> high."""
-    avg = F.col("_avg")
-    rows = (cats.withColumn("_avg", K.exact_mean_over("revenue"))
-                .filter(F.col("revenue") < avg * cfg.category_ratio))
+    avg = cats.agg(K.exact_mean("revenue")).scalar()  # one row; the categories stay distributed
+    rows = cats.filter(F.col("revenue") < avg * cfg.category_ratio)
     return _finding(rows, 1, "underperforming_category", "high",
                     fill(MESSAGES["underperforming_category"], category=F.col("category"),
                          revenue=fixed("revenue", 0), avg=fixed(avg, 0)),

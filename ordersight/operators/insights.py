@@ -274,10 +274,9 @@ def ins_method_gap(methods: DataFrame, cfg: InsightConfig = InsightConfig()) ->
 def ins_riskfree(states: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFrame:
     """States with rate >= 95 and revenue <= the 10 % quantile -> one Low /
     Expansion row naming the first four."""
-    p10 = F.percentile(F.col("revenue").cast("double"), F.lit(cfg.riskfree_quantile)).over(K.all_rows())
-    perfect = (states.withColumn("_p10", p10)
-                     .filter((F.col("fulfillment_rate") >= cfg.riskfree_rate)
-                             & (F.col("revenue") <= F.col("_p10"))).drop("_p10"))
+    # a one-row subquery, so a large market dimension stays distributed
+    p10 = states.agg(F.percentile(F.col("revenue").cast("double"), F.lit(cfg.riskfree_quantile))).scalar()
+    perfect = states.filter((F.col("fulfillment_rate") >= cfg.riskfree_rate) & (F.col("revenue") <= p10))
     order = [F.desc("revenue"), F.asc("ship_state")]
     names = MK.name_list(perfect, "ship_state", order, cfg.riskfree_names).select("names").scalar()
     row = perfect.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).withColumn("names", names)

@@ -762,7 +762,7 @@ RUN_CHECKS_SQL = " UNION ALL ".join(f"SELECT {CHK_COLS} FROM ({s})" for s in CHK
 def _check(name, df):
     """One check over the KPI table it needs (written once if read twice)."""
     from ordersight.operators.bundle import materialize
-    parts = {"chk_category": lambda: CK.chk_category(K.revenue_by_category(df)),
+    parts = {"chk_category": lambda: CK.chk_category(materialize(K.revenue_by_category(df), "categories")),
              "chk_weak_market": lambda: CK.chk_weak_market(materialize(K.revenue_by_state(df), "states")),
              "chk_mom_drop": lambda: CK.chk_mom_drop(K.monthly_trend(df)),
              "chk_low_rate": lambda: CK.chk_low_rate(K.scalar_kpis(df)),
@@ -977,11 +977,15 @@ def q_default_missing_mapped(spark, sf):
     return C.default_missing_mapped(s)
 
 
-@register("synthetic_order_id")
+@register("synthetic_order_id", _s(
+    "SELECT ship_state, COUNT(*) AS lines, COUNT(*) AS distinct_ids, CAST(SUM(amount) AS DECIMAL(38,2)) AS amount "
+    "FROM sales GROUP BY ship_state"))
 def q_synthetic_order_id(spark, sf):
-    """Lines without an order id get a unique synthetic id (not dense)."""
-    s = sales(spark, sf).drop("order_id")
-    return C.synthetic_order_id(s).select("order_id", "ship_state", "amount")
+    """Lines without an order id get a unique synthetic id (not dense): per
+    state as many distinct ids as lines."""
+    s = C.synthetic_order_id(sales(spark, sf).drop("order_id"))
+    return s.groupBy("ship_state").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("order_id").alias("distinct_ids"),
+                                       F.sum("amount").cast("decimal(38,2)").alias("amount"))
 
 
 @register("null_amount_rows", _s("SELECT order_id, amount FROM sales WHERE amount IS NULL"))
@@ -1230,12 +1234,12 @@ from ordersight.streaming import watch as WT  # noqa: E402
 _CSV_DIRS: dict = {}
 
 
-def csv_export_dir(spark, sf):
-    """The raw export of ``sf`` written once per application as CSV."""
-    key = (spark.sparkContext.applicationId, sf)
+def csv_export_dir(spark, sf, files=None):
+    """The raw export of ``sf`` written once per application as CSV (``files``: in so many files)."""
+    key = (spark.sparkContext.applicationId, sf, files)
     if key not in _CSV_DIRS:
         path = scratch_path(spark, f"csv-export-{_uuid.uuid4().hex[:8]}")
-        FS.write_csv_export(raw_export_view(spark, sf), path)
+        FS.write_csv_export(raw_export_view(spark, sf), path, files)
         _CSV_DIRS[key] = path
     return _CSV_DIRS[key]
 
@@ -1266,15 +1270,15 @@ def q_scan_text_schema(spark, sf):
         "Order ID", "Status", "ship-state", "Qty", "Amount")
 
 
-@register("watch_csv_dir")
+@register("watch_csv_dir", O.with_ctes(REV_BY_STATE_SQL))
 def q_watch_csv_dir(spark, sf):
-    """ST1: the CSV files arrive in a watched folder; the streaming job
-    (availableNow) writes revenue by state per source file."""
+    """ST1: a CSV export arrives in a watched folder; the streaming job
+    (availableNow) writes revenue by state of that source file."""
     out = scratch_path(spark, f"watch-out-{_uuid.uuid4().hex[:8]}")
     ckpt = scratch_path(spark, f"watch-ckpt-{_uuid.uuid4().hex[:8]}")
-    q = WT.watch_csv_dir(spark, csv_export_dir(spark, sf), out, ckpt)
+    q = WT.watch_csv_dir(spark, csv_export_dir(spark, sf, files=1), out, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("batch_id", "source_file")
 
 
 @register("upsert_status", """SELECT user_id, event_type AS status, ts AS updated_at, event_id
@@ -1427,6 +1431,30 @@ def q_chk_weak_market_customers(spark, sf):
     return CK.chk_weak_market(materialize(per, "customer-revenue"))
 
 
+def _customer_states(spark, sf):
+    """Revenue and rate per customer key, written once."""
+    from ordersight.operators.bundle import materialize
+    v = C.load_clean(customer_sales_view(spark, sf))
+    return materialize(K.kpi_by(v, "ship_state", ["revenue", "orders", "fulfillment_rate"]), "customer-states")
+
+
+@register("ins_riskfree_customers", CUST_CTES.rstrip("\n") + f""",
+pf AS (SELECT * FROM st WHERE fulfillment_rate >= 40
+       AND revenue <= (SELECT quantile_cont(CAST(revenue AS DOUBLE), 0.1) FROM st))
+{INS_SQL["ins_riskfree"]}""")
+def q_ins_riskfree_customers(spark, sf):
+    """I8 at customer grain with a rate threshold of 40, where it fires."""
+    return IN.ins_riskfree(_customer_states(spark, sf), IN.InsightConfig(riskfree_rate=40.0))
+
+
+@register("chk_category_customers", CUST_CTES.rstrip("\n") + f""",
+ct AS (SELECT ship_state AS category, revenue FROM st)
+{CHK_SQL["chk_category"]}""")
+def q_chk_category_customers(spark, sf):
+    """C1 with the customer key as the category, where it fires."""
+    return CK.chk_category(_customer_states(spark, sf).withColumnRenamed("ship_state", "category"))
+
+
 @register("rank_average_customers", CUST_CTES.replace("st AS (", "st0 AS (").rstrip("\n")
           + f",\nst AS (SELECT ship_state, revenue FROM st0)\n"
           f"SELECT ship_state, revenue, {avg_rank_sql('revenue')} AS revenue_rank FROM st")

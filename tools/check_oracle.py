@@ -56,6 +56,7 @@ def main():
         from pyspark.sql import SparkSession
         spark = (SparkSession.builder.master("local[*]")
                  .config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false")
                  .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     else:
         spark = get_session("local[8]", shuffle_partitions=8)
