@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ordersight.plans.catalog import all_oracles, all_queries
 from ordersight.sources.star import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +42,9 @@ def test_entry(spark):
 def test_every_query_has_callable_and_most_have_oracle():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
+    q, o = all_queries(), all_oracles()  # the library's own; the text operators have their tests in tests/llm
     assert len(q) >= 120 and len(o) >= len(q) - 5
+    assert set(q) <= set(E.queries())
 
 
 @pytest.mark.parametrize("key", SAMPLE)
