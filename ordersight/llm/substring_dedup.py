@@ -11,10 +11,10 @@ one wherever the window stands; this keeps about a quarter of the positions and
 loses no window. Next level: windows whose short run is repeated. Levels above
 (``longest`` > ``window``) extend windows both halves of which are repeated.
 
-Each level writes its candidates (128-bit hash, document, position), takes
-each hash's smallest and largest document by a map-side combined aggregate, and
-joins that back (sort-merge, so adaptive execution can split a window that very
-many documents share). Positions return to their document as one packed list.
+Each level writes its candidates (hash of 64 bits for short runs, 96 for windows;
+document; position) and finds those in several documents in one range-partitioned,
+sorted pass (``occurrences``), which cuts a window that very many documents share
+into many partitions. Positions return to their document as one packed list.
 
 Removal is judged on the input: a word goes if a window that covers it also starts
 in a document with a smaller ``doc_id``.
@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ordersight.llm.common import Scratch, as_long, gram_hashes, keyed_text, slices, word_hashes
-
-CANDIDATES = "h1 long, h2 long, doc_id long, text_key long, at int"
+from ordersight.llm.occurrences import ROWS as CANDIDATES, repeated_rows
 
 
 def _window_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -88,7 +87,7 @@ def _batch(batch: pa.RecordBatch, block: Block, at: np.ndarray, h1: np.ndarray,
     doc = block.doc[at]
     take = pa.array(doc)
     return pa.RecordBatch.from_arrays(
-        [pa.array(as_long(h1)), pa.array(as_long(h2)), batch.column("doc_id").take(take), batch.column("text_key").take(take),
+        [pa.array(as_long(h1)), pa.array((h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(take), batch.column("text_key").take(take),
          pa.array((at - block.begins[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "text_key", "at"])
 
 
@@ -140,16 +139,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "text_key", "starts", "late"])
 
 
-def _repeated(candidates: DataFrame) -> DataFrame:
+def _repeated(candidates: DataFrame, scratch: Scratch, name: str, late_only: bool = False) -> DataFrame:
     """Per document the positions of its repeated windows (``starts``), and of those that a smaller ``doc_id`` holds too (``late``)."""
-    c = candidates
-    none = F.col("doc_id").isNull().cast("int")
-    held = (c.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-             .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(none).alias("none"))
-             .where("lo is not null and (lo < hi or none = 1)"))
-    rows = c.join(held, (c["h1"] == held["k1"]) & (c["h2"] == held["k2"]))
-    late = F.when(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("lo")), F.col("at"))
-    return (rows.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"), F.collect_set(late).alias("late"))
+    rows = repeated_rows(candidates, scratch, name, late_only)
+    return (rows.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("late"), F.col("at"))).alias("late"))
                 .mapInArrow(_pack, "doc_id long, text_key long, starts binary, late binary"))
 
 
@@ -160,23 +153,25 @@ def with_positions(docs: DataFrame, found: DataFrame) -> DataFrame:
     return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["text_key"] == right["_key"]), "left").drop("_id", "_key")
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, longest: int | None = None) -> dict[int, DataFrame]:
+def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, longest: int | None = None,
+                     late_only: bool = False) -> dict[int, DataFrame]:
     """Repeated windows by length: {length: (doc_id, text_key, starts, late)}.
 
     Lengths are ``window`` and, up to ``longest`` (None: until none survives), its
     doublings. A longer window's words are all covered by windows of ``window``
-    words, so removal needs no level above the first.
+    words, so removal needs no level above the first. ``late_only``: with
+    ``longest`` = ``window``, the last level's ``starts`` need not be whole.
     """
     level = scratch.table(keyed_text(docs).mapInArrow(_short_runs(window), CANDIDATES), "short")
-    found = scratch.table(_repeated(level), "found-short")
-    scratch.drop("short")
+    found = scratch.table(_repeated(level, scratch, "flags-short"), "found-short")
+    scratch.drop("short", "flags-short")
     out: dict[int, DataFrame] = {}
     length = window
     while True:
         able = with_positions(docs, found).where("starts is not null")
         level = scratch.table(able.mapInArrow(_windows(window, length), CANDIDATES), f"windows-{length}")
-        found = out[length] = scratch.table(_repeated(level), f"found-{length}")
-        scratch.drop(f"windows-{length}")
+        found = out[length] = scratch.table(_repeated(level, scratch, f"flags-{length}", late_only and length == longest), f"found-{length}")
+        scratch.drop(f"windows-{length}", f"flags-{length}")
         length *= 2
         if (longest is not None and length > longest) or found.isEmpty():
             return out
@@ -197,7 +192,7 @@ def kept_words(body: bytes, late: bytes | None, window: int) -> tuple[list[bytes
 
 def removal(docs: DataFrame, scratch: Scratch, window: int = 13) -> DataFrame:
     """Each row's ``doc_id``, ``n_words``, ``n_removed`` and the ``kept`` words joined by one space."""
-    found = repeated_windows(docs, scratch, window, longest=window)[window]
+    found = repeated_windows(docs, scratch, window, longest=window, late_only=True)[window]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

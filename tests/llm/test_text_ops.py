@@ -254,3 +254,26 @@ def test_pipeline_stages(spark, docs):
     for r in rows[:100]:
         assert r["ids"] == t.encode(before[r["doc_id"]], add_special_tokens=False).ids
     assert len(text) > len(rows) > 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_repeated_rows_over_partition_edges(spark, parts):
+    from ordersight.llm.occurrences import ROWS, repeated_rows
+    rng = random.Random(parts)
+    rows = [(rng.randrange(6), rng.randrange(2), rng.choice([None, *range(1, 40)]), 0, i) for i in range(500)]
+    rows += [(100, 0, d, 0, 1000 + d) for d in range(300)] + [(101, 0, 7, 0, 2000 + i) for i in range(200)] + [(102, 0, 7, 0, 9000), (103, 0, None, 0, 9001)]
+    key = lambda d: float("inf") if d is None else d
+    docs = {}
+    for h1, h2, d, _, _ in rows:
+        docs.setdefault((h1, h2), set()).add(key(d))
+    want = sorted((at, key(d) > min(docs[h1, h2])) for h1, h2, d, _, at in rows if len(docs[h1, h2]) > 1)
+    scratch = Scratch(spark, "t")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = repeated_rows(scratch.table(spark.createDataFrame(rows, ROWS), "r"), scratch, "f").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["at"], r["late"]) for r in got) == want
