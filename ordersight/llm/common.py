@@ -69,6 +69,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex[:12]}")
         path = self._path(self.root)
