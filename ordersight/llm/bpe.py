@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ordersight.llm.common import slices
+from ordersight.llm.common import ship, slices
 
 #: Fixed value: the word pattern of the public byte-level vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,7 +88,7 @@ class Vocabulary:
                 bound, left = of_left[0], of_left[2]
             else:  # of equal merges the left one is done first, so an equal rank across the border wins over the right token
                 bound, right = of_right[0] + 1, of_right[1]
-        if len(self.valid) > 2_000_000:
+        if len(self.valid) > 400_000:
             self.valid.clear()
         self.valid[a, b] = ok
         return ok
@@ -132,7 +132,7 @@ class TrieEncoder:
 class Codec:
     """Encodes and decodes texts; ids are handled as their decimal strings joined by commas."""
 
-    def __init__(self, vocabulary: Vocabulary, store_bytes: int = 48 << 20):
+    def __init__(self, vocabulary: Vocabulary, store_bytes: int = 40 << 20):
         self.v, self.trie, self.store_bytes = vocabulary, TrieEncoder(vocabulary), store_bytes
         self.find = regex.compile(WORD).findall
         self.token = {str(i): b for i, b in vocabulary.bytes.items()}
@@ -178,6 +178,12 @@ def vocabulary_text(path: str) -> str:
 _CODECS: dict[str, Codec] = {}  # of this Python worker, by digest of the vocabulary
 
 
+def _shared(df: DataFrame, path: str):
+    """The vocabulary for the tasks: read by the driver, a file of one or two megabytes."""
+    ship(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(vocabulary_text(path))
+
+
 def _codec(shared) -> Codec:
     text = shared.value
     name = hashlib.sha256(text.encode()).hexdigest()
@@ -189,7 +195,7 @@ def _codec(shared) -> Codec:
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: ids as decimals joined by commas, decoded from these ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary_path))
+    shared = _shared(docs, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -206,7 +212,7 @@ def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id`` and the ``ids`` (array of int) of each row's text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary_path))
+    shared = _shared(docs, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -223,7 +229,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id`` and the ``text`` of each row's ``ids`` (null: empty), special tokens included."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary_path))
+    shared = _shared(encoded, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
