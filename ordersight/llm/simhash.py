@@ -217,6 +217,7 @@ def near_links(prints: DataFrame, scratch: Scratch, distance: int = 4, bits: int
         found = scratch.table(few.repartition(n, "part").groupBy("part").applyInArrow(_meet(have, distance), "a long, b long"), f"links-{level}")
         out = found if out is None else out.unionByName(found)
         if have >= WIDTH or large.isEmpty():
+            scratch.drop(f"parts-{level}")
             return out
         rows = scratch.table(sent.join(large, F.col("part") == F.col("_part"), "left_semi"), f"large-{level}")
         more, level = min(8, WIDTH - have), level + 1
