@@ -119,6 +119,7 @@ def repeated_rows(rows: DataFrame, scratch: Scratch, name: str, late_only: bool
     ends = (flags.where(F.col("kind") == EDGE).groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
                  .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull().cast("int")).alias("none"))
                  .where("lo < hi or (lo is not null and none = 1)"))
-    unsure = (flags.where(F.col("kind") == UNSURE).join(ends, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    # at most four edge rows a partition, so ``ends`` is a bounded side; marked rows stay where they are
+    unsure = (flags.where(F.col("kind") == UNSURE).join(F.broadcast(ends), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
                    .select(*own, (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("lo"))).alias("late")))
     return sure.unionByName(unsure)
