@@ -1234,12 +1234,15 @@ from ordersight.streaming import watch as WT  # noqa: E402
 _CSV_DIRS: dict = {}
 
 
-def csv_export_dir(spark, sf, files=None):
-    """The raw export of ``sf`` written once per application as CSV (``files``: in so many files)."""
-    key = (spark.sparkContext.applicationId, sf, files)
+def csv_export_dir(spark, sf, by_order=False):
+    """The raw export of ``sf`` written once per application as CSV (``by_order``: a
+    file for each shuffle partition, every order's lines in one file)."""
+    key = (spark.sparkContext.applicationId, sf, by_order)
     if key not in _CSV_DIRS:
         path = scratch_path(spark, f"csv-export-{_uuid.uuid4().hex[:8]}")
-        FS.write_csv_export(raw_export_view(spark, sf), path, files)
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                    int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")))
+        FS.write_csv_export(raw_export_view(spark, sf), path, *((files, "Order ID") if by_order else ()))
         _CSV_DIRS[key] = path
     return _CSV_DIRS[key]
 
@@ -1272,13 +1275,14 @@ def q_scan_text_schema(spark, sf):
 
 @register("watch_csv_dir", O.with_ctes(REV_BY_STATE_SQL))
 def q_watch_csv_dir(spark, sf):
-    """ST1: a CSV export arrives in a watched folder; the streaming job
-    (availableNow) writes revenue by state of that source file."""
+    """ST1: a CSV export of many files arrives in a watched folder; the streaming
+    job (availableNow) writes revenue by state per source file; the result is the
+    files' tables put together."""
     out = scratch_path(spark, f"watch-out-{_uuid.uuid4().hex[:8]}")
     ckpt = scratch_path(spark, f"watch-ckpt-{_uuid.uuid4().hex[:8]}")
-    q = WT.watch_csv_dir(spark, csv_export_dir(spark, sf, files=1), out, ckpt)
+    q = WT.watch_csv_dir(spark, csv_export_dir(spark, sf, by_order=True), out, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch_id", "source_file")
+    return WT.over_files(spark.read.parquet(out))
 
 
 @register("upsert_status", """SELECT user_id, event_type AS status, ts AS updated_at, event_id

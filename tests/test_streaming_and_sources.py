@@ -89,3 +89,36 @@ def test_two_files_in_one_batch_stay_apart(spark, tmp_path):
         want = (K.revenue_by_state(batch).select("ship_state", "revenue", "orders", "revenue_share_pct")
                   .orderBy("ship_state").collect())
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_watched_export_is_many_files(spark, monkeypatch):
+    """The registered query's export: many files, no order in two of them, and each file's table equals plain Python's."""
+    from ordersight.functions.flags import fulfilled
+    from ordersight.plans import queries as Q
+    seen = []
+    watch = WT.watch_csv_dir
+    monkeypatch.setattr(Q.WT, "watch_csv_dir", lambda s, src, out, ckpt: seen.append((src, out)) or watch(s, src, out, ckpt))
+    total = {r.ship_state: r for r in Q.q_watch_csv_dir(spark, SF).collect()}
+    (src, out), = seen
+    raw = spark.read.option("header", True).option("escape", '"').csv(src).withColumn("file", F.col("_metadata.file_path"))
+    raw = C.rename_canonical(C.trim_headers(raw)).withColumn("ok", fulfilled(F.trim("status"))).collect()
+    assert len({r.file for r in raw}) > 1
+    assert len({(r.file, r.order_id) for r in raw}) == len({r.order_id for r in raw})
+    want = {}
+    for r in raw:
+        if r.amount and float(r.amount) > 0:
+            at = want.setdefault((r.file, r.ship_state.strip().upper()), [0, set(), 0, 0])
+            at[0] += round(float(r.amount) * 100)
+            at[1].add(r.order_id)
+            at[2] += r.ok
+            at[3] += 1
+    got = {(r.source_file, r.ship_state): r for r in spark.read.parquet(out).collect()}
+    assert set(got) == set(want)
+    for k, (cents, orders, ok, lines) in want.items():
+        r = got[k]
+        assert (round(r.revenue * 100), r.orders, r.fulfilled, r.lines) == (cents, len(orders), ok, lines)
+        file_cents = sum(w[0] for (f, _), w in want.items() if f == k[0])
+        assert abs(r.fulfillment_rate - ok / lines * 100) < 1e-9 and abs(r.revenue_share_pct - cents / file_cents * 100) < 1e-9
+    for state, r in total.items():
+        of = [w for (_, s), w in want.items() if s == state]
+        assert (round(r.revenue * 100), r.orders) == (sum(w[0] for w in of), sum(len(w[1]) for w in of))
