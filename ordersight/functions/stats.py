@@ -58,6 +58,31 @@ def lag_change_pct(col, order_col) -> Column:
     return (F.try_divide(_c(col).cast("double"), prev.cast("double")) - F.lit(1)) * F.lit(100)
 
 
+def _ranged_counts(df, col: str, ascending: bool, partitions: int | None):
+    """Steps 1 to 3 of ``distributed_rank``: the distinct values with their row counts
+    (``_ties``); the same with ``_range`` and the rows before a value within its range
+    (``_before``); a row per range with its rows (``_size``) and those before it
+    (``_offset``)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = F.col(col)
+    order = c.asc() if ascending else c.desc()
+    vals = df.filter(c.isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
+    marks = [k / n for k in range(1, n)]
+    cuts = vals.agg(F.percentile_approx(c, marks).alias("q")).first()["q"] if marks else None
+    bounds = F.array(*[F.lit(x).cast(df.schema[col].dataType) for x in sorted(set(cuts or []))])
+    place = F.size(F.filter(bounds, lambda b: b < c)) if cuts else F.lit(0)
+    ranged = vals.withColumn("_range", place if ascending else -place)
+    w_local = (Window.partitionBy("_range").orderBy(order)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.withColumn("_before", F.coalesce(F.sum("_ties").over(w_local), F.lit(0)))
+    sizes = ranged.groupBy("_range").agg(F.sum("_ties").alias("_size"))
+    offsets = sizes.withColumn(
+        "_offset", F.coalesce(F.sum("_size").over(
+            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return vals, local, offsets
+
+
 def distributed_rank(df, col: str, method: str = "average", ascending: bool = False,
                      out: str = "rank", partitions: int | None = None):
     """Global rank of ``col`` without gathering rows in one task.
@@ -76,23 +101,8 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
     Nulls: unranked with the average method (pandas); ranked last as one tie
     group with the min method (SQL RANK() ... NULLS LAST).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     c = F.col(col)
-    order = c.asc() if ascending else c.desc()
-    vals = df.filter(c.isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
-    marks = [k / n for k in range(1, n)]
-    cuts = vals.agg(F.percentile_approx(c, marks).alias("q")).first()["q"] if marks else None
-    bounds = F.array(*[F.lit(x).cast(df.schema[col].dataType) for x in sorted(set(cuts or []))])
-    place = F.size(F.filter(bounds, lambda b: b < c)) if cuts else F.lit(0)
-    ranged = vals.withColumn("_range", place if ascending else -place)
-    w_local = (Window.partitionBy("_range").orderBy(order)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = ranged.withColumn("_before", F.coalesce(F.sum("_ties").over(w_local), F.lit(0)))
-    sizes = ranged.groupBy("_range").agg(F.sum("_ties").alias("_size"))
-    offsets = sizes.withColumn(
-        "_offset", F.coalesce(F.sum("_size").over(
-            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    vals, local, offsets = _ranged_counts(df, col, ascending, partitions)
     # at most one row per range
     ranks = local.join(F.broadcast(offsets.select("_range", "_offset")), "_range")
     first = F.col("_offset") + F.col("_before") + F.lit(1)
@@ -109,3 +119,23 @@ def distributed_rank(df, col: str, method: str = "average", ascending: bool = Fa
         joined = joined.withColumn(out, F.when(c.isNull(), (non_null + F.lit(1)).cast("bigint"))
                                    .otherwise(F.col(out)))
     return joined
+
+
+def distributed_percentile(df, col: str, q: float, partitions: int | None = None) -> Column:
+    """``F.percentile`` of all rows (linear between the two order statistics around
+    (rows - 1) * q, nulls left out) as a one-row subquery, without a map of all
+    distinct values in one task: the values are counted by range as in
+    ``distributed_rank`` and only the one or two values that hold the order
+    statistics come together. Finding the ranges' cuts runs ``df`` once."""
+    d = df.select(F.col(col).cast("double").alias("_value"))
+    _, local, offsets = _ranged_counts(d, "_value", True, partitions)
+    # at most one row per range; with the rows of all ranges
+    offsets = offsets.withColumn("_at", (F.sum("_size").over(Window.partitionBy()) - 1) * F.lit(float(q)))
+    first = F.col("_offset") + F.col("_before")
+
+    def held(rank: Column) -> Column:
+        return (first <= rank) & (rank < first + F.col("_ties"))
+    two = (local.join(F.broadcast(offsets.select("_range", "_offset", "_at")), "_range")
+                .filter(held(F.floor("_at")) | held(F.ceil("_at"))))
+    low, high, at = F.min("_value"), F.max("_value"), F.max("_at")
+    return two.agg(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)).scalar()

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.render import fill, fixed, grouped0
@@ -271,11 +271,15 @@ def ins_method_gap(methods: DataFrame, cfg: InsightConfig = InsightConfig()) ->
 
 # ---- I8 ---------------------------------------------------------------------
 
-def ins_riskfree(states: DataFrame, cfg: InsightConfig = InsightConfig()) -> DataFrame:
+def ins_riskfree(states: DataFrame, cfg: InsightConfig = InsightConfig(), p10: Column | None = None) -> DataFrame:
     """States with rate >= 95 and revenue <= the 10 % quantile -> one Low /
-    Expansion row naming the first four."""
-    # a one-row subquery, so a large market dimension stays distributed
-    p10 = states.agg(F.percentile(F.col("revenue").cast("double"), F.lit(cfg.riskfree_quantile))).scalar()
+    Expansion row naming the first four.
+
+    ``p10``: the quantile, for a market dimension of any size
+    ``functions.stats.distributed_percentile``; by default ``F.percentile``, whose
+    final task holds every distinct revenue, as the states are few."""
+    if p10 is None:
+        p10 = states.agg(F.percentile(F.col("revenue").cast("double"), F.lit(cfg.riskfree_quantile))).scalar()
     perfect = states.filter((F.col("fulfillment_rate") >= cfg.riskfree_rate) & (F.col("revenue") <= p10))
     order = [F.desc("revenue"), F.asc("ship_state")]
     names = MK.name_list(perfect, "ship_state", order, cfg.riskfree_names).select("names").scalar()

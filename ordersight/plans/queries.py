@@ -1447,8 +1447,12 @@ pf AS (SELECT * FROM st WHERE fulfillment_rate >= 40
        AND revenue <= (SELECT quantile_cont(CAST(revenue AS DOUBLE), 0.1) FROM st))
 {INS_SQL["ins_riskfree"]}""")
 def q_ins_riskfree_customers(spark, sf):
-    """I8 at customer grain with a rate threshold of 40, where it fires."""
-    return IN.ins_riskfree(_customer_states(spark, sf), IN.InsightConfig(riskfree_rate=40.0))
+    """I8 at customer grain with a rate threshold of 40, where it fires; the
+    quantile is found by ranges of revenue."""
+    from ordersight.functions.stats import distributed_percentile
+    cfg = IN.InsightConfig(riskfree_rate=40.0)
+    states = _customer_states(spark, sf)
+    return IN.ins_riskfree(states, cfg, distributed_percentile(states, "revenue", cfg.riskfree_quantile))
 
 
 @register("chk_category_customers", CUST_CTES.rstrip("\n") + f""",

@@ -195,3 +195,20 @@ def test_one_run_from_mapped_file_to_sinks(spark, tmp_path):
     assert got["summary"].first().total_rows == 2
     assert {(r.ship_state, float(r.revenue)) for r in got["revenue_by_state"].collect()} == {("GOA", 100.0), ("DELHI", 50.0)}
     assert got["scalar_kpis"].first().total_orders == 2 and got["findings"].count() >= 1
+
+
+@pytest.mark.parametrize("rows", ["id", "id % 7", "if(id % 3 = 0, null, id * 0.37 - 900)", "if(id < 1900, 5, id)", "cast(null as long)"])
+def test_distributed_percentile_equals_percentile(spark, rows):
+    from ordersight.functions.stats import distributed_percentile
+    for n in (1, 2001):
+        df = spark.range(n).select(F.expr(rows).alias("v"))
+        for q in (0.0, 0.1, 0.999):
+            want = df.agg(F.percentile(F.col("v").cast("double"), F.lit(q))).first()[0]
+            assert spark.range(1).select(distributed_percentile(df, "v", q, partitions=4).alias("p")).first().p == want
+
+
+def test_customer_quantile_gathers_no_distinct_values(spark, capsys):
+    from ordersight.plans import queries as Q
+    Q.q_ins_riskfree_customers(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "percentile(" not in plan and "_before" in plan
