@@ -106,6 +106,19 @@ def test_pii_further_kinds(spark):
     assert got[1]["iban"][0]["score"] > got[6]["iban"][0]["score"]
 
 
+def test_account_numbers_with_text_behind(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"
+    want = {f"IBAN {de} Please pay": [de], f"IBAN {de} BIC: COBADEFF": [de], f"{gb} 2024": [gb], f"{de} {gb}": [de, gb], f"{de} 7 {fr} A {gb}": [de, fr, gb],
+            f"\U0001F600 é {de}, {gb}.": [de, gb], "DE89370400440532013000": ["DE89370400440532013000"], "DE89370400440532013000BIC": ["DE89370400440532013000"],
+            "DE88 3704 0044 0532 0130 00 Please": [], "xDE89370400440532013000": [], "MT84MALT011000012345MTLCAST001S X": ["MT84MALT011000012345MTLCAST001S"],
+            "AB12 " * 3000: [], "DE89" * 5000: [], f"AA11 {de} Z": [de]}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["iban"] for r in pii.find(df).collect()}
+    for i, (text, hits) in enumerate(want.items()):
+        assert [s["hit"] for s in got[i]] == hits, text[:80]
+        assert all(text[s["start"]:s["end"]] == s["hit"] for s in got[i])
+
+
 def test_secrets_whole_table(spark, texts):
     for r in queries.op8_secret_scan(spark, SF).collect():
         want, digest = brute.secrets(texts[r["doc_id"]])
