@@ -162,6 +162,38 @@ def test_winnowing_edits(spark, texts):
     assert sorted(r["near_next"] for r in long_)[len(long_) // 2] < 0.1
 
 
+def test_winnowing_short_and_unspaced_texts(spark, tmp_path):
+    rng = random.Random(5)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rand = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    words = lambda n, most: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, most))) for _ in range(n))
+    texts = [words(n, most) for n in (2, 3, 5, 8, 10, 11, 15, 25, 40) for most in (9, 16)] + [f(n) for n in (5, 9, 17, 33, 60, 400) for f in (han, rand)]
+    texts = [t for t in texts if len(t) >= 5]
+    rng.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = queries.op6_winnowing(spark, table(spark, tmp_path, rows)).collect()
+    assert {r["doc_id"] for r in got if r["near_edited"] > 0} == {d for d, _ in rows}
+    assert sum(r["near_next"] for r in got) / len(got) < 0.05
+
+
+def test_winnowing_quotations_at_any_offset(spark):
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+    rand = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows = []
+    for make in (han, thai, rand):
+        for shift in (1, 7, 15, 16):
+            quoted = make(60)
+            rows.append((make(400) + quoted + make(400), make(400 + shift) + quoted + make(500)))
+    quoted = han(15)  # a whole run in one text, within a longer run in the other
+    rows.append((quoted + " word" * 100, han(400) + quoted + han(9)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    sets = df.select(*[winnowing.hashes(winnowing.select(F.col(c), 4, 8, short=True)).alias(c) for c in "ab"])
+    shared = [r[0] for r in sets.select(winnowing.likeness(F.col("a"), F.col("b"))).collect()]
+    assert all(x > 0 for x in shared), shared
+
+
 def test_winnowing_is_by_definition(spark):
     rng = random.Random(3)
     k, w = 4, 8
