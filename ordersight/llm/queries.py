@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ordersight.llm import bpe, decontaminate, line_dedup, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
+from ordersight.llm import bpe, decontaminate, line_dedup, lm, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
 from ordersight.llm.columns import listed
 from ordersight.llm.common import Scratch, read_table, slices
 
@@ -112,8 +112,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores by deleted interpolation of every whole text, beside the add-0.1 unigram score."""
+    return lm.scores(read_table(spark, sf_dir, "documents"), Scratch(spark, "op12"), n=3)
+
+
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_simhash, op3_quality, op4_substring_dedup, op5_pii, op6_winnowing,
-                                   op7_decontaminate, op8_secret_scan, op9_line_dedup, op10_bpe)}
+                                   op7_decontaminate, op8_secret_scan, op9_line_dedup, op10_bpe,
+                                   op12_lm_scores)}
 
 # ---------------------------------------------------------------- DuckDB SQL
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
