@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ordersight.llm import bpe, decontaminate, line_dedup, lm, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
+from ordersight.llm import bpe, decontaminate, hard_negatives, line_dedup, lm, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
 from ordersight.llm.columns import listed
 from ordersight.llm.common import Scratch, read_table, slices
 
@@ -117,9 +117,16 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read_table(spark, sf_dir, "documents"), Scratch(spark, "op12"), n=3)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 5 negatives at 80 to 100 % of the score of each of an anchor's 5 positives; anchors: vec_id divisible by 100."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.quantised(vectors, label), F.col("id") % 100 == 0, Scratch(spark, "op13"), positives=5, k=5, low=80, high=100)
+
+
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_simhash, op3_quality, op4_substring_dedup, op5_pii, op6_winnowing,
                                    op7_decontaminate, op8_secret_scan, op9_line_dedup, op10_bpe,
-                                   op12_lm_scores)}
+                                   op12_lm_scores, op13_hard_negatives)}
 
 # ---------------------------------------------------------------- DuckDB SQL
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -163,4 +170,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM keep GROUP BY doc_id"""
 
-ORACLES = {"op4_substring_dedup": _OP4, "op7_decontaminate": _OP7, "op9_line_dedup": _OP9}
+_OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+      FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLES = {"op4_substring_dedup": _OP4, "op7_decontaminate": _OP7, "op9_line_dedup": _OP9,
+           "op13_hard_negatives": _OP13}
