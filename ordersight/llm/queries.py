@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ordersight.llm import bpe, decontaminate, hard_negatives, line_dedup, lm, pii, quality, secret_scan, sharding, simhash, substring_dedup, winnowing
+from ordersight.llm import bpe, decontaminate, hard_negatives, line_dedup, lm, pii, quality, ranked_search, secret_scan, sharding, simhash, substring_dedup, winnowing
 from ordersight.llm.columns import listed
 from ordersight.llm.common import Scratch, read_table, slices
 
@@ -112,6 +112,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Scratch(spark, "op11"), k=50)
+
+
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram scores by deleted interpolation of every whole text, beside the add-0.1 unigram score."""
     return lm.scores(read_table(spark, sf_dir, "documents"), Scratch(spark, "op12"), n=3)
@@ -126,7 +131,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_simhash, op3_quality, op4_substring_dedup, op5_pii, op6_winnowing,
                                    op7_decontaminate, op8_secret_scan, op9_line_dedup, op10_bpe,
-                                   op12_lm_scores, op13_hard_negatives)}
+                                   op11_ranked_search, op12_lm_scores, op13_hard_negatives)}
 
 # ---------------------------------------------------------------- DuckDB SQL
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -170,6 +175,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM keep GROUP BY doc_id"""
 
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+_OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d, unnest(t) AS u(term) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} AS t FROM benchmark), unnest(t) AS u(term)),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
+
 _OP13 = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
@@ -185,5 +204,5 @@ n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, scor
       WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
-ORACLES = {"op4_substring_dedup": _OP4, "op7_decontaminate": _OP7, "op9_line_dedup": _OP9,
+ORACLES = {"op4_substring_dedup": _OP4, "op7_decontaminate": _OP7, "op9_line_dedup": _OP9, "op11_ranked_search": _OP11,
            "op13_hard_negatives": _OP13}
