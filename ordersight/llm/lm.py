@@ -12,10 +12,10 @@ probability over the V + 1 tokens in every context.
 Counting is done by blocks of whole documents. A block's distinct j-grams, with their
 counts in kept and in deleted training documents, go to parts of the hash range in
 one packet a part; the part sums equal hashes and replies to each block for the grams
-that other blocks hold too. Orders are counted one after another: a j-gram can be in
-another block only if both (j-1)-grams in it are, so others are not sent, and their
-counts are the block's own. A frequent gram is one entry a block, so no part is hot.
-Each step's blocks are a table in the shared folder.
+that other blocks hold too. Orders 1 and 2 are counted together, higher ones one after
+another: a j-gram can be in another block only if both (j-1)-grams in it are, so others
+are not sent, and their counts are the block's own. A frequent gram is one entry a
+block, so no part is hot. Each step's blocks are a table in the shared folder.
 
 Grams are known by 64-bit hashes. Defined results: a null text is empty and is its end
 token only; a null ``doc_id`` counts as the empty text in ``crc32`` and so is held out;
@@ -31,16 +31,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ordersight.llm.common import Scratch, mix, partitions, ship, slices, word_hashes
+from ordersight.llm.common import Scratch, mix, partitions, ship, slices
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
-END, START = 0, 1  # a block's first two words
-BLOCK_BYTES = 8 << 20
+END, START = 11, 13  # hashes of the tokens that are no words
+BLOCK_BYTES = 4 << 20
 BODY = "block long, part int, body binary"
 STATS = ["tokens", "deleted_tokens", "docs", "deleted_docs"]
 
@@ -72,28 +74,33 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-# ---------------------------------------------------------------- blocks
-def words_of(body: bytes) -> list[bytes]:
-    return body.lower().split()
+def planes(x: np.ndarray) -> list[bytes]:
+    """Byte planes of 32-bit numbers; equal bytes side by side compress better."""
+    raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [raw[:, k].tobytes() for k in range(4)]
+
 
+def unplaned(x: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in x], axis=1)).view("<u4").ravel()
 
+
+# ---------------------------------------------------------------- blocks
 def make_block(ids: pa.Array, roles: np.ndarray, bodies: list[bytes], n: int) -> dict:
     """Token numbers of whole documents, each with n - 1 start tokens before it and an end token behind it."""
-    number: dict[bytes, int] = {}
-    parts, lengths = [], []
+    hashes, lengths = [], []
     for body in bodies:
-        words = words_of(body)
-        for w in dict.fromkeys(words):
-            if w not in number:
-                number[w] = len(number) + 2
-        t = np.empty(len(words) + n, np.int32)
-        t[:n - 1], t[-1] = START, END
-        t[n - 1:-1] = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-        parts.append(t)
-        lengths.append(len(t))
-    hashes = np.concatenate([np.array([11, 13], np.uint64), word_hashes(list(number))])
+        words = body.lower().split()
+        h = np.empty(len(words) + n, np.uint64)
+        h[:n - 1], h[-1] = START, END
+        h[n - 1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        hashes.append(h)
+        lengths.append(len(h))
+    tokens, distinct = pd.factorize(np.concatenate(hashes))
+    order = np.argsort(distinct)
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
     return {"ids": ids.to_pylist(), "roles": roles.astype(np.int8), "lengths": np.array(lengths, np.int64),
-            "tokens": narrow(np.concatenate(parts)), "hashes": hashes, "counts": []}
+            "tokens": planes(number[tokens]), "hashes": packed_hashes(distinct[order]), "counts": []}
 
 
 def _make_blocks(n: int):
@@ -116,49 +123,55 @@ class Grams:
     """Gram numbers of a block's tokens, order after order."""
 
     def __init__(self, block: dict, n: int):
-        self.block, self.n = block, n
-        self.tokens = block["tokens"].astype(np.int64)
+        self.block = block
+        self.words = unpacked_hashes(*block["hashes"])[unplaned(block["tokens"])]  # by token: the word's hash
         lengths = block["lengths"]
         begin = np.cumsum(lengths) - lengths
-        self.real = np.ones(len(self.tokens), bool)
+        self.real = np.ones(len(self.words), bool)
         for k in range(n - 1):
             self.real[begin + k] = False
-        self.role = np.repeat(block["roles"], lengths)
-        self.at = self.tokens  # number of the gram that ends at each token
-        self.size = len(block["hashes"])
-        self.hashes = block["hashes"]
-        self.before = None  # by gram: the gram without its last token
-        self.after = None  # by gram: the gram without its first token
+        self.role = np.repeat(block["roles"].astype(np.int64), lengths)
+        self.order, self.at = 0, np.zeros(len(self.words), np.int64)
+        self.run = np.zeros(len(self.words), np.uint64)  # by token: the hash of the gram that ends there
 
     def longer(self) -> None:
-        """Goes on to the next order."""
-        lead = np.concatenate([np.zeros(1, np.int64), self.at[:-1]])
-        keys, first, at = np.unique(lead * len(self.block["hashes"]) + self.tokens, return_index=True, return_inverse=True)
-        self.before, self.after = lead[first], self.at[first]
+        """Goes on to the next order: ``at`` has the number of the gram that ends at each token, ``hashes`` each gram's hash."""
+        self.order += 1
         with np.errstate(over="ignore"):
-            self.hashes = mix(self.hashes[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.block["hashes"][self.tokens[first]])
-        self.at, self.size = at, len(keys)
-
-    def own(self, role: int) -> np.ndarray:
-        """By gram: its tokens in documents of a role."""
-        return np.bincount(self.at[self.real & (self.role == role)], minlength=self.size)
-
-    def sent(self) -> np.ndarray:
-        """Grams that other blocks may hold, in order of their hashes."""
-        used = np.bincount(self.at[self.real], minlength=self.size) > 0
-        if self.before is not None:
-            shared = self.block["counts"][-1]["shared"]
+            self.run = mix(np.concatenate([self.run[:1], self.run[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + self.words + np.uint64(self.order)) if self.order > 1 else self.words
+        short, (self.at, self.hashes) = self.at, pd.factorize(self.run)
+        self.size = len(self.hashes)
+        # by gram: the grams of the order below without its last and without its first token, and its real tokens by role
+        self.before, self.after = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.before[self.at[1:]], self.after[self.at] = short[:-1], short
+        self.own = np.bincount((self.at * 3 + self.role)[self.real], minlength=self.size * 3).reshape(-1, 3)
+
+    def sent(self, shared: np.ndarray | None) -> np.ndarray:
+        """Grams that other blocks may hold. shared: those of the order below that they do hold."""
+        used = self.own.any(axis=1)
+        if shared is not None:
             used &= shared[self.before] & shared[self.after]
-        some = np.flatnonzero(used)
-        return some[np.argsort(self.hashes[some], kind="stable")]
+        return np.flatnonzero(used)
 
 
-def _order(block: dict, n: int) -> Grams:
-    """The grams of the next order to count."""
-    grams = Grams(block, n)
-    for _ in block["counts"]:
-        grams.longer()
-    return grams
+class Round:
+    """The orders of one round of counting, and their grams that are sent, in order of their hashes."""
+
+    def __init__(self, block: dict, n: int, orders: list[int]):
+        self.grams = Grams(block, n)
+        self.of: list[tuple[np.ndarray, np.ndarray]] = []  # by order: own counts, grams sent
+        hashes, own, first = [], [], []
+        for order in range(1, orders[-1] + 1):
+            self.grams.longer()
+            if order in orders:
+                some = self.grams.sent(block["counts"][-1]["shared"] if orders[0] > 1 else None)
+                self.of.append((self.grams.own, some))
+                hashes.append(self.grams.hashes[some])
+                own.append(self.grams.own[some])
+                first.append(np.full(len(some), order == 1))
+        self.hashes, self.own, self.first = np.concatenate(hashes), np.concatenate(own), np.concatenate(first)
+        self.order = np.argsort(self.hashes)
+        self.hashes, self.own, self.first = self.hashes[self.order], self.own[self.order], self.first[self.order]
 
 
 # ---------------------------------------------------------------- counting
@@ -176,20 +189,18 @@ def unpacked_hashes(width: int, body: bytes) -> np.ndarray:
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _packets(n: int, bits: int):
+def _packets(n: int, orders: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-                grams = _order(unpack(body), n)
-                some = grams.sent()
-                hashes, kept, deleted = grams.hashes[some], grams.own(KEPT)[some], grams.own(DELETED)[some]
-                edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for number, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                grams = Round(unpack(body.as_py()), n, orders)
+                edges = np.searchsorted(grams.hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 parts = [p for p in range(1 << bits) if edges[p + 1] > edges[p]]
                 out = []
                 for p in parts:
                     cut = slice(edges[p], edges[p + 1])
-                    out.append(pack({"hashes": packed_hashes(hashes[cut] - (np.uint64(p) << np.uint64(64 - bits))),
-                                     "kept": narrow(kept[cut]), "deleted": narrow(deleted[cut])}))
+                    out.append(pack({"hashes": packed_hashes(grams.hashes[cut] - (np.uint64(p) << np.uint64(64 - bits))), "first": np.packbits(grams.first[cut]),
+                                     "kept": narrow(grams.own[cut, KEPT]), "deleted": narrow(grams.own[cut, DELETED])}))
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(out, pa.binary())],
                                                  ["block", "part", "body"])
     return run
@@ -209,46 +220,59 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
 
 
 def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every packet of a part: which of its grams other blocks hold, and their sums; and the part's distinct trained grams."""
+    """For every packet of a part: which of its grams other blocks hold, and their sums; and the part's distinct trained words."""
     for rows in _runs(batches, "part"):
         packets = [unpack(r["body"]) for r in rows]
         hashes = [unpacked_hashes(*p["hashes"]) for p in packets]
-        _, at, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        sums = {k: np.bincount(at, np.concatenate([p[k] for p in packets]), minlength=len(times)).astype(np.int64) for k in ("kept", "deleted")}
+        first = np.concatenate([np.unpackbits(p["first"], count=len(h)) for p, h in zip(packets, hashes)])
+        at, distinct = pd.factorize(np.concatenate(hashes))
+        times = np.bincount(at)
+        sums = {k: np.bincount(at, np.concatenate([p[k] for p in packets])).astype(np.int64) for k in ("kept", "deleted")}
         out, place = [], 0
         for h in hashes:
             mine = at[place:place + len(h)]
             place += len(h)
             shared = times[mine] > 1
             out.append(pack({"shared": np.packbits(shared), "size": len(h), **{k: narrow(v[mine[shared]]) for k, v in sums.items()}}))
+        words = np.zeros(len(distinct), bool)
+        words[at[first == 1]] = True
         trained = np.zeros(len(rows), np.int64)
-        trained[0] = np.count_nonzero(sums["kept"] + sums["deleted"])
+        trained[0] = np.count_nonzero(words & (sums["kept"] + sums["deleted"] > 0))
         yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()),
                                           pa.array(out, pa.binary()), pa.array(trained)], ["block", "part", "body", "trained"])
 
 
-def _resolved(n: int):
-    """Blocks with the counts of one order more; a block comes before its replies, which come in order of their parts."""
+def _resolved(n: int, orders: list[int], totals: Totals):
+    """Blocks with the counts of a round's orders; a block comes before its replies, which come in order of their parts.
+
+    The last round also passes on the samples for the weights (``part`` -2).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "block"):
             block, replies = unpack(rows[0]["body"]), [unpack(r["body"]) for r in rows[1:]]
-            grams = _order(block, n)
-            some = grams.sent()
-            shared = np.bincount(grams.at[grams.real], minlength=grams.size) == 0  # start tokens
+            grams = Round(block, n, orders)
+            held, sums = np.zeros(len(grams.hashes), bool), grams.own.copy()
             if replies:
-                shared[some] = np.concatenate([np.unpackbits(r["shared"], count=r["size"]) for r in replies]).astype(bool)
-            counts = {}
-            for name, role in (("kept", KEPT), ("deleted", DELETED)):
-                counts[name] = grams.own(role)
-                if replies:
-                    counts[name][some[shared[some]]] = np.concatenate([r[name] for r in replies])
-            block["counts"].append({"shared": shared, **{k: narrow(v) for k, v in counts.items()}})
-            if len(block["counts"]) == n:
-                block["hashes"] = np.zeros(len(block["hashes"]), np.uint8)  # only their number is read from now on
+                held[grams.order] = by_hash = np.concatenate([np.unpackbits(r["shared"], count=r["size"]) for r in replies]).astype(bool)
+                for name, role in (("kept", KEPT), ("deleted", DELETED)):
+                    sums[by_hash, role] = np.concatenate([r[name] for r in replies])
+            place = 0
+            unsorted = np.empty_like(sums)
+            unsorted[grams.order] = sums
+            for own, some in grams.of:
+                shared = ~own.any(axis=1)  # start tokens
+                counts = own.copy()
+                shared[some], counts[some] = held[place:place + len(some)], unsorted[place:place + len(some)]
+                place += len(some)
+                block["counts"].append({"shared": shared, "kept": narrow(counts[:, KEPT]), "deleted": narrow(counts[:, DELETED])})
+            out = []
+            if orders[-1] == n:
                 for c in block["counts"]:
                     del c["shared"]
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["block"]], pa.int64()), pa.array([-1], pa.int32()), pa.array([pack(block)], pa.binary())],
-                                             ["block", "part", "body"])
+                out = [pack(x) for x in samples(block, n, totals)]
+            out = [pack(block), *out]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["block"]] * len(out), pa.int64()), pa.array([-1] + [-2] * (len(out) - 1), pa.int32()),
+                                              pa.array(out, pa.binary())], ["block", "part", "body"])
     return run
 
 
@@ -263,26 +287,29 @@ class Totals:
     types: int = 0
 
 
-def counted(docs: DataFrame, scratch: Scratch, n: int = 3) -> tuple[DataFrame, Totals]:
-    """Blocks of all documents with the counts of their grams of orders 1 to ``n``, and the totals."""
+def counted(docs: DataFrame, scratch: Scratch, n: int = 3) -> tuple[DataFrame, DataFrame, Totals]:
+    """Blocks of all documents with the counts of their grams of orders 1 to ``n``, samples for the weights, and the totals."""
     spark = docs.sparkSession
     body = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
     doc_id = docs["doc_id"].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), _role(doc_id).alias("role"), body.alias("body"))
     made = scratch.table(rows.mapInArrow(_make_blocks(n), BODY + "".join(f", {s} long" for s in STATS)), "blocks-0")
     totals = Totals(*[x or 0 for x in made.agg(*[F.sum(s) for s in STATS]).first()])
-    blocks = made.select("block", "part", "body")
-    for order in range(1, n + 1):
-        # packets of a part hold some 100,000 grams in the mean, at most
-        bits = max(4, (4 * partitions(spark)).bit_length(), (totals.tokens // 100_000).bit_length())
-        packets = blocks.mapInArrow(_packets(n, min(bits, 24)), BODY)
-        replies = scratch.table(packets.repartition("part").sortWithinPartitions("part").mapInArrow(_replies, BODY + ", trained long"), f"replies-{order}")
-        if order == 1:
+    blocks, before = made.select("block", "part", "body"), "blocks-0"
+    for orders in [list(range(1, min(n, 2) + 1)), *[[order] for order in range(3, n + 1)]]:
+        # a part's packets hold some millions of grams at most
+        bits = min(24, max(4, (2 * partitions(spark)).bit_length(), (totals.tokens // 2_000_000).bit_length()))
+        packets = blocks.mapInArrow(_packets(n, orders, bits), BODY)
+        name = f"replies-{orders[-1]}"
+        replies = scratch.table(packets.repartition("part").sortWithinPartitions("part").mapInArrow(_replies, BODY + ", trained long"), name)
+        if orders[0] == 1:
             totals.types = replies.agg(F.sum("trained")).first()[0] or 0
         both = blocks.unionByName(replies.drop("trained")).repartition("block").sortWithinPartitions("block", "part")
-        blocks = scratch.table(both.mapInArrow(_resolved(n), BODY), f"blocks-{order}")
-        scratch.drop(f"blocks-{order - 1}", f"replies-{order}")
-    return blocks, totals
+        found = scratch.table(both.mapInArrow(_resolved(n, orders, totals), BODY), f"blocks-{orders[-1]}")
+        blocks = found.where("part = -1")
+        scratch.drop(before, name)
+        before = f"blocks-{orders[-1]}"
+    return blocks, found.where("part = -2"), totals
 
 
 # ---------------------------------------------------------------- the model
@@ -295,13 +322,12 @@ def estimates(block: dict, n: int, totals: Totals, kept_only: bool) -> tuple[np.
     grams = Grams(block, n)
     docs = totals.docs - totals.deleted_docs if kept_only else totals.docs
     tokens = totals.tokens - totals.deleted_tokens if kept_only else totals.tokens
-    p = np.zeros((len(grams.tokens), n + 1))
-    bucket = np.zeros(len(grams.tokens), np.int64)
-    context = np.full(len(grams.tokens), tokens, np.int64)
+    p = np.zeros((len(grams.words), n + 1))
+    bucket = np.zeros(len(grams.words), np.int64)
+    context = np.full(len(grams.words), tokens, np.int64)
     once = None
     for order, c in enumerate(block["counts"], 1):
-        if order > 1:
-            grams.longer()
+        grams.longer()
         total = c["kept"].astype(np.int64) if kept_only else c["kept"].astype(np.int64) + c["deleted"]
         count = np.where(grams.real, total[grams.at], docs)
         once = count if once is None else once
@@ -313,20 +339,12 @@ def estimates(block: dict, n: int, totals: Totals, kept_only: bool) -> tuple[np.
     return p, bucket, once, grams.real
 
 
-def _samples(n: int, totals: Totals):
+def samples(block: dict, n: int, totals: Totals) -> Iterator[dict]:
     """Estimates from the kept counts for the tokens of deleted documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                block = unpack(body)
-                if not np.any(block["roles"] == DELETED):
-                    continue
-                p, bucket, _, real = estimates(block, n, totals, True)
-                some = real & (np.repeat(block["roles"], block["lengths"]) == DELETED)
-                for x in range(0, int(some.sum()), 1 << 17):
-                    at = np.flatnonzero(some)[x:x + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array([pack({"p": p[at, 1:].astype(np.float32), "bucket": bucket[at].astype(np.int16)})], pa.binary())], ["body"])
-    return run
+    if np.any(block["roles"] == DELETED):
+        p, bucket, _, real = estimates(block, n, totals, True)
+        some = np.flatnonzero(real & (np.repeat(block["roles"], block["lengths"]) == DELETED))
+        yield {"p": p[some, 1:].astype(np.float32), "bucket": bucket[some].astype(np.int16)}
 
 
 @dataclass
@@ -367,18 +385,17 @@ def _expected(weights: Weights, uniform: float):
     return run
 
 
-def learned(blocks: DataFrame, totals: Totals, scratch: Scratch, n: int = 3, rounds: int = 20, least_gain: float = 1e-5) -> Weights:
+def learned(samples: DataFrame, totals: Totals, n: int = 3, rounds: int = 12, least_gain: float = 1e-4) -> Weights:
     """Weights by expectation-maximisation; each round is one narrow pass and a sum per bucket.
 
     A bucket's weights start equal, and one token spread evenly over its orders is
     added to its expected tokens, so that no weight becomes zero. Ends when a token's
     mean log probability gains less than ``least_gain``.
     """
-    samples = scratch.table(blocks.mapInArrow(_samples(n, totals), "body binary"), "samples")
     weights, before = Weights.equal(n), -np.inf
     names = [f"s{k}" for k in range(n + 3)]
     for _ in range(rounds):
-        sums = samples.mapInArrow(_expected(weights, 1 / (totals.types + 1)), "bucket int, " + ", ".join(f"{s} double" for s in names))
+        sums = samples.select("body").mapInArrow(_expected(weights, 1 / (totals.types + 1)), "bucket int, " + ", ".join(f"{s} double" for s in names))
         rows = sums.groupBy("bucket").agg(*[F.sum(s).alias(s) for s in names]).collect()  # at most 64 * (n + 1) buckets
         now = sum(r[names[-1]] for r in rows) / max(1, sum(r[names[-2]] for r in rows))
         prior = Weights.equal(n).of
@@ -388,7 +405,6 @@ def learned(blocks: DataFrame, totals: Totals, scratch: Scratch, n: int = 3, rou
         if now - before < least_gain:
             break
         before = now
-    scratch.drop("samples")
     return weights
 
 
@@ -412,8 +428,8 @@ def block_scores(block: dict, n: int, totals: Totals, weights: Weights) -> pa.Re
 def scores(docs: DataFrame, scratch: Scratch, n: int = 3) -> DataFrame:
     """One row per document: tokens, known tokens, add-0.1 unigram score and the model's score, as log10 probabilities."""
     ship(docs.sparkSession)
-    blocks, totals = counted(docs, scratch, n)
-    weights = learned(blocks, totals, scratch, n)
+    blocks, samples, totals = counted(docs, scratch, n)
+    weights = learned(samples, totals, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
