@@ -26,6 +26,7 @@ from ordersight.session import checkpoint_dir
 
 #: Setting under which Spark removes the shuffle files of a query as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -80,21 +81,23 @@ class Scratch:
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     @contextlib.contextmanager
-    def _cleanup(self):
-        """Shuffle files of the write go as soon as the table is there."""
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+    def _set(self, settings: dict[str, str]):
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
+
+    def table(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """The rows, written and read again. Shuffle files of the write go as soon as the table is there. batch_rows: rows sent to Python at a time, for large rows."""
         path = f"{self.root}/{name}"
-        with self._cleanup():
+        with self._set({CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

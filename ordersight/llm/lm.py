@@ -42,7 +42,8 @@ from ordersight.llm.common import Scratch, mix, partitions, ship, slices
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 END, START = 11, 13  # hashes of the tokens that are no words
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 4  # rows of the size of a block sent to Python at a time
 BODY = "block long, part int, body binary"
 STATS = ["tokens", "deleted_tokens", "docs", "deleted_docs"]
 
@@ -75,13 +76,17 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> list[bytes]:
-    """Byte planes of 32-bit numbers; equal bytes side by side compress better."""
-    raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return [raw[:, k].tobytes() for k in range(4)]
+    """Byte planes of non-negative numbers, as many as the largest needs; equal bytes side by side compress better."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return [raw[:, k].tobytes() for k in range(width)]
 
 
 def unplaned(x: list[bytes]) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in x], axis=1)).view("<u4").ravel()
+    out = np.zeros((len(x[0]), 8), np.uint8)
+    for k, plane in enumerate(x):
+        out[:, k] = np.frombuffer(plane, np.uint8)
+    return out.view("<i8").ravel()
 
 
 # ---------------------------------------------------------------- blocks
@@ -146,6 +151,13 @@ class Grams:
         self.before[self.at[1:]], self.after[self.at] = short[:-1], short
         self.own = np.bincount((self.at * 3 + self.role)[self.real], minlength=self.size * 3).reshape(-1, 3)
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """By gram of the order: whether other blocks hold it (start tokens count as held), and its tokens by role in all blocks."""
+        c = self.block["counts"][self.order - 1]
+        shared, out = np.unpackbits(c["shared"], count=self.size).astype(bool), self.own.copy()
+        out[shared, KEPT], out[shared, DELETED] = unplaned(c["kept"]), unplaned(c["deleted"])
+        return shared | ~self.own.any(axis=1), out
+
     def sent(self, shared: np.ndarray | None) -> np.ndarray:
         """Grams that other blocks may hold. shared: those of the order below that they do hold."""
         used = self.own.any(axis=1)
@@ -160,11 +172,13 @@ class Round:
     def __init__(self, block: dict, n: int, orders: list[int]):
         self.grams = Grams(block, n)
         self.of: list[tuple[np.ndarray, np.ndarray]] = []  # by order: own counts, grams sent
-        hashes, own, first = [], [], []
+        hashes, own, first, shared = [], [], [], None
         for order in range(1, orders[-1] + 1):
             self.grams.longer()
+            if order == orders[0] - 1:
+                shared, _ = self.grams.counts()
             if order in orders:
-                some = self.grams.sent(block["counts"][-1]["shared"] if orders[0] > 1 else None)
+                some = self.grams.sent(shared)
                 self.of.append((self.grams.own, some))
                 hashes.append(self.grams.hashes[some])
                 own.append(self.grams.own[some])
@@ -233,7 +247,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = at[place:place + len(h)]
             place += len(h)
             shared = times[mine] > 1
-            out.append(pack({"shared": np.packbits(shared), "size": len(h), **{k: narrow(v[mine[shared]]) for k, v in sums.items()}}))
+            out.append(pack({"shared": np.packbits(shared), "size": len(h), **{k: planes(v[mine[shared]]) for k, v in sums.items()}}))
         words = np.zeros(len(distinct), bool)
         words[at[first == 1]] = True
         trained = np.zeros(len(rows), np.int64)
@@ -255,22 +269,17 @@ def _resolved(n: int, orders: list[int], totals: Totals):
             if replies:
                 held[grams.order] = by_hash = np.concatenate([np.unpackbits(r["shared"], count=r["size"]) for r in replies]).astype(bool)
                 for name, role in (("kept", KEPT), ("deleted", DELETED)):
-                    sums[by_hash, role] = np.concatenate([r[name] for r in replies])
+                    sums[by_hash, role] = np.concatenate([unplaned(r[name]) for r in replies])
             place = 0
             unsorted = np.empty_like(sums)
             unsorted[grams.order] = sums
             for own, some in grams.of:
-                shared = ~own.any(axis=1)  # start tokens
-                counts = own.copy()
-                shared[some], counts[some] = held[place:place + len(some)], unsorted[place:place + len(some)]
+                shared = np.zeros(len(own), bool)
+                shared[some] = held[place:place + len(some)]
+                mine = unsorted[place:place + len(some)][held[place:place + len(some)]]
                 place += len(some)
-                block["counts"].append({"shared": shared, "kept": narrow(counts[:, KEPT]), "deleted": narrow(counts[:, DELETED])})
-            out = []
-            if orders[-1] == n:
-                for c in block["counts"]:
-                    del c["shared"]
-                out = [pack(x) for x in samples(block, n, totals)]
-            out = [pack(block), *out]
+                block["counts"].append({"shared": np.packbits(shared), "kept": planes(mine[:, KEPT]), "deleted": planes(mine[:, DELETED])})
+            out = [pack(block), *([pack(x) for x in samples(block, n, totals)] if orders[-1] == n else [])]
             yield pa.RecordBatch.from_arrays([pa.array([rows[0]["block"]] * len(out), pa.int64()), pa.array([-1] + [-2] * (len(out) - 1), pa.int32()),
                                               pa.array(out, pa.binary())], ["block", "part", "body"])
     return run
@@ -301,11 +310,11 @@ def counted(docs: DataFrame, scratch: Scratch, n: int = 3) -> tuple[DataFrame, D
         bits = min(24, max(4, (2 * partitions(spark)).bit_length(), (totals.tokens // 2_000_000).bit_length()))
         packets = blocks.mapInArrow(_packets(n, orders, bits), BODY)
         name = f"replies-{orders[-1]}"
-        replies = scratch.table(packets.repartition("part").sortWithinPartitions("part").mapInArrow(_replies, BODY + ", trained long"), name)
+        replies = scratch.table(packets.repartition("part").sortWithinPartitions("part").mapInArrow(_replies, BODY + ", trained long"), name, BLOCK_ROWS)
         if orders[0] == 1:
             totals.types = replies.agg(F.sum("trained")).first()[0] or 0
         both = blocks.unionByName(replies.drop("trained")).repartition("block").sortWithinPartitions("block", "part")
-        found = scratch.table(both.mapInArrow(_resolved(n, orders, totals), BODY), f"blocks-{orders[-1]}")
+        found = scratch.table(both.mapInArrow(_resolved(n, orders, totals), BODY), f"blocks-{orders[-1]}", 32 * BLOCK_ROWS)
         blocks = found.where("part = -1")
         scratch.drop(before, name)
         before = f"blocks-{orders[-1]}"
@@ -326,9 +335,10 @@ def estimates(block: dict, n: int, totals: Totals, kept_only: bool) -> tuple[np.
     bucket = np.zeros(len(grams.words), np.int64)
     context = np.full(len(grams.words), tokens, np.int64)
     once = None
-    for order, c in enumerate(block["counts"], 1):
+    for order in range(1, n + 1):
         grams.longer()
-        total = c["kept"].astype(np.int64) if kept_only else c["kept"].astype(np.int64) + c["deleted"]
+        _, total = grams.counts()
+        total = total[:, KEPT] if kept_only else total[:, KEPT] + total[:, DELETED]
         count = np.where(grams.real, total[grams.at], docs)
         once = count if once is None else once
         seen = context > 0
