@@ -129,7 +129,8 @@ class Grams:
 
     def __init__(self, block: dict, n: int):
         self.block = block
-        self.words = unpacked_hashes(*block["hashes"])[unplaned(block["tokens"])]  # by token: the word's hash
+        self.numbers, self.hashes = unplaned(block["tokens"]), unpacked_hashes(*block["hashes"])
+        self.words = self.hashes[self.numbers]  # by token: the word's hash
         lengths = block["lengths"]
         begin = np.cumsum(lengths) - lengths
         self.real = np.ones(len(self.words), bool)
@@ -142,9 +143,13 @@ class Grams:
     def longer(self) -> None:
         """Goes on to the next order: ``at`` has the number of the gram that ends at each token, ``hashes`` each gram's hash."""
         self.order += 1
-        with np.errstate(over="ignore"):
-            self.run = mix(np.concatenate([self.run[:1], self.run[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + self.words + np.uint64(self.order)) if self.order > 1 else self.words
-        short, (self.at, self.hashes) = self.at, pd.factorize(self.run)
+        short = self.at
+        if self.order == 1:
+            self.run, self.at = self.words, self.numbers
+        else:
+            with np.errstate(over="ignore"):
+                self.run = mix(np.concatenate([self.run[:1], self.run[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + self.words + np.uint64(self.order))
+            self.at, self.hashes = pd.factorize(self.run)
         self.size = len(self.hashes)
         # by gram: the grams of the order below without its last and without its first token, and its real tokens by role
         self.before, self.after = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
@@ -171,12 +176,16 @@ class Round:
 
     def __init__(self, block: dict, n: int, orders: list[int]):
         self.grams = Grams(block, n)
-        self.of: list[tuple[np.ndarray, np.ndarray]] = []  # by order: own counts, grams sent
+        self.of: list[tuple[np.ndarray, np.ndarray]] = []  # by order of the round: own counts, grams sent
+        self.at: list[np.ndarray] = []  # by order: each token's gram
+        self.known: list[np.ndarray] = []  # by order of the rounds before: counts
         hashes, own, first, shared = [], [], [], None
         for order in range(1, orders[-1] + 1):
             self.grams.longer()
-            if order == orders[0] - 1:
-                shared, _ = self.grams.counts()
+            self.at.append(self.grams.at)
+            if order < orders[0]:
+                shared, counts = self.grams.counts()
+                self.known.append(counts)
             if order in orders:
                 some = self.grams.sent(shared)
                 self.of.append((self.grams.own, some))
@@ -274,17 +283,36 @@ def _resolved(n: int, orders: list[int], totals: Totals):
             unsorted = np.empty_like(sums)
             unsorted[grams.order] = sums
             for own, some in grams.of:
-                shared = np.zeros(len(own), bool)
-                shared[some] = held[place:place + len(some)]
-                mine = unsorted[place:place + len(some)][held[place:place + len(some)]]
-                place += len(some)
-                block["counts"].append({"shared": np.packbits(shared), "kept": planes(mine[:, KEPT]), "deleted": planes(mine[:, DELETED])})
-            out = [pack(block), *([pack(x) for x in samples(block, n, totals)] if orders[-1] == n else [])]
+                end = place + len(some)
+                if orders[-1] == n:
+                    whole = own.copy()
+                    whole[some] = unsorted[place:end]
+                    grams.known.append(whole)
+                else:
+                    shared = np.zeros(len(own), bool)
+                    shared[some] = held[place:end]
+                    mine = unsorted[place:end][held[place:end]]
+                    block["counts"].append({"shared": np.packbits(shared), "kept": planes(mine[:, KEPT]), "deleted": planes(mine[:, DELETED])})
+                place = end
+            out = [pack(block)] if orders[-1] < n else _counted_tokens(block, grams, totals)
             yield pa.RecordBatch.from_arrays([pa.array([rows[0]["block"]] * len(out), pa.int64()), pa.array([-1] + [-2] * (len(out) - 1), pa.int32()),
                                               pa.array(out, pa.binary())], ["block", "part", "body"])
     return run
 
 
+def _counted_tokens(block: dict, grams: Round, totals: Totals) -> list[bytes]:
+    """What scoring needs of a block: by order, the training counts of the gram that ends at each token; and its sample for the weights."""
+    by_token = {}
+    for name, roles in (("whole", [KEPT, DELETED]), ("kept", [KEPT])):
+        by_token[name] = [np.where(grams.grams.real, counts[:, roles].sum(axis=1)[at], -1) for counts, at in zip(grams.known, grams.at)]
+    done = {k: block[k] for k in ("ids", "roles", "lengths")} | {"counts": [planes(c + 1) for c in by_token["whole"]]}
+    some = np.flatnonzero(grams.grams.real & (grams.grams.role == DELETED))
+    if not len(some):
+        return [pack(done)]
+    p, bucket = estimates(by_token["kept"], totals, True)
+    return [pack(done), pack({"p": p[some, 1:].astype(np.float32), "bucket": bucket[some].astype(np.int16)})]
+
+
 @dataclass
 class Totals:
     """Of the training documents: tokens, those in deleted documents, documents, deleted ones, distinct tokens."""
@@ -297,7 +325,7 @@ class Totals:
 
 
 def counted(docs: DataFrame, scratch: Scratch, n: int = 3) -> tuple[DataFrame, DataFrame, Totals]:
-    """Blocks of all documents with the counts of their grams of orders 1 to ``n``, samples for the weights, and the totals."""
+    """Blocks of all documents with, by token, the counts of its grams of orders 1 to ``n``; samples for the weights; and the totals."""
     spark = docs.sparkSession
     body = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
     doc_id = docs["doc_id"].cast("long")
@@ -322,39 +350,25 @@ def counted(docs: DataFrame, scratch: Scratch, n: int = 3) -> tuple[DataFrame, D
 
 
 # ---------------------------------------------------------------- the model
-def estimates(block: dict, n: int, totals: Totals, kept_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Estimates of orders n to 1 and 0 for every token (one row each), its bucket, its count, and which tokens are no start tokens.
+def estimates(counts: list[np.ndarray], totals: Totals, kept_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of orders 0 to n for every token (one row each), and its bucket. counts: by order, of the gram that ends at a token; -1 at start tokens.
 
     A bucket is 64 * order + the power of two of the context's count, of the highest
     order whose context was seen; higher orders' estimates are 0.
     """
-    grams = Grams(block, n)
     docs = totals.docs - totals.deleted_docs if kept_only else totals.docs
     tokens = totals.tokens - totals.deleted_tokens if kept_only else totals.tokens
-    p = np.zeros((len(grams.words), n + 1))
-    bucket = np.zeros(len(grams.words), np.int64)
-    context = np.full(len(grams.words), tokens, np.int64)
-    once = None
-    for order in range(1, n + 1):
-        grams.longer()
-        _, total = grams.counts()
-        total = total[:, KEPT] if kept_only else total[:, KEPT] + total[:, DELETED]
-        count = np.where(grams.real, total[grams.at], docs)
-        once = count if once is None else once
+    p = np.zeros((len(counts[0]), len(counts) + 1))
+    p[:, 0] = 1 / (totals.types + 1)
+    bucket = np.zeros(len(p), np.int64)
+    context = np.full(len(p), tokens, np.int64)
+    for order, count in enumerate(counts, 1):
+        count = np.where(count < 0, docs, count)
         seen = context > 0
         p[seen, order] = count[seen] / context[seen]
         bucket[seen] = 64 * order + np.log2(context[seen]).astype(np.int64)
         context = np.concatenate([np.zeros(1, np.int64), count[:-1]])
-    p[:, 0] = 1 / (totals.types + 1)
-    return p, bucket, once, grams.real
-
-
-def samples(block: dict, n: int, totals: Totals) -> Iterator[dict]:
-    """Estimates from the kept counts for the tokens of deleted documents."""
-    if np.any(block["roles"] == DELETED):
-        p, bucket, _, real = estimates(block, n, totals, True)
-        some = np.flatnonzero(real & (np.repeat(block["roles"], block["lengths"]) == DELETED))
-        yield {"p": p[some, 1:].astype(np.float32), "bucket": bucket[some].astype(np.int16)}
+    return p, bucket
 
 
 @dataclass
@@ -423,11 +437,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def block_scores(block: dict, n: int, totals: Totals, weights: Weights) -> pa.RecordBatch:
-    p, bucket, count, real = estimates(block, n, totals, False)
+    counts = [unplaned(c) - 1 for c in block["counts"]]
+    p, bucket = estimates(counts, totals, False)
+    real = counts[0] >= 0
     lengths = block["lengths"] - (n - 1)
     begin = np.cumsum(lengths) - lengths
     whole = np.log10(weights.mixed(p[real], bucket[real]))
-    count = count[real]
+    count = counts[0][real]
     base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.types + 1)))
     return pa.RecordBatch.from_arrays(
         [pa.array(block["ids"], pa.int64()), pa.array(block["roles"] == HELD_OUT), pa.array(lengths), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)),
