@@ -58,8 +58,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winnowing fingerprints (4-token hashes, windows of 8) of every whole text and of its edited text, with likenesses."""
-    both = winnowing.edited_fingerprints(read_table(spark, sf_dir, "documents"), k=4, w=8)
+    """Winnowing fingerprints (hashes of 8 code points, windows of 8) of every whole text and of its edited text, with likenesses."""
+    both = winnowing.edited_fingerprints(read_table(spark, sf_dir, "documents"), k=8, w=8)
     sets = both.select("doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        "selected", "edited_selected", winnowing.hashes(F.col("selected")).alias("own"),
                        winnowing.hashes(F.col("edited_selected")).alias("after"), winnowing.hashes(F.col("next_selected")).alias("following"))

@@ -189,34 +189,103 @@ def test_winnowing_quotations_at_any_offset(spark):
     quoted = han(15)  # a whole run in one text, within a longer run in the other
     rows.append((quoted + " word" * 100, han(400) + quoted + han(9)))
     df = spark.createDataFrame(rows, "a string, b string")
-    sets = df.select(*[winnowing.hashes(winnowing.select(F.col(c), 4, 8, short=True)).alias(c) for c in "ab"])
+    sets = df.select(*[winnowing.hashes(winnowing.select(F.col(c), 8, 8)).alias(c) for c in "ab"])
     shared = [r[0] for r in sets.select(winnowing.likeness(F.col("a"), F.col("b"))).collect()]
     assert all(x > 0 for x in shared), shared
 
 
+def winnowed(text, hash_of, k=8, w=8, first=4):
+    """Selected (hash, position) pairs by definition; hash_of: 31-bit hash of a run."""
+    n = len(text)
+    runs = [(i, text[max(0, i - k + 1):i + 1]) for i in range(first - 1, n)] if n >= first else [(n - 1, text)][:n]
+    grams = [(hash_of[r], -i) for i, r in runs]
+    out = []
+    for i in range(len(grams)):
+        least = min(grams[max(0, i - w + 1):i + 1])
+        if least not in out:
+            out.append(least)
+    return [(h, -i) for h, i in out]
+
+
+def run_hashes(spark, texts, k=8, first=4):
+    runs = sorted({t[max(0, i - k + 1):i + 1] for t in texts for i in range(len(t))} | set(texts))
+    df = spark.createDataFrame([(r,) for r in runs], "r string")
+    return {x["r"]: x["h"] for x in df.select("r", F.shiftrightunsigned(F.xxhash64(F.encode("r", "UTF-32")), 33).alias("h")).collect()}
+
+
+def pairs(selected):
+    return [(v >> 32, 2**32 - 1 - (v & 2**32 - 1)) for v in selected]
+
+
+MIXED = "ab \u00e9\u4e2d\U0001F600"
+
+
 def test_winnowing_is_by_definition(spark):
     rng = random.Random(3)
-    k, w = 4, 8
-    rows = [(i, " ".join(rng.choice("abc") for _ in range(n))) for i, n in enumerate([0, 1, 3, 4, 5, 11, 12, 40, 200])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    toks = F.regexp_extract_all("text", F.lit(winnowing.TOKEN), F.lit(0))
-    grams = {}
-    for r in df.select("doc_id", F.transform(winnowing._grams(toks, k), lambda x: F.shiftrightunsigned(x, 33)).alias("g")).collect():
-        grams[r["doc_id"]] = [x for x in r["g"] if x is not None]
-    for r in df.select("doc_id", "text", winnowing.select(F.col("text"), k, w).alias("s")).collect():
-        h = grams[r["doc_id"]]
-        got = [(v >> 32, 2**32 - 1 - (v & 2**32 - 1)) for v in r["s"]]
-        if len(r["text"].split()) < k:
-            assert len(got) == (1 if r["text"] else 0)
-            continue
-        want = []
-        for i in range(max(1, len(h) - w + 1)):
-            window = h[i:i + w]
-            least = min(window)
-            at = i + max(j for j, x in enumerate(window) if x == least)
-            if (least, at) not in want:
-                want.append((least, at))
-        assert got == want
+    texts = ["".join(rng.choice(MIXED) for _ in range(n)) for n in [0, 1, 3, 4, 5, 7, 8, 9, 15, 16, 40, 200]]
+    hash_of = run_hashes(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("text", winnowing.select(F.col("text")).alias("s")).collect():
+        assert pairs(r["s"]) == winnowed(r["text"], hash_of)
+
+
+def test_edited_selection_equals_a_new_one(spark):
+    """For changes at any place, what is taken over and what is selected anew is the selection of the edited text."""
+    rng = random.Random(4)
+    rows = []
+    for n in (0, 1, 5, 9, 24, 25, 40, 90):
+        base = "".join(rng.choice(MIXED) for _ in range(n))
+        rows += [(base, base[:p] + "".join(rng.choice(MIXED) for _ in range(m)), p) for p in range(0, n + 1, 1 if n < 30 else 7) for m in (0, 1, 30)]
+    df = spark.createDataFrame(rows, "a string, b string, p int")
+    got = df.select(winnowing.select(F.col("b")).alias("want"), winnowing.edited_selection(winnowing.select(F.col("a")), F.col("b"), F.col("p")).alias("got"), "a", "b", "p")
+    for r in got.collect():
+        assert sorted(r["got"]) == sorted(r["want"]), r
+
+
+def test_winnowing_has_one_rule_for_all_lengths(spark):
+    """A text and the same text less its last character are alike at every length, less its first one where there is more than its start."""
+    rng = random.Random(8)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(500))
+    lengths = [*range(20, 120), *range(120, 420, 3), *range(420, 2000, 97)]
+    df = spark.createDataFrame([(n, prose[s:s + n]) for n in lengths for s in (0, 50)], "n int, t string")
+    sets = df.select("n", *[winnowing.hashes(winnowing.select(c)).alias(name) for name, c in (
+        ("whole", F.col("t")), ("less", F.col("t").substr(F.lit(1), F.length("t") - 1)), ("behind", F.col("t").substr(F.lit(2), F.length("t"))))])
+    for r in sets.select("n", winnowing.likeness(F.col("whole"), F.col("less")).alias("less"), winnowing.likeness(F.col("whole"), F.col("behind")).alias("behind")).collect():
+        assert r["less"] >= 0.8 and (r["behind"] >= 0.8 or r["n"] < 150 and r["behind"] > 0), r
+
+
+@pytest.mark.parametrize("rows", [ODD, [(None, f"text {i % 7} of a hot id") for i in range(60)] + [(3, f"other {i} {'x' * i}") for i in range(60)] + [(1, "end"), (9, "start")]])
+def test_winnowing_odd_rows(spark, tmp_path, rows):
+    """Fingerprints, edited texts and likenesses of odd rows, and of ids that many rows share, by definition."""
+    got = queries.op6_winnowing(spark, table(spark, tmp_path, rows, extra=True)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in got) == sorted((d or -1, len(t or "")) for d, t in rows)
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1]], x[1]), reverse=True)
+    want = []
+    chain = [(d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)]
+    after = {(t, n): t[:len(t) - len(t) // 3] + n[:len(t) // 3] for _, t, n in chain}
+    short = [x for x in {*[t for _, t, _ in chain], *after.values()} if len(x) < 5000]
+    hash_of = run_hashes(spark, short)
+
+    def likeness(a, b):
+        a, b = ({h for h, _ in winnowed(x, hash_of)} for x in (a, b))
+        return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+
+    def named(t):
+        return ",".join(f"{h:x}@{i}" for h, i in winnowed(t, hash_of)) if len(t) < 5000 else None
+    for d, t, n in chain:
+        e = after[t, n]
+        known = len(t) < 5000 and len(n) < 5000
+        want.append((d or -1, len(t), brute.sha(e), named(t), sorted(named(e).split(",")) if known else None, likeness(t, e) if known else None, likeness(t, n) if known else None))
+    bounded = lambda r: [r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]]
+    by_key = {}
+    for r in got:
+        by_key.setdefault(tuple(bounded(r)), []).append(r)
+    for d, n, digest, own, edit, near, following in want:
+        r = by_key[d, n, digest].pop()
+        if own is not None and edit is not None:
+            assert (r["fingerprint"], sorted(r["edited_fingerprint"].split(","))) == (own, edit)
+            assert abs(r["near_edited"] - near) < 1e-12 and abs(r["near_next"] - following) < 1e-12
 
 
 def test_native_plans_hold_no_python(spark, capsys):
