@@ -71,7 +71,7 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's five-word shingles."""
-    return decontaminate.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), n=5, least=0.8)
+    return decontaminate.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Scratch(spark, "op7"), n=5, least=0.8)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

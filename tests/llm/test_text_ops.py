@@ -161,17 +161,26 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {i: 0 for i in range(1, 101)} | {500 + i: 500 for i in range(1, 200)} | {9001: 9000}
 
 
-def test_items_in_many_blocks_give_the_same_pairs(spark, docs):
+def test_any_bit_map_gives_the_same_pairs(spark, docs):
     d = frame(spark, docs)
     items = read_table(spark, SF, "benchmark")
     one = decontaminate.contaminated_pairs(d, items).collect()
-    many = decontaminate.contaminated_pairs(d, items, block_bytes=1500).collect()
-    assert one and sorted(map(tuple, one)) == sorted(map(tuple, many))
+    full = decontaminate.contaminated_pairs(d, items, filter_bits=7).collect()  # 128 bits: lets nearly all shingles through
+    assert one and sorted(map(tuple, one)) == sorted(map(tuple, full))
     hit = {r["doc_id"] for r in one}
-    left = {r["doc_id"] for r in decontaminate.decontaminate(d, items, block_bytes=1500).collect()}
+    left = {r["doc_id"] for r in decontaminate.decontaminate(d, items, filter_bits=7).collect()}
     assert left == {x for x, _ in docs} - hit
 
 
+def test_a_benchmark_repeated_gives_each_row_its_pairs(spark, docs):
+    d = frame(spark, docs)
+    items = [(r["item_id"], r["text"]) for r in read_table(spark, SF, "benchmark").collect()]
+    one = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    many = spark.createDataFrame([(i + 1000 * k, t) for i, t in items for k in range(1000)], "item_id long, text string")
+    got = decontaminate.contaminated_pairs(d, many).select("doc_id", (F.col("item_id") % 1000).alias("item_id")).groupBy("doc_id", "item_id").count().collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == one and {r["count"] for r in got} == {1000}
+
+
 def test_containment_threshold_is_exact(spark):
     rng = random.Random(9)
     item = words(rng, 24, 10**6).split()  # 20 shingles
