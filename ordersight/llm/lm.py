@@ -42,7 +42,7 @@ from ordersight.llm.common import Scratch, mix, partitions, ship, slices
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 END, START = 11, 13  # hashes of the tokens that are no words
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 4  # rows of the size of a block sent to Python at a time
 BODY = "block long, part int, body binary"
 STATS = ["tokens", "deleted_tokens", "docs", "deleted_docs"]
@@ -78,7 +78,7 @@ def narrow(x: np.ndarray) -> np.ndarray:
 def planes(x: np.ndarray) -> list[bytes]:
     """Byte planes of non-negative numbers, as many as the largest needs; equal bytes side by side compress better."""
     width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
     return [raw[:, k].tobytes() for k in range(width)]
 
 
@@ -129,7 +129,7 @@ class Grams:
 
     def __init__(self, block: dict, n: int):
         self.block = block
-        self.numbers, self.hashes = unplaned(block["tokens"]), unpacked_hashes(*block["hashes"])
+        self.numbers, self.hashes = unplaned(block["tokens"]), unpacked_hashes(block["hashes"])
         self.words = self.hashes[self.numbers]  # by token: the word's hash
         lengths = block["lengths"]
         begin = np.cumsum(lengths) - lengths
@@ -198,18 +198,13 @@ class Round:
 
 
 # ---------------------------------------------------------------- counting
-def packed_hashes(hashes: np.ndarray) -> tuple[int, bytes]:
-    """Sorted hashes as differences of as few bytes as the largest needs."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    return width, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def packed_hashes(hashes: np.ndarray) -> list[bytes]:
+    """Byte planes of the steps between sorted hashes."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
-def unpacked_hashes(width: int, body: bytes) -> np.ndarray:
-    raw = np.frombuffer(body, np.uint8).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+def unpacked_hashes(x: list[bytes]) -> np.ndarray:
+    return np.cumsum(unplaned(x).view(np.uint64), dtype=np.uint64)
 
 
 def _packets(n: int, orders: list[int], bits: int):
@@ -246,7 +241,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every packet of a part: which of its grams other blocks hold, and their sums; and the part's distinct trained words."""
     for rows in _runs(batches, "part"):
         packets = [unpack(r["body"]) for r in rows]
-        hashes = [unpacked_hashes(*p["hashes"]) for p in packets]
+        hashes = [unpacked_hashes(p["hashes"]) for p in packets]
         first = np.concatenate([np.unpackbits(p["first"], count=len(h)) for p, h in zip(packets, hashes)])
         at, distinct = pd.factorize(np.concatenate(hashes))
         times = np.bincount(at)
