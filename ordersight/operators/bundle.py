@@ -67,34 +67,34 @@ def _dims(valid: DataFrame) -> list[str]:
 def order_counts(valid: DataFrame) -> DataFrame:
     """Distinct orders per dimension value and in all: ``gid, key, orders``.
 
-    Distinct (order, dimension values) rows are made map-side first, so an order
-    that holds a large share of all lines shrinks before it is brought together;
-    these narrow rows are then clustered by order, where each order's (dimension,
-    value) pairs are counted without another shuffle of them. Lines without an
-    order id don't count (COUNT DISTINCT ignores nulls) and are left out first.
+    Each line's (dimension, value, order) triples are made distinct map-side before
+    they are shuffled, once: on lines clustered by order a triple leaves one task
+    only, and an order that holds a large share of all lines shrinks to its distinct
+    values. Lines without an order id don't count (COUNT DISTINCT ignores nulls).
     """
     dims = _dims(valid)
-    rows = valid.filter(F.col("order_id").isNotNull()).select("order_id", *dims).distinct().repartition("order_id")
-    pairs = F.array(*[F.struct(F.lit(_gid(d, dims)).alias("gid"), F.col(d).cast("string").alias("key")) for d in dims],
-                    F.struct(F.lit(_gid(None, dims)).alias("gid"), F.lit(None).cast("string").alias("key")))
-    each = rows.select("order_id", F.explode(pairs).alias("p")).select("order_id", "p.gid", "p.key").distinct()
-    return each.groupBy("gid", "key").agg(F.count(F.lit(1)).alias("orders"))
+    triples = F.array(*[F.struct(F.lit(_gid(d, dims)).alias("gid"), F.col(d).cast("string").alias("key")) for d in dims],
+                      F.struct(F.lit(_gid(None, dims)).alias("gid"), F.lit(None).cast("string").alias("key")))
+    each = valid.filter(F.col("order_id").isNotNull()).select("order_id", F.explode(triples).alias("p"))
+    return each.select("order_id", "p.gid", "p.key").distinct().groupBy("gid", "key").agg(F.count(F.lit(1)).alias("orders"))
 
 
 def kpi_cube(valid: DataFrame) -> DataFrame:
     """Every per-dimension base measure plus the grand total: rows (gid, key, measures).
 
-    Additive measures come from one map-side combined GROUPING SETS aggregate
-    over all dimensions; distinct orders from ``order_counts``. ``gid`` tells
-    the sets apart (a NULL key inside a set is a real group, e.g. undated lines).
+    Additive measures are summed per combination of all dimensions (map-side
+    combined), and the GROUPING SETS run over that small result; distinct orders
+    come from ``order_counts``. ``gid`` tells the sets apart (a NULL key inside a
+    set is a real group, e.g. undated lines).
     """
     dims = _dims(valid)
-    sums = (valid.groupingSets([[d] for d in dims] + [[]], *dims)
-                 .agg(*[K.BASE[b]().alias(b) for b in BASES if b != "orders"], F.grouping_id().alias("gid")))
+    additive = [b for b in BASES if b != "orders"]
+    cells = valid.groupBy(*dims).agg(*[K.BASE[b]().alias(b) for b in additive])
+    sums = cells.groupingSets([[d] for d in dims] + [[]], *dims).agg(*[F.sum(b).alias(b) for b in additive], F.grouping_id().alias("gid"))
     key = F.lit(None).cast("string")
     for d in dims:
         key = F.when(F.col("gid") == _gid(d, dims), F.col(d).cast("string")).otherwise(key)
-    sums = sums.select(F.col("gid").cast("int").alias("gid"), key.alias("key"), *[b for b in BASES if b != "orders"])
+    sums = sums.select(F.col("gid").cast("int").alias("gid"), key.alias("key"), *additive)
     counts = order_counts(valid).select(F.col("gid").alias("_gid"), F.col("key").alias("_key"), "orders")
     both = sums.join(counts, (F.col("gid") == F.col("_gid")) & F.col("key").eqNullSafe(F.col("_key")), "left")
     return both.select("gid", "key", *[F.coalesce("orders", F.lit(0)).alias("orders") if b == "orders" else F.col(b) for b in BASES])
