@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 
 from ordersight.operators import kpis as K
 from ordersight.operators import market as MK
-from ordersight.session import scratch_path
+from ordersight.session import drop_path, scratch_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 @dataclass
@@ -46,6 +50,12 @@ class KpiBundle:
     model: DataFrame           # expansion model
     segments: DataFrame | None  # b2b_vs_b2c
     channels: DataFrame | None  # by_channel
+    paths: list[str]           # written tables behind the others
+
+    def close(self) -> None:
+        """Delete the written tables, once all results are stored."""
+        for path in self.paths:
+            drop_path(self.totals.sparkSession, path)
 
     def record(self) -> dict[str, DataFrame]:
         """The run's whole KPI record: the scalars and the nine tables."""
@@ -113,7 +123,14 @@ def _slice(cube: DataFrame, dim: str | None, dims: list[str], types: dict[str, s
 
 def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiBundle:
     """Compute the run's KPI tables from valid order lines."""
-    keep = (lambda df, name: materialize(df, name)) if persist else (lambda df, name: df)
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if not persist:
+            return df
+        table, path = _written(df, name)
+        paths.append(path)
+        return table
     cube = keep(kpi_cube(valid), "kpi-cube")
     dims, types = _dims(valid), dict(valid.dtypes)
     part = lambda dim: _slice(cube, dim, dims, types)
@@ -133,4 +150,5 @@ def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiB
         model=MK.expansion_model(state_agg, pillars, aggregated=True),
         segments=K.b2b_vs_b2c(part("is_b2b"), aggregated=True) if "is_b2b" in dims else None,
         channels=K.by_channel(part("sales_channel"), aggregated=True) if "sales_channel" in dims else None,
+        paths=paths,
     )

@@ -65,5 +65,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for a written intermediate table."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+    """A path under the shared checkpoint folder for a written intermediate table; what
+    is there when the session's JVM ends is deleted (``drop_path`` does so earlier)."""
+    path = os.path.join(checkpoint_dir(spark), "tables", name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
