@@ -210,7 +210,7 @@ def winnowed(text, hash_of, k=8, w=8, first=4):
 def run_hashes(spark, texts, k=8, first=4):
     runs = sorted({t[max(0, i - k + 1):i + 1] for t in texts for i in range(len(t))} | set(texts))
     df = spark.createDataFrame([(r,) for r in runs], "r string")
-    return {x["r"]: x["h"] for x in df.select("r", F.shiftrightunsigned(F.xxhash64(F.encode("r", "UTF-32")), 33).alias("h")).collect()}
+    return {x["r"]: x["h"] for x in df.select("r", F.shiftright(F.xxhash64(F.encode("r", "UTF-32")), 32).bitwiseAND(0x7FFFFFFF).alias("h")).collect()}
 
 
 def pairs(selected):
