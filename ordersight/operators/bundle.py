@@ -69,47 +69,61 @@ class KpiBundle:
 DIMS = ["ship_state", "category", "year_month", "fulfillment", "sales_channel", "is_b2b"]
 BASES = ["revenue", "orders", "lines", "quantity", "fulfilled", "amount_n", "b2b_revenue"]
 
+ADDITIVE = [b for b in BASES if b != "orders"]
+
 
 def _dims(valid: DataFrame) -> list[str]:
     return [d for d in DIMS if d in valid.columns]
 
 
-def order_counts(valid: DataFrame) -> DataFrame:
-    """Distinct orders per dimension value and in all: ``gid, key, orders``.
+def order_triples(valid: DataFrame) -> DataFrame:
+    """Distinct ``gid, key, order_id``: the dimension values each order has, and gid of the total.
 
-    Each line's (dimension, value, order) triples are made distinct map-side before
-    they are shuffled, once: on lines clustered by order a triple leaves one task
-    only, and an order that holds a large share of all lines shrinks to its distinct
-    values. Lines without an order id don't count (COUNT DISTINCT ignores nulls).
+    Made distinct map-side before the one shuffle: on lines clustered by order a
+    triple leaves one task only, and an order that holds a large share of all lines
+    shrinks to its distinct values. Lines without an order id don't count (COUNT
+    DISTINCT ignores nulls).
     """
     dims = _dims(valid)
     triples = F.array(*[F.struct(F.lit(_gid(d, dims)).alias("gid"), F.col(d).cast("string").alias("key")) for d in dims],
                       F.struct(F.lit(_gid(None, dims)).alias("gid"), F.lit(None).cast("string").alias("key")))
     each = valid.filter(F.col("order_id").isNotNull()).select("order_id", F.explode(triples).alias("p"))
-    return each.select("order_id", "p.gid", "p.key").distinct().groupBy("gid", "key").agg(F.count(F.lit(1)).alias("orders"))
+    return each.select("p.gid", "p.key", "order_id").distinct()
 
 
-def kpi_cube(valid: DataFrame) -> DataFrame:
-    """Every per-dimension base measure plus the grand total: rows (gid, key, measures).
+def order_counts(valid: DataFrame) -> DataFrame:
+    """Distinct orders per dimension value and in all: ``gid, key, orders``."""
+    return order_triples(valid).groupBy("gid", "key").agg(F.count(F.lit(1)).alias("orders"))
 
-    Additive measures are summed per combination of all dimensions (map-side
-    combined), and the GROUPING SETS run over that small result; distinct orders
-    come from ``order_counts``. ``gid`` tells the sets apart (a NULL key inside a
-    set is a real group, e.g. undated lines).
+
+def additive_cube(valid: DataFrame) -> DataFrame:
+    """The additive measures per dimension value and in all: ``gid, key`` and the measures.
+
+    They are summed per combination of all dimensions (map-side combined), and the
+    GROUPING SETS run over that small result. ``gid`` tells the sets apart (a NULL
+    key inside a set is a real group, e.g. undated lines).
     """
     dims = _dims(valid)
-    additive = [b for b in BASES if b != "orders"]
-    cells = valid.groupBy(*dims).agg(*[K.BASE[b]().alias(b) for b in additive])
-    sums = cells.groupingSets([[d] for d in dims] + [[]], *dims).agg(*[F.sum(b).alias(b) for b in additive], F.grouping_id().alias("gid"))
+    cells = valid.groupBy(*dims).agg(*[K.BASE[b]().alias(b) for b in ADDITIVE])
+    sums = cells.groupingSets([[d] for d in dims] + [[]], *dims).agg(*[F.sum(b).alias(b) for b in ADDITIVE], F.grouping_id().alias("gid"))
     key = F.lit(None).cast("string")
     for d in dims:
         key = F.when(F.col("gid") == _gid(d, dims), F.col(d).cast("string")).otherwise(key)
-    sums = sums.select(F.col("gid").cast("int").alias("gid"), key.alias("key"), *additive)
-    counts = order_counts(valid).select(F.col("gid").alias("_gid"), F.col("key").alias("_key"), "orders")
+    return sums.select(F.col("gid").cast("int").alias("gid"), key.alias("key"), *ADDITIVE)
+
+
+def with_orders(sums: DataFrame, counts: DataFrame) -> DataFrame:
+    """The cube: additive measures and ``orders`` of each (gid, key)."""
+    counts = counts.select(F.col("gid").alias("_gid"), F.col("key").alias("_key"), "orders")
     both = sums.join(counts, (F.col("gid") == F.col("_gid")) & F.col("key").eqNullSafe(F.col("_key")), "left")
     return both.select("gid", "key", *[F.coalesce("orders", F.lit(0)).alias("orders") if b == "orders" else F.col(b) for b in BASES])
 
 
+def kpi_cube(valid: DataFrame) -> DataFrame:
+    """Every per-dimension base measure plus the grand total: rows (gid, key, measures)."""
+    return with_orders(additive_cube(valid), order_counts(valid))
+
+
 def _gid(dim: str | None, dims: list[str]) -> int:
     """grouping_id bit pattern of a single-dimension set (1 = rolled up)."""
     bits = [0 if d == dim else 1 for d in dims]
@@ -123,6 +137,11 @@ def _slice(cube: DataFrame, dim: str | None, dims: list[str], types: dict[str, s
 
 def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiBundle:
     """Compute the run's KPI tables from valid order lines."""
+    return bundle_of(kpi_cube(valid), _dims(valid), dict(valid.dtypes), pillars, persist)
+
+
+def bundle_of(cube: DataFrame, dims: list[str], types: dict[str, str], pillars: int = 2, persist: bool = True) -> KpiBundle:
+    """The KPI tables of a cube over ``dims`` with their column ``types``."""
     paths: list[str] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -131,8 +150,7 @@ def kpi_bundle(valid: DataFrame, pillars: int = 2, persist: bool = True) -> KpiB
         table, path = _written(df, name)
         paths.append(path)
         return table
-    cube = keep(kpi_cube(valid), "kpi-cube")
-    dims, types = _dims(valid), dict(valid.dtypes)
+    cube = keep(cube, "kpi-cube")
     part = lambda dim: _slice(cube, dim, dims, types)
     state_agg = part("ship_state")
     states = K.revenue_by_state(state_agg, aggregated=True)

@@ -1285,6 +1285,109 @@ def q_watch_csv_dir(spark, sf):
     return WT.over_files(spark.read.parquet(out))
 
 
+def _mixed_export(spark, sf):
+    """The raw export as one folder of files with three column orders, one column more or
+    less, and quoted line breaks and quotes in an address that no KPI reads."""
+    path = scratch_path(spark, f"csv-mixed-{_uuid.uuid4().hex[:8]}")
+    raw = raw_export_view(spark, sf).drop("index", "Unnamed: 22")
+    note = F.concat(F.lit('line one, "'), F.col("ship-city"), F.lit('"\n\n'), F.col("SKU"), F.lit(',\r\nend"'))
+    layouts = [raw.select(*reversed(raw.columns)), raw.withColumn("Note", note).select("Note", *raw.columns),
+               raw.drop("promotion-ids").withColumn("ship-address", note)]
+    key = F.pmod(F.xxhash64("SKU", "Qty", "Amount"), F.lit(3))
+    for k, layout in enumerate(layouts):
+        FS.write_csv_export(layout.where(key == k), f"{path}/{k}")
+    return path
+
+
+@register("scan_csv_layouts", O.with_ctes(REV_BY_STATE_SQL))
+def q_scan_csv_layouts(spark, sf):
+    """S1-S3 over files of differing headers and quoted line breaks: the same table."""
+    path = _mixed_export(spark, sf)
+    return K.revenue_by_state(C.load_clean(FS.scan_csv(spark, [f"{path}/{k}" for k in range(3)])))
+
+
+@register("scan_csv_breaks", O.with_ctes(
+    "SELECT sku, COUNT(*) AS n_lines, SUM(CASE WHEN has THEN 1 ELSE 0 END) AS n_notes, "
+    "MIN(CASE WHEN has THEN concat('line one, \"', ship_city, '\"', chr(10), chr(10), sku, ',', chr(13), chr(10), 'end\"') END) AS least_note FROM kept GROUP BY sku",
+    extra="kept AS (SELECT *, ship_city <> '' AS has FROM sales)"))
+def q_scan_csv_breaks(spark, sf):
+    """S1 with quoted line breaks in every record: the multi-line field comes back as it was written."""
+    path = scratch_path(spark, f"csv-breaks-{_uuid.uuid4().hex[:8]}")
+    raw = raw_export_view(spark, sf)
+    note = F.concat(F.lit('line one, "'), F.col("ship-city"), F.lit('"\n\n'), F.col("SKU"), F.lit(',\r\nend"'))
+    FS.write_csv_export(raw.withColumn("Note", note), path)
+    lines = FS.scan_csv(spark, path)
+    return lines.groupBy("sku").agg(F.count(F.lit(1)).alias("n_lines"), F.count("Note").alias("n_notes"), F.min("Note").alias("least_note"))
+
+
+def _export_units(spark, sf, key, parts):
+    """The raw export as ``parts`` folders of CSV files, dealt by ``key``."""
+    path = scratch_path(spark, f"csv-units-{_uuid.uuid4().hex[:8]}")
+    raw = raw_export_view(spark, sf)
+    for k in range(parts):
+        FS.write_csv_export(raw.where(F.pmod(key, F.lit(parts)) == k), f"{path}/unit-{k}")
+    return path
+
+
+_JOB_TABLES = {"revenue_by_state": "ship_state", "revenue_by_category": "category", "monthly_trend": "year_month",
+               "fulfillment_by_state": "ship_state", "b2b_vs_b2c": "is_b2b", "by_channel": "sales_channel",
+               "by_fulfillment_method": "fulfillment"}
+
+
+@register("watch_kpi_job", O.with_ctes("\nUNION ALL ".join(
+    [f"SELECT job, '{t}' AS kpi_table, COUNT(DISTINCT {d}) AS n_rows, {M('SUM(amount)')} AS revenue FROM of_job GROUP BY job" for t, d in _JOB_TABLES.items()]
+    + [f"SELECT job, 'scalar_kpis' AS kpi_table, CAST(1 AS BIGINT) AS n_rows, {M('SUM(amount)')} AS revenue FROM of_job GROUP BY job"]),
+    extra="of_job AS (SELECT *, concat('unit-', CAST(CAST(order_id AS BIGINT) % 2 AS VARCHAR)) AS job FROM valid)"))
+def q_watch_kpi_job(spark, sf):
+    """ST1: the whole KPI job for every arriving export (a folder of CSV files): ten
+    tables, insights and findings each, by the stream; revenue and rows of the tables."""
+    from ordersight.sources.jobs import JobStore
+    from ordersight.streaming import arrivals as AR
+    src = _export_units(spark, sf, F.col("Order ID").cast("long"), 2)
+    out, ckpt = (scratch_path(spark, f"{n}-{_uuid.uuid4().hex[:8]}") for n in ("jobs", "jobs-ckpt"))
+    AR.watch(spark, src, out, ckpt, unit="folder").awaitTermination()
+    store = JobStore(spark, out)
+    parts = [store.read_all(t).groupBy(F.col("job_id").alias("job")).agg(F.lit(t).alias("kpi_table"), F.count(F.lit(1)).alias("n_rows"),
+                                                                        F.sum("revenue").cast("decimal(38,2)").alias("revenue")) for t in _JOB_TABLES]
+    parts.append(store.read_all("scalar_kpis").select(F.col("job_id").alias("job"), F.lit("scalar_kpis").alias("kpi_table"), F.lit(1).cast("long").alias("n_rows"),
+                                                      F.col("total_revenue").alias("revenue")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _refreshed(spark, sf):
+    """Three exports taken in by two refreshes: two of them first, one only in part, then the third and the whole of that one."""
+    from ordersight.streaming import refresh as RF
+    src = _export_units(spark, sf, F.xxhash64("SKU"), 3)
+    out = scratch_path(spark, f"refresh-{_uuid.uuid4().hex[:8]}")
+    arrived = scratch_path(spark, f"refresh-in-{_uuid.uuid4().hex[:8]}")
+
+    def arrive(k, rows=lambda df: df):
+        FS.write_csv_export(rows(spark.read.option("header", True).option("escape", '"').csv(f"{src}/unit-{k}")), f"{arrived}/unit-{k}")
+    arrive(0)
+    arrive(1, lambda df: df.where("Qty % 2 = 0"))
+    RF.refresh(spark, arrived, out, "folder")
+    arrive(1)
+    arrive(2)
+    RF.refresh(spark, arrived, out, "folder")
+    return RF.refreshed(spark, out)
+
+
+@register("periodic_refresh", O.with_ctes(REV_BY_STATE_SQL))
+def q_periodic_refresh(spark, sf):
+    """ST2: revenue by state after two incremental refreshes (orders go over the units,
+    one unit is rewritten in between) equals the batch result."""
+    return _refreshed(spark, sf).states
+
+
+@register("periodic_refresh_scalars", O.with_ctes(SCALAR_SQL))
+def q_periodic_refresh_scalars(spark, sf):
+    """ST2: the scalar KPIs after the same refreshes."""
+    return _refreshed(spark, sf).scalars
+
+
 @register("upsert_status", """SELECT user_id, event_type AS status, ts AS updated_at, event_id
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
       FROM events) e WHERE rn = 1""")
@@ -1402,13 +1505,22 @@ def q_sink_insights(spark, sf):
     return SK.read_job(spark, path, _job_id(sf))
 
 
-@register("sink_clean_summary")
+_SUMMARY_COLUMNS = ["order_id", "order_date", "status", "fulfillment", "sales_channel", "ship_service", "style", "sku", "category", "size", "asin",
+                    "courier_status", "quantity", "currency", "amount", "ship_city", "ship_state", "ship_country", "is_b2b_raw", "fulfillment_type",
+                    "year_month", "is_fulfilled", "is_b2b", "amount_valid"]
+
+
+@register("sink_clean_summary", O.with_ctes(f"""SELECT (SELECT COUNT(*) FROM valid) AS total_rows, '{",".join(_SUMMARY_COLUMNS)}' AS columns,
+  rn - 1 AS place, order_id, sku, ship_state, CAST(amount AS VARCHAR) AS amount, CAST(order_date AS VARCHAR) AS order_date, 'job-1' AS job_id
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _SUMMARY_COLUMNS)}) AS rn FROM valid) v WHERE rn <= 10"""))
 def q_sink_clean_summary(spark, sf):
     """K1: per job total rows, column list and a 10-row sample, stored in the
-    job's partition and read back."""
+    job's partition and read back; the sample's rows one by one."""
     path = scratch_path(spark, f"clean-summary-{_uuid.uuid4().hex[:8]}")
     SK.sink_clean_summary(valid(spark, sf), path, _job_id(sf))
-    return SK.read_job(spark, path, _job_id(sf)).drop("stored_at")
+    got = SK.read_job(spark, path, _job_id(sf)).select("total_rows", F.array_join("columns", ",").alias("columns"), F.posexplode("sample_rows").alias("place", "row"), "job_id")
+    return got.select("total_rows", "columns", F.col("place").cast("long").alias("place"), *[
+        F.get_json_object("row", f"$.{c}").alias(c) for c in ("order_id", "sku", "ship_state", "amount", "order_date")], "job_id")
 
 
 # =============================================================================
