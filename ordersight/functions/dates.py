@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.schema import ANY_DATE_FORMATS, STRICT_DATE_FORMATS, TWO_DIGIT_YEAR_PIVOT
@@ -28,6 +28,44 @@ def parse_date_any(col) -> Column:
     return parse_date(col, ANY_DATE_FORMATS)
 
 
+#: Formats whose day comes first, tried besides the month-first ones.
+DAY_FIRST_FORMATS = ("dd-MM-yy", "dd-MM-yyyy", "dd/MM/yy", "dd/MM/yyyy", "dd.MM.yyyy", "dd.MM.yy")
+
+
+def date_format_evidence(df: DataFrame, col: str, formats: tuple[str, ...] = ANY_DATE_FORMATS + DAY_FIRST_FORMATS) -> DataFrame:
+    """Which one format a text column of dates has: ``format, place, parsed, total, chosen, ambiguous``.
+
+    One map-side combined aggregate counts the values each format parses; a day above
+    12 is evidence by not parsing as a month. The format that parses most is chosen,
+    the first listed among equals; ``ambiguous`` tells that one which reads some value
+    as another day parses as many (no value decides between day and month).
+    """
+    c = F.trim(F.col(col).cast("string"))
+    distinct = df.select(c.alias("t")).filter(F.length("t") > 0).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    dates = F.array(*[_pivot_two_digit_year(F.try_to_date("t", f), f) for f in formats])
+    each = distinct.select("t", "n", F.posexplode(dates).alias("place", "d"))
+    # per format: values parsed, and a fingerprint of how they are read
+    sums = each.groupBy("place").agg(F.sum(F.when(F.col("d").isNotNull(), F.col("n")).otherwise(0)).alias("parsed"), F.sum("n").alias("total"),
+                                     F.sum(F.when(F.col("d").isNotNull(), F.xxhash64("t", "d") % 1_000_003)).alias("reading"))
+    best = Window.partitionBy()  # a row per format
+    most = sums.withColumn("most", F.max("parsed").over(best))
+    first = F.min(F.when((F.col("parsed") == F.col("most")) & (F.col("parsed") > 0), F.col("place"))).over(best)
+    chosen = most.withColumn("first", first).withColumn("chosen", F.col("place") == F.col("first"))
+    own = F.max(F.when(F.col("chosen"), F.col("reading"))).over(best)
+    other = F.max(((F.col("parsed") == F.col("most")) & (F.col("reading") != own)).cast("int")).over(best) == 1
+    named = F.element_at(F.array(*[F.lit(f) for f in formats]), F.col("place") + 1)
+    return chosen.select(named.alias("format"), "place", "parsed", "total", F.coalesce("chosen", F.lit(False)).alias("chosen"),
+                         F.coalesce(F.col("chosen") & other, F.lit(False)).alias("ambiguous"))
+
+
+def parse_date_column(df: DataFrame, col: str, formats: tuple[str, ...] = ANY_DATE_FORMATS + DAY_FIRST_FORMATS) -> tuple[Column, bool]:
+    """The column as dates, all read by the one format that its values show, and whether that is ambiguous."""
+    row = date_format_evidence(df, col, formats).filter("chosen").first()
+    if row is None:
+        return F.lit(None).cast("date"), False
+    return parse_date(F.trim(F.col(col).cast("string")), (row["format"],)), row["ambiguous"]
+
+
 def as_date(df, col: str, formats=STRICT_DATE_FORMATS) -> Column:
     """Typed dispatch: date stays, timestamp is truncated, text is parsed."""
     dtype = dict(df.dtypes)[col]

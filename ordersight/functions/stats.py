@@ -8,6 +8,8 @@ categories, months), never to order lines.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,19 @@ def lag_change_pct(col, order_col) -> Column:
     return (F.try_divide(_c(col).cast("double"), prev.cast("double")) - F.lit(1)) * F.lit(100)
 
 
+def _below(value: Column, cuts: list, dtype) -> Column:
+    """Number of cut points below a value: among every n-th one first, then among the n
+    behind it, so thousands of ranges don't mean thousands of comparisons a row."""
+    if not cuts:
+        return F.lit(0)
+    n = max(1, math.isqrt(len(cuts)))
+
+    def held(some) -> Column:
+        return F.array(*[F.lit(x).cast(dtype) for x in some])
+    coarse = F.size(F.filter(held(cuts[n - 1::n]), lambda c: c < value)) * n
+    return coarse + F.size(F.filter(F.slice(held(cuts), coarse + 1, F.lit(n)), lambda c: c < value))
+
+
 def _ranged_counts(df, col: str, ascending: bool, partitions: int | None):
     """Steps 1 to 3 of ``distributed_rank``: the distinct values with their row counts
     (``_ties``); the same with ``_range`` and the rows before a value within its range
@@ -70,8 +85,7 @@ def _ranged_counts(df, col: str, ascending: bool, partitions: int | None):
     vals = df.filter(c.isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
     marks = [k / n for k in range(1, n)]
     cuts = vals.agg(F.percentile_approx(c, marks).alias("q")).first()["q"] if marks else None
-    bounds = F.array(*[F.lit(x).cast(df.schema[col].dataType) for x in sorted(set(cuts or []))])
-    place = F.size(F.filter(bounds, lambda b: b < c)) if cuts else F.lit(0)
+    place = _below(c, sorted(set(cuts or [])), df.schema[col].dataType)
     ranged = vals.withColumn("_range", place if ascending else -place)
     w_local = (Window.partitionBy("_range").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -139,3 +153,44 @@ def distributed_percentile(df, col: str, q: float, partitions: int | None = None
                 .filter(held(F.floor("_at")) | held(F.ceil("_at"))))
     low, high, at = F.min("_value"), F.max("_value"), F.max("_at")
     return two.agg(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)).scalar()
+
+
+def distributed_ranks(df, key: str, outs: dict[str, str], method: str = "average", ascending: bool = False,
+                      partitions: int | None = None):
+    """Global ranks of several columns ({column: name of its rank}) of a table with a
+    unique ``key``, of any size, in one pass and without a one-task window.
+
+    The columns' values become (column, value) rows. One aggregate finds all columns'
+    range cuts (a few numbers on the driver); the values are counted, placed and ranked
+    within (column, range), and each range's offset comes from its column's ranges; one
+    join by (column, value) and one sum by key bring all ranks back. Values compare as
+    doubles. Nulls as in ``distributed_rank``. ``df`` is run twice, so pass a written table.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = list(outs)
+    marks = [k / n for k in range(1, n)] or [0.5]
+    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), marks).alias(f"cuts{i}") for i, c in enumerate(cols)],
+                   *[F.count(c).alias(f"count{i}") for i, c in enumerate(cols)]).first()
+    long = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(cols)])).alias("p"))
+    long = long.select("_key", "p.*").filter(F.col("_value").isNotNull())
+    counts = long.groupBy("_col", "_value").agg(F.count(F.lit(1)).alias("_ties"))
+    place = F.lit(0)
+    for i in range(len(cols)):
+        place = F.when(F.col("_col") == i, _below(F.col("_value"), sorted(set(found[f"cuts{i}"] or [])), "double")).otherwise(place)
+    ranged = counts.withColumn("_range", place if ascending else -place)
+    order = F.col("_value").asc() if ascending else F.col("_value").desc()
+    inside = Window.partitionBy("_col", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_before", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    # a row per column and range
+    sizes = ranged.groupBy("_col", "_range").agg(F.sum("_ties").alias("_size"))
+    earlier = Window.partitionBy("_col").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_col", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    first = F.col("_offset") + F.col("_before") + F.lit(1)
+    rank = first.cast("double") + (F.col("_ties").cast("double") - F.lit(1.0)) / F.lit(2.0) if method == "average" else first.cast("bigint")
+    ranks = local.join(F.broadcast(offsets), ["_col", "_range"]).select("_col", "_value", rank.alias("_rank"))
+    wide = long.join(ranks, ["_col", "_value"]).groupBy("_key").agg(
+        *[F.max(F.when(F.col("_col") == i, F.col("_rank"))).alias(outs[c]) for i, c in enumerate(cols)])
+    joined = df.join(wide, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    if method == "min":
+        joined = joined.withColumns({outs[c]: F.coalesce(outs[c], F.lit(found[f"count{i}"] + 1).cast("bigint")) for i, c in enumerate(cols)})
+    return joined

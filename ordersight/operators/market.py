@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.functions.stats import pct, rank_by, ratio
+from ordersight.functions.stats import distributed_ranks, pct, rank_by, ratio
 from ordersight.operators.kpis import (aggregate, all_rows, exact_mean_over, money,
                                        monthly_trend, revenue_by_state, share_of_total)
 
@@ -68,6 +68,24 @@ def _model(df: DataFrame, pillars: int, method: str, aggregated: bool) -> DataFr
     return ranked.withColumn("composite_score", composite)
 
 
+def market_totals(df: DataFrame) -> DataFrame:
+    """The base measures of ``state_base`` for a market dimension of any size (no share
+    of the total, which needs all markets together)."""
+    a = aggregate(df, "ship_state", ["revenue", "orders", "fulfilled", "amount_n"])
+    return a.select("ship_state", F.col("orders").alias("total_orders"), F.col("fulfilled").cast("bigint").alias("fulfilled"),
+                    money("revenue").alias("revenue"), pct(F.col("fulfilled"), F.col("orders")).alias("fulfillment_rate"),
+                    ratio(F.col("revenue"), F.col("amount_n")).alias("avg_order_value"))
+
+
+def expansion_model_at_any_grain(markets: DataFrame, pillars: int = 3, method: str = "average") -> DataFrame:
+    """W5-W8 for a market dimension of any size: all pillars' ranks from one pass
+    (``distributed_ranks``), no one-task window. ``markets``: ``market_totals``, written."""
+    outs = {"revenue": "revenue_rank", "fulfillment_rate": "fulfillment_rank"} | ({"avg_order_value": "aov_rank"} if pillars == 3 else {})
+    ranked = distributed_ranks(markets, "ship_state", outs, method)
+    score = F.col("revenue_rank") + F.col("fulfillment_rank")
+    return ranked.withColumn("composite_score", score + F.col("aov_rank") if pillars == 3 else score)
+
+
 def expansion_targets(df: DataFrame, pillars: int = 2, k: int = 10,
                       aggregated: bool = False) -> DataFrame:
     """States with revenue below the median state revenue and rate above

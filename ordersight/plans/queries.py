@@ -1585,3 +1585,100 @@ def q_rank_average_customers(spark, sf):
     v = C.load_clean(customer_sales_view(spark, sf))
     st = K.revenue_by_state(v).select("ship_state", "revenue")
     return distributed_rank(st, "revenue", "average", out="revenue_rank")
+
+
+@register("expansion_model_customers", CUST_CTES.rstrip("\n") + f""",
+b AS (SELECT ship_state, COUNT(DISTINCT order_id) AS total_orders, CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled, {M('SUM(amount)')} AS revenue,
+  {P('SUM(is_fulfilled)', 'COUNT(DISTINCT order_id)')} AS fulfillment_rate, {R('SUM(amount)', 'COUNT(amount)')} AS avg_order_value FROM cv GROUP BY ship_state)
+SELECT *, revenue_rank + fulfillment_rank + aov_rank AS composite_score FROM (
+  SELECT *, {avg_rank_sql('revenue')} AS revenue_rank, {avg_rank_sql('fulfillment_rate')} AS fulfillment_rank,
+         {avg_rank_sql('avg_order_value')} AS aov_rank FROM b) r""")
+def q_expansion_model_customers(spark, sf):
+    """W8 at customer grain: three pillars ranked in one pass, no one-task window."""
+    from ordersight.operators.bundle import materialize
+    v = C.load_clean(customer_sales_view(spark, sf))
+    return MK.expansion_model_at_any_grain(materialize(MK.market_totals(v), "customer-totals"), 3)
+
+
+@register("market_model_customers", CUST_CTES.rstrip("\n") + f""",
+b AS (SELECT ship_state, COUNT(DISTINCT order_id) AS total_orders, CAST(SUM(is_fulfilled) AS BIGINT) AS fulfilled, {M('SUM(amount)')} AS revenue,
+  {P('SUM(is_fulfilled)', 'COUNT(DISTINCT order_id)')} AS fulfillment_rate, {R('SUM(amount)', 'COUNT(amount)')} AS avg_order_value FROM cv GROUP BY ship_state)
+SELECT *, revenue_rank + fulfillment_rank AS composite_score FROM (
+  SELECT *, {min_rank_sql('revenue')} AS revenue_rank, {min_rank_sql('fulfillment_rate')} AS fulfillment_rank FROM b) r""")
+def q_market_model_customers(spark, sf):
+    """W5 / W6's SQL ranks at customer grain, two pillars."""
+    from ordersight.operators.bundle import materialize
+    v = C.load_clean(customer_sales_view(spark, sf))
+    return MK.expansion_model_at_any_grain(materialize(MK.market_totals(v), "customer-totals"), 2, "min")
+
+
+@register("approximate_orders", O.with_ctes("\nUNION ALL ".join(
+    f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS key, COUNT(DISTINCT order_id) AS orders, TRUE AS within FROM valid GROUP BY {d}"
+    for d in ("ship_state", "category", "year_month", "fulfillment", "sales_channel", "is_b2b"))
+    + "\nUNION ALL SELECT 'all', CAST(NULL AS VARCHAR), COUNT(DISTINCT order_id), TRUE FROM valid"))
+def q_approximate_orders(spark, sf):
+    """A2 by sketches over the whole cube, beside the exact counts: within 5 % (six
+    standard errors) or two orders."""
+    from ordersight.operators import bundle as BD
+    v = valid(spark, sf)
+    exact = BD.order_counts(v)
+    near = BD.approximate_orders(v).select(F.col("gid").alias("_gid"), F.col("key").alias("_key"), F.col("orders").alias("near"))
+    both = exact.join(near, (F.col("gid") == F.col("_gid")) & F.col("key").eqNullSafe(F.col("_key")), "left")
+    names = F.create_map(*[F.lit(x) for d in [*BD.DIMS, None] for x in (BD._gid(d, BD.DIMS), d or "all")])
+    error = F.abs(F.col("near") - F.col("orders"))
+    return both.select(F.element_at(names, F.col("gid")).alias("dimension"), "key", "orders",
+                       F.coalesce((error <= 2) | (error <= 0.05 * F.col("orders")), F.lit(False)).alias("within"))
+
+
+_EVIDENCE = [("MM-dd-yyyy", "%m-%d-%Y"), ("dd-MM-yyyy", "%d-%m-%Y"), ("yyyy-MM-dd", "%Y-%m-%d")]
+
+
+@register("infer_date_format", O.with_ctes("SELECT *, parsed = max(parsed) OVER () AS chosen, FALSE AS ambiguous FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS format, COUNT(try_strptime(t, '{py}')) AS parsed, COUNT(*) AS total FROM text" for f, py in _EVIDENCE) + ") e",
+    extra="text AS (SELECT strftime(order_date, '%d-%m-%Y') AS t FROM sales WHERE order_date IS NOT NULL)"))
+def q_infer_date_format(spark, sf):
+    """P5 for a whole column: day-first dates are told from month-first ones by the values."""
+    text = sales(spark, sf).where("order_date is not null").select(F.date_format("order_date", "dd-MM-yyyy").alias("t"))
+    return D.date_format_evidence(text, "t", tuple(f for f, _ in _EVIDENCE)).drop("place")
+
+
+@register("sink_kpis_all", O.with_ctes("\nUNION ALL ".join(
+    [f"SELECT '{t}' AS kpi_table, COUNT(DISTINCT {d}) AS n_rows, {M('SUM(amount)')} AS revenue FROM valid" for t, d in _JOB_TABLES.items()]
+    + [f"SELECT 'scalar_kpis' AS kpi_table, CAST(1 AS BIGINT) AS n_rows, {M('SUM(amount)')} AS revenue FROM valid"]
+    + [f"SELECT 'expansion_model' AS kpi_table, COUNT(*) AS n_rows, {M('SUM(revenue)')} AS revenue FROM m"]
+    + [f"SELECT 'expansion_targets' AS kpi_table, COUNT(*) AS n_rows, {M('SUM(revenue)')} AS revenue FROM (" + targets_sql(2).split("SELECT * FROM m", 1)[1].join(["SELECT * FROM m", ") t"])]),
+    extra=f"m AS ({model_sql(2)})"))
+def q_sink_kpis_all(spark, sf):
+    """K2: all ten tables of a run, stored in one commit and read back: rows and revenue of each."""
+    from ordersight.operators.bundle import kpi_bundle
+    from ordersight.sources.jobs import JobStore
+    store = JobStore(spark, scratch_path(spark, f"kpis-{_uuid.uuid4().hex[:8]}"))
+    record = kpi_bundle(valid(spark, sf)).record()
+    store.commit(_job_id(sf), record)
+    parts = [store.read(_job_id(sf), t).agg(F.lit(t).alias("kpi_table"), F.count(F.lit(1)).alias("n_rows"),
+                                            F.sum("total_revenue" if t == "scalar_kpis" else "revenue").cast("decimal(38,2)").alias("revenue")) for t in record]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("upsert_status_stream", """SELECT user_id, event_type AS status, ts AS updated_at, event_id
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) e WHERE rn = 1""")
+def q_upsert_status_stream(spark, sf):
+    """K7 as a stream: events arrive in files of mixed times, some of them twice, a few files a trigger."""
+    from ordersight.streaming import status as ST
+    src, out, ckpt = (scratch_path(spark, f"{n}-{_uuid.uuid4().hex[:8]}") for n in ("events", "status", "status-ckpt"))
+    events = read_table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    twice = events.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    events.unionByName(twice).repartition(12, F.xxhash64("event_id", F.rand(7))).write.parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    ST.upsert_stream(stream, out, ckpt).awaitTermination()
+    return ST.current(spark, out)
+
+
+@register("dense_order_id", """SELECT row_number() OVER () - 1 AS line_no, l_orderkey, l_linenumber FROM lineitem""")
+def q_dense_order_id(spark, sf):
+    """Dense ids 0, 1, ... in file order."""
+    return FS.numbered(read_table(spark, sf, "lineitem"), "line_no").select("line_no", "l_orderkey", "l_linenumber")
