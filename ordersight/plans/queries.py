@@ -1511,7 +1511,7 @@ _SUMMARY_COLUMNS = ["order_id", "order_date", "status", "fulfillment", "sales_ch
 
 
 @register("sink_clean_summary", O.with_ctes(f"""SELECT (SELECT COUNT(*) FROM valid) AS total_rows, '{",".join(_SUMMARY_COLUMNS)}' AS columns,
-  rn - 1 AS place, order_id, sku, ship_state, CAST(amount AS VARCHAR) AS amount, CAST(order_date AS VARCHAR) AS order_date, 'job-1' AS job_id
+  rn - 1 AS place, order_id, sku, ship_state, amount, CAST(order_date AS VARCHAR) AS order_date, 'job-1' AS job_id
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {", ".join(f"{c} NULLS FIRST" for c in _SUMMARY_COLUMNS)}) AS rn FROM valid) v WHERE rn <= 10"""))
 def q_sink_clean_summary(spark, sf):
     """K1: per job total rows, column list and a 10-row sample, stored in the
@@ -1520,7 +1520,8 @@ def q_sink_clean_summary(spark, sf):
     SK.sink_clean_summary(valid(spark, sf), path, _job_id(sf))
     got = SK.read_job(spark, path, _job_id(sf)).select("total_rows", F.array_join("columns", ",").alias("columns"), F.posexplode("sample_rows").alias("place", "row"), "job_id")
     return got.select("total_rows", "columns", F.col("place").cast("long").alias("place"), *[
-        F.get_json_object("row", f"$.{c}").alias(c) for c in ("order_id", "sku", "ship_state", "amount", "order_date")], "job_id")
+        F.get_json_object("row", f"$.{c}").cast(t).alias(c) for c, t in (
+            ("order_id", "string"), ("sku", "string"), ("ship_state", "string"), ("amount", "decimal(12,2)"), ("order_date", "string"))], "job_id")
 
 
 # =============================================================================

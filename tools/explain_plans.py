@@ -34,9 +34,9 @@ NOTES = """Generated by `tools/explain_plans.py`. What to look for:
   (group, order_id) before the final per-group aggregate;
 * shares and thresholds as window aggregates over the per-state aggregate
   (one scan of the order lines), no cartesian or nested-loop join;
-* the KPI cube: additive measures in one map-side combined grouping-sets
-  aggregate; distinct orders from narrow rows made distinct and clustered by
-  order once, their (dimension, value) pairs counted without another shuffle;
+* the KPI cube: additive measures summed per combination of all dimensions
+  (map-side combined), the grouping sets over that result; distinct orders from
+  (dimension, value, order) triples made distinct map-side and shuffled once;
 * windows (ranks) only above the per-state aggregate.
 """
 
