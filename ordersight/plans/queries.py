@@ -1683,3 +1683,16 @@ def q_upsert_status_stream(spark, sf):
 def q_dense_order_id(spark, sf):
     """Dense ids 0, 1, ... in file order."""
     return FS.numbered(read_table(spark, sf, "lineitem"), "line_no").select("line_no", "l_orderkey", "l_linenumber")
+
+
+@register("update_set_stored", O.with_ctes("""SELECT status, COUNT(*) AS n_lines, CAST(SUM(CASE WHEN hit THEN 0 ELSE amount END) AS DECIMAL(38,2)) AS amount, SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS zeroed
+FROM (SELECT CASE WHEN hit THEN 'Returned' ELSE status END AS status, amount, hit FROM (
+  SELECT status, amount, coalesce(order_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31', FALSE) AS hit FROM sales) x) y GROUP BY status"""))
+def q_update_set_stored(spark, sf):
+    """P18 on a stored table: one month's lines are updated by copy-on-write, the other files stay."""
+    from ordersight.sources.stored import StoredTable
+    table = StoredTable(spark, scratch_path(spark, f"stored-{_uuid.uuid4().hex[:8]}"))
+    table.write(sales(spark, sf).withColumn("zeroed", F.lit(0)), "order_date", 12)
+    table.update(F.col("order_date").between("1995-03-01", "1995-03-31"), {"status": F.lit("Returned"), "amount": F.lit(0), "zeroed": F.lit(1)})
+    return table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("amount").cast("decimal(38,2)").alias("amount"),
+                                              F.sum("zeroed").alias("zeroed"))
