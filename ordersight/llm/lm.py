@@ -101,7 +101,8 @@ def make_block(ids: pa.Array, roles: np.ndarray, bodies: list[bytes], n: int) ->
         hashes.append(h)
         lengths.append(len(h))
     tokens, distinct = pd.factorize(np.concatenate(hashes))
-    order = np.argsort(distinct)
+    # frequent words get small numbers, by powers of two of their counts, and words of one power are in order of their hashes: both sides compress
+    order = np.lexsort((distinct, -np.log2(np.bincount(tokens)).astype(np.int64)))
     number = np.empty_like(order)
     number[order] = np.arange(len(order))
     return {"ids": ids.to_pylist(), "roles": roles.astype(np.int8), "lengths": np.array(lengths, np.int64),
@@ -199,7 +200,7 @@ class Round:
 
 # ---------------------------------------------------------------- counting
 def packed_hashes(hashes: np.ndarray) -> list[bytes]:
-    """Byte planes of the steps between sorted hashes."""
+    """Byte planes of the steps between hashes, sorted ones or a few sorted runs (steps are modulo 2^64)."""
     return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
