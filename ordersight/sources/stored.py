@@ -38,10 +38,25 @@ class StoredTable:
     def _publish(self, files: list[str], schema: str) -> None:
         self.log._publish(NAME, {"job_id": NAME, "version": uuid.uuid4().hex, "files": files, "schema": schema})
 
-    def write(self, df: DataFrame, order_by: str | None = None, files: int | None = None) -> None:
-        """Replace the table; ``order_by``: in ranges of that column, so that updates on it touch few files."""
-        out = df.repartitionByRange(files, order_by).sortWithinPartitions(order_by) if order_by and files else df
-        self._publish(self._add(out), df.schema.json())
+    def write(self, df: DataFrame, order_by: str | None = None, files: int | None = None, most: int = 1_000_000) -> None:
+        """Replace the table; ``order_by``: in ranges of that column, so that updates on it touch few files.
+
+        There are ``files`` ranges, or more: one for every ``most`` rows, so that a range's task doesn't grow with the
+        table. Rows of one value are told apart by their hash, so that a value which very many rows have is cut as well.
+        The rows are written as they come first, which counts them and saves the range sample from computing them again.
+        """
+        if not (order_by and files):
+            return self._publish(self._add(df), df.schema.json())
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        try:
+            df.write.mode("error").parquet(staged)
+            rows = self.spark.read.schema(df.schema).parquet(staged)
+            ranges = max(files, -(-rows.count() // most))
+            tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+            added = self._add(rows.repartitionByRange(ranges, F.col(f"`{order_by}`"), tie).sortWithinPartitions(F.col(f"`{order_by}`")))
+        finally:
+            self.log.fs.delete(self.log._path(staged), True)
+        self._publish(added, df.schema.json())
 
     def files(self) -> list[str]:
         return self.log.manifest(NAME)["files"]

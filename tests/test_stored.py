@@ -23,3 +23,13 @@ def test_update_rewrites_only_the_files_that_hold_a_row(spark, tmp_path):
     assert table.files() == now and table.read().count() == 1000
     assert table.update(F.col("a b").isNull(), {"a b": F.lit("none")}) and table.read().where(F.col("a b").isNull()).count() == 0
     assert table.vacuum() and table.vacuum() == [] and table.read().count() == 1000
+
+
+def test_ranges_grow_with_the_rows_and_cut_a_frequent_value(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("v"))  # nine tenths are null
+    table = StoredTable(spark, str(tmp_path / "t"))
+    table.write(df, "v", 2, most=100)
+    sizes = [r["count"] for r in table.read().groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 250 and sum(sizes) == 1000
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, df.collect())) and not list((tmp_path / "t" / "staged").glob("*"))
+    assert len(table.update(F.col("v") == 500, {"v": F.lit(1)})) == 1
