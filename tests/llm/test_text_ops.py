@@ -103,7 +103,7 @@ def test_whole_table(spark, docs):
 def test_oracle(spark, key):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = con.sql(queries.ORACLES[key])
     want = sorted(rel.fetchall())
