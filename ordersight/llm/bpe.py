@@ -132,7 +132,7 @@ class TrieEncoder:
 class Codec:
     """Encodes and decodes texts; ids are handled as their decimal strings joined by commas."""
 
-    def __init__(self, vocabulary: Vocabulary, store_bytes: int = 40 << 20):
+    def __init__(self, vocabulary: Vocabulary, store_bytes: int = 20 << 20):
         self.v, self.trie, self.store_bytes = vocabulary, TrieEncoder(vocabulary), store_bytes
         self.find = regex.compile(WORD).findall
         self.token = {str(i): b for i, b in vocabulary.bytes.items()}
@@ -175,6 +175,9 @@ def vocabulary_text(path: str) -> str:
         return f.read()
 
 
+#: Bytes of text that a worker cuts into words at a time: each word is a Python string of five to ten times its bytes.
+BLOCK = 1 << 20
+
 _CODECS: dict[str, Codec] = {}  # of this Python worker, by digest of the vocabulary
 
 
@@ -193,6 +196,11 @@ def _codec(shared) -> Codec:
     return _CODECS[name]
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in slices(batches, "text", BLOCK):
+        yield batch, [t or "" for t in batch.column("text").to_pylist()]
+
+
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: ids as decimals joined by commas, decoded from these ids."""
     shared = _shared(docs, vocabulary_path)
@@ -200,8 +208,8 @@ def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        for batch in slices(batches, "text"):
-            ids = codec.encode_block([t or "" for t in batch.column("text").to_pylist()])
+        for batch, texts in _texts(batches):
+            ids = codec.encode_block(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
                  pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(codec.decode(x)) for x in ids], pa.string())],
@@ -216,8 +224,8 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in slices(batches, "text"):
-            ids = codec.encode_block([t or "" for t in batch.column("text").to_pylist()])
+        for batch, texts in _texts(batches):
+            ids = codec.encode_block(texts)
             flat = [np.array(x.split(","), np.int32) if x else np.zeros(0, np.int32) for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -189,6 +190,13 @@ def test_containment_threshold_is_exact(spark):
     assert {(r["doc_id"], r["shared_shingles"]) for r in got} == {(k, k) for k in range(16, 21)}
 
 
+def test_bpe_cuts_small_blocks():
+    batch = pa.RecordBatch.from_pydict({"text": [None, "", *["word " * 20_000] * 60]})
+    blocks = list(bpe._texts(iter([batch])))
+    assert [t for _, texts in blocks for t in texts] == ["", "", *["word " * 20_000] * 60]
+    assert max(sum(map(len, texts)) for _, texts in blocks) <= 2 << 20  # a block of 8 MB made a worker hold some 100 MB of words
+
+
 def test_bpe_round_trip_and_small_store(spark, docs):
     d = frame(spark, docs[:40] + [(9999, None), (9998, "")])
     coded = bpe.encode(d, queries.VOCABULARY)
