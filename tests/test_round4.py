@@ -1,6 +1,7 @@
 """Disk of the periodic refresh: compressed exports, slices and steps, shuffle files that go after each write."""
 
 import gzip
+import random
 import time
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from ordersight.session import SHUFFLES_GO, settings
 from ordersight.sources import files as FS
 from ordersight.sources import star as ST
 from ordersight.streaming import refresh as RF
+from test_refresh import lines, same_as_batch
 
 
 def shuffle_files(spark):
@@ -79,6 +81,58 @@ def test_compressed_files_are_read_and_watched(spark, tmp_path):
     assert sorted(Path(r["unit"]).name for r in RF.AR.arrivals(spark, str(src)).collect()) == ["a.csv.gz", "b.csv"]
 
 
+def test_partials_and_totals_leave_no_shuffle_files(spark, tmp_path):
+    rng = random.Random(6)
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for name in "ab":
+        (src / f"{name}.csv").write_text(lines(rng, 40))
+    for name in "ab":
+        before = shuffle_files(spark)
+        RF.store_partials(spark, str(src / f"{name}.csv"), out, f"{name}.csv")
+        assert none_left(spark, before)
+        before = shuffle_files(spark)
+        assert RF.merge(spark, out)
+        assert none_left(spark, before)
+    same_as_batch(spark, src, out)
+
+
+def test_a_merge_in_steps_equals_batch(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    monkeypatch.setattr(RF._Tables, "size", lambda self, table: RF.STEP_BYTES if self.versions else 0)
+    steps, stepped = [], RF._stepped
+
+    def noted(spark, n, of_step):
+        steps.append(n)
+        return stepped(spark, n, of_step)
+    monkeypatch.setattr(RF, "_stepped", noted)
+
+    def step(**files):
+        time.sleep(1.1)
+        for name, n in files.items():
+            (src / f"{name}.csv").write_text(lines(rng, n))
+        assert RF.refresh(spark, str(src), out)
+        same_as_batch(spark, src, out)
+    step(a=40, b=30)
+    step(a=10, c=25)  # one rewritten, one new, one as it was
+    assert steps == [2, 4]
+
+
+def test_a_steps_orders_are_in_no_other(spark, tmp_path):
+    rng = random.Random(8)
+    out = str(tmp_path / "out")
+    (tmp_path / "a.csv").write_text(lines(rng, 200))
+    RF.store_partials(spark, str(tmp_path / "a.csv"), out, "a.csv")
+    store = RF.JobStore(spark, out)
+    every = RF._Tables(store, store.manifests())
+    whole = sorted(r["order_id"] for r in every.orders(0, 1).collect())
+    parts = [[r["order_id"] for r in every.orders(k, 4).collect()] for k in range(4)]
+    assert whole and sorted(x for p in parts for x in p) == whole and sum(map(bool, parts)) > 1
+    assert every.size("orders") > 0
+
+
 TABLES = {
     "region": ("r_regionkey int, r_name string", [(0, "R0"), (1, "R1"), (1, "R1b"), (None, "RN")]),
     "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N0", 0), (1, "N1", 1), (2, "N2", None), (None, "NN", 0)]),
